@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from claritas.functions.fixed import ANSWER_MARK, BRACKET_TOKENS, INPUT_PREFIX, OUTPUT_PREFIX
 
 WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
+WHITE_CHARACTERS = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 WORD = r"[\p{L}\p{N}]+"
 LONG_WORD = r"[\p{L}\p{N}]{7,}"
 SENTENCE = r"[^.!?]*[\p{L}\p{N}][^.!?]*"
@@ -33,7 +37,7 @@ ACCENTED, PLAIN = accent_table()
 
 def strip(c: Column) -> Column:
     """Remove Unicode white space at both ends (`trim` removes blanks only)."""
-    return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+\z", "")
+    return F.btrim(c, F.lit(WHITE_CHARACTERS))
 
 
 def clean_brackets(c: Column) -> Column:

@@ -11,9 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = 512
-BEST = "pred_best array<double>, ref_best array<double>"
+BEST = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("pred_best", "ref_best")])
 
 
 def _unit(rows) -> np.ndarray:

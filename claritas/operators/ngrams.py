@@ -12,14 +12,16 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claritas.functions.stem import stem
 from claritas.functions.text import ascii_tokens, strip, tokens_13a
+from claritas.session import shuffle_width
 
 ORDERS = (1, 2, 3, 4)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(tokens: pd.Series) -> pd.Series:
     """Stems of tokens longer than three characters; other tokens as they are."""
     return tokens.map(lambda row: None if row is None else [stem(t) if len(t) > 3 else t for t in row])
@@ -41,23 +43,22 @@ def grams(tokens: Column, n: int) -> Column:
 def gram_counts(df: DataFrame, keys: list[str], tokens: dict[str, Column], orders=ORDERS) -> DataFrame:
     """(keys, n, gram, c_<side>...) with the count of every gram on every side.
 
-    `keys` starts with the pair id. A row with a null gram keeps pairs without any n-gram.
+    `keys` starts with the pair id. A pair without any n-gram keeps a row with a null gram.
     """
     sides = list(tokens)
-    split = df.repartition(keys[0]).select(*keys, *[t.alias(f"_{s}") for s, t in tokens.items()])
-
-    def tagged(side: str, n: int) -> Column:
-        return F.transform(
-            grams(F.col(f"_{side}"), n),
-            lambda g: F.struct(F.lit(side).alias("side"), F.lit(n).alias("n"), g.alias("gram")),
-        )
-
-    none = F.array(
-        *[F.struct(F.lit("").alias("side"), F.lit(n).alias("n"), F.lit(None).cast("string").alias("gram")) for n in orders]
+    # A fixed width: the grams outgrow the text, so sizes measured on the text would leave few tasks.
+    split = df.repartition(shuffle_width(df.sparkSession), keys[0]).select(*keys, *[t.alias(f"_{s}") for s, t in tokens.items()])
+
+    lists = F.array(
+        *[
+            F.struct(F.lit(s).alias("side"), F.lit(n).alias("n"), grams(F.col(f"_{s}"), n).alias("list"))
+            for n in orders
+            for s in sides
+        ]
     )
-    everything = F.concat(none, *[tagged(s, n) for n in orders for s in sides])
-    rows = split.select(*keys, F.inline(everything))
-    counts = [F.count(F.when(F.col("side") == s, F.lit(1))).alias(f"c_{s}") for s in sides]
+    # Outer unfolding keeps an empty list as one null gram, which no side may count.
+    rows = split.select(*keys, F.inline_outer(lists)).select(*keys, "side", "n", F.explode_outer("list").alias("gram"))
+    counts = [F.count(F.when(F.col("side") == s, F.col("gram"))).alias(f"c_{s}") for s in sides]
     return rows.groupBy(*keys, "n", "gram").agg(*counts)
 
 

@@ -10,6 +10,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claritas.functions.stem import stem
 from claritas.functions.text import ascii_tokens, sentences
@@ -69,17 +70,17 @@ def union_hits(ref: list, pred: list) -> int:
     return hits
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_size(list(x), list(y)) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_union(ref: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series([union_hits([list(s) for s in r], [list(s) for s in p]) for r, p in zip(ref, pred)])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_union_stems(ref: pd.Series, pred: pd.Series) -> pd.Series:
     def stems(text) -> list[list[str]]:
         return [[stem(t) if len(t) > 3 else t for t in sentence] for sentence in text]

@@ -14,7 +14,8 @@ BY = ["split", "task", "system"]
 
 
 def _rounded(df, *keys):
-    return df.select(*keys, *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
+    """Six decimals; nine first, so that sums in another order fall on the same side of a half."""
+    return df.select(*keys, *[F.round(F.round(c, 9), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
 
 
 def _systems(spark, folder):
@@ -75,7 +76,7 @@ def m1(spark, folder):
 
 @query(
     "m1_rouge_n_pairs",
-    f"""WITH {ROUGE_PAIRS} SELECT pair_id, split, task, system, n, hits::BIGINT AS hits, n_pred::BIGINT AS n_pred, n_ref::BIGINT AS n_ref, round(f, 6) AS f FROM pairs_f""",
+    f"""WITH {ROUGE_PAIRS} SELECT pair_id, split, task, system, n, hits::BIGINT AS hits, n_pred::BIGINT AS n_pred, n_ref::BIGINT AS n_ref, round(round(f, 9), 6) AS f FROM pairs_f""",
 )
 def m1_pairs(spark, folder):
     return _rounded(ngrams.rouge_pairs(_systems(spark, folder), BY, stems=False), "pair_id", *BY, "n")
@@ -140,7 +141,7 @@ def m5(spark, folder):
     return _rounded(ngrams.sari(_systems(spark, folder), BY), *BY)
 
 
-@query("m5_sari_pairs", f"WITH {SARI_PAIRS} SELECT pair_id, split, task, system, round(keep, 6) AS keep, round(delete, 6) AS delete, round(add, 6) AS add FROM sari_pairs")
+@query("m5_sari_pairs", f"WITH {SARI_PAIRS} SELECT pair_id, split, task, system, round(round(keep, 9), 6) AS keep, round(round(delete, 9), 6) AS delete, round(round(add, 9), 6) AS add FROM sari_pairs")
 def m5_pairs(spark, folder):
     return _rounded(ngrams.sari_pairs(_systems(spark, folder), BY), "pair_id", *BY)
 

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claritas.operators.trials import sortable
 from claritas.session import scratch_path
 
 
+def as_instant(c: Column) -> Column:
+    """A local time read as UTC, whatever the session zone: watermarks need instants."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c))
+
+
+def as_local(c: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
 def metric_board(log: DataFrame, delay: str = "1 day", period: str | None = None) -> DataFrame:
     """Newest value per (run, metric), and per period when one is given."""
     return _latest(log, delay, period, F.max_by("value", F.struct("ts", "step")).alias("value"))
@@ -25,13 +35,19 @@ def best_so_far(log: DataFrame, delay: str = "1 day", period: str | None = None,
 
 
 def _latest(log: DataFrame, delay: str, period: str | None, *aggregates) -> DataFrame:
+    local = isinstance(log.schema["ts"].dataType, T.TimestampNTZType)
+    if local:
+        log = log.withColumn("ts", as_instant(F.col("ts")))
     if log.isStreaming:
         log = log.withWatermark("ts", delay)
     keys = [F.col("run"), F.col("metric")]
     if period:
         keys.insert(0, F.window("ts", period).alias("period"))
     out = log.groupBy(*keys).agg(*aggregates)
-    return out.withColumn("period", F.col("period.start")) if period else out
+    if period:
+        start = F.col("period.start")
+        out = out.withColumn("period", as_local(start) if local else start)
+    return out
 
 
 def run_to_table(board: DataFrame, keys: list[str], name: str = "board") -> DataFrame:
