@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 # Irregular forms and suffix rules of the algorithm.
@@ -28,17 +27,23 @@ STEP_4 = [
 ]
 
 
+_KINDS = str.maketrans({c: "v" if c in "aeiou" else "c" for c in "abcdefghijklmnopqrstuvwxyz0123456789"})
+
+
 def _shape(word: str) -> str:
     """c/v pattern; y is a vowel after a consonant."""
-    out = ""
-    for i, ch in enumerate(word):
-        vowel = ch in "aeiou" or (ch == "y" and i > 0 and out[-1] == "c")
-        out += "v" if vowel else "c"
-    return out
+    shape = word.translate(_KINDS)
+    if "y" in word:
+        kinds = list(shape)
+        for i, letter in enumerate(word):
+            if letter == "y" and i > 0 and kinds[i - 1] == "c":
+                kinds[i] = "v"
+        shape = "".join(kinds)
+    return shape
 
 
 def _measure(word: str) -> int:
-    return len(re.findall("v+c+", _shape(word)))
+    return _shape(word).count("vc")
 
 
 def _short_end(word: str) -> bool:

@@ -42,12 +42,15 @@ def strip(c: Column) -> Column:
 
 def clean_brackets(c: Column) -> Column:
     """Delete bracket tokens left by a treebank; `(?d)` makes the dot stop at newlines only."""
-    return F.regexp_replace(c, f"(?d){BRACKET_TOKENS}", "")
+    present = c.contains("LRB") | c.contains("RRB")
+    return F.when(present, F.regexp_replace(c, f"(?d){BRACKET_TOKENS}", "")).otherwise(c)
 
 
 def fold_accents(c: Column) -> Column:
     """Lower-case and drop diacritics, also those written as separate marks."""
-    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"\p{Mn}", "")
+    lower = F.lower(c)
+    folded = F.regexp_replace(F.translate(lower, ACCENTED, PLAIN), r"\p{Mn}", "")
+    return F.when(lower.rlike(r"[^\x00-\x7f]"), folded).otherwise(lower)
 
 
 def find_all(c: Column, pattern: str) -> Column:

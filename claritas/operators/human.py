@@ -103,47 +103,40 @@ def one_random(df: DataFrame, by: list[str], seed, keys: list[str]) -> DataFrame
 
 
 def _answer_counts(df: DataFrame, by: list[str], item: list[str], answer: str) -> DataFrame:
-    """Per item: number of answers m and the sum of squared answer counts."""
+    """x answers of a kind among the m of an item; an item has one row per kind of answer."""
     counts = df.where(F.col(answer).isNotNull()).groupBy(*by, *item, answer).agg(F.count(F.lit(1)).alias("x"))
-    return counts, counts.groupBy(*by, *item).agg(F.sum("x").alias("m"), F.sum(F.col("x") * F.col("x")).alias("sq"))
+    return counts.withColumn("m", F.sum("x").over(Window.partitionBy(*by, *item)))
+
+
+def _marginals(counts: DataFrame, by: list[str], answer: str, term: Column) -> DataFrame:
+    """Per group: answers n, sum of squared answer totals, sum of `term` over the count rows."""
+    per_answer = counts.groupBy(*by, answer).agg(F.sum("x").cast("double").alias("n_c"), F.sum(term).alias("_term"))
+    return per_answer.groupBy(*by).agg(
+        F.sum("n_c").alias("n"), F.sum(F.col("n_c") * F.col("n_c")).alias("squares"), F.sum("_term").alias("term")
+    )
 
 
 def krippendorff(df: DataFrame, by: list[str], item: list[str], answer: str = "answer") -> DataFrame:
     """Nominal alpha from answer counts.
 
-    With x_c answers c among the m of an item, unequal pairs add (m^2 - sum x_c^2)/(m - 1)
-    and the marginal of c is its number of answers, so no pair is ever listed.
+    x answers of a kind among m form x (m - x) / (m - 1) weighted unequal pairs, and the
+    marginal of a kind is its number of answers, so no pair is ever listed.
     """
-    counts, items = _answer_counts(df, by, item, answer)
-    items = items.where("m >= 2")
-    observed = items.groupBy(*by).agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / (F.col("m") - 1)).alias("unequal"))
-    marginal = (
-        counts.join(items.select(*by, *item), [*by, *item])
-        .groupBy(*by, answer)
-        .agg(F.sum("x").alias("n_c"))
-        .groupBy(*by)
-        .agg(F.sum("n_c").alias("n"), F.sum(F.col("n_c").cast("double") * F.col("n_c")).alias("sq_c"))
-    )
-    expected = F.col("n").cast("double") * F.col("n") - F.col("sq_c")
-    alpha = 1 - F.try_divide((F.col("n") - 1) * F.col("unequal"), expected)
-    return observed.join(marginal, by).select(*by, alpha.alias("alpha"))
+    counts = _answer_counts(df, by, item, answer).where("m >= 2")
+    unequal = F.col("x") * (F.col("m") - F.col("x")) / (F.col("m") - 1)
+    sums = _marginals(counts, by, answer, unequal)
+    expected = F.col("n") * F.col("n") - F.col("squares")
+    return sums.select(*by, (1 - F.try_divide((F.col("n") - 1) * F.col("term"), expected)).alias("alpha"))
 
 
 def fleiss(df: DataFrame, by: list[str], item: list[str], raters: int, answer: str = "answer") -> DataFrame:
     """Kappa over the items answered by exactly `raters` annotators (it is defined for these only)."""
-    counts, items = _answer_counts(df, by, item, answer)
-    items = items.where(F.col("m") == raters)
-    agreement = items.groupBy(*by).agg(F.avg((F.col("sq") - raters) / (raters * (raters - 1.0))).alias("p_bar"), F.count(F.lit(1)).alias("n_items"))
-    shares = (
-        counts.join(items.select(*by, *item), [*by, *item])
-        .groupBy(*by, answer)
-        .agg(F.sum("x").alias("n_c"))
-        .groupBy(*by)
-        .agg(F.sum(F.col("n_c").cast("double") * F.col("n_c")).alias("sq_c"), F.sum("n_c").alias("n"))
-    )
-    chance = F.col("sq_c") / (F.col("n").cast("double") * F.col("n"))
-    kappa = F.try_divide(F.col("p_bar") - chance, 1 - chance)
-    return agreement.join(shares, by).select(*by, "n_items", kappa.alias("kappa"))
+    counts = _answer_counts(df, by, item, answer).where(F.col("m") == raters)
+    equal = F.col("x") * (F.col("x") - 1) / (raters * (raters - 1.0))
+    sums = _marginals(counts, by, answer, equal).withColumn("n_items", (F.col("n") / raters).cast("long"))
+    chance = F.col("squares") / (F.col("n") * F.col("n"))
+    kappa = F.try_divide(F.col("term") / F.col("n_items") - chance, 1 - chance)
+    return sums.select(*by, "n_items", kappa.alias("kappa"))
 
 
 def criteria_table(spark) -> DataFrame:

@@ -15,20 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claritas.functions.stem import stem
-from claritas.functions.text import ascii_tokens, strip, tokens_13a
+from claritas.functions.text import ASCII_WORD, ascii_tokens, find_all, strip, tokens_13a
 from claritas.session import shuffle_width
 
 ORDERS = (1, 2, 3, 4)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(tokens: pd.Series) -> pd.Series:
+def stem_tokens(tokens: list[str]) -> list[str]:
     """Stems of tokens longer than three characters; other tokens as they are."""
-    return tokens.map(lambda row: None if row is None else [stem(t) if len(t) > 3 else t for t in row])
+    return [stem(t) if len(t) > 3 else t for t in tokens]
+
+
+@F.pandas_udf(T.StringType())
+def stemmed(text: pd.Series) -> pd.Series:
+    """Stems of blank-separated tokens; plain text crosses to Python faster than arrays."""
+    return text.map(lambda t: " ".join(stem_tokens(t.split())), na_action="ignore")
 
 
 def rouge_tokens(c: Column, stems: bool) -> Column:
-    return stemmed(ascii_tokens(c)) if stems else ascii_tokens(c)
+    tokens = ascii_tokens(c)
+    return find_all(stemmed(F.array_join(tokens, " ")), ASCII_WORD) if stems else tokens
 
 
 def grams(tokens: Column, n: int) -> Column:

@@ -1,55 +1,68 @@
 """Exact group statistics: percentiles by ranks, describe tables, box-plot numbers.
 
 The built-in exact percentile keeps all distinct values of a group in one buffer. Here
-values are counted first and the ranks are found with the bucketed running sum, so a group
-of any size stays spread over the cluster.
+values are counted once and stored; ranks are then found with the bucketed running sum, so a
+group of any size stays spread over the cluster and the input is read a single time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claritas.operators.numbering import running_total
+from claritas.session import written
 
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
-def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Linear-interpolation percentiles; `shares` maps output name to share in [0, 1]."""
+
+def _target(share: float) -> Column:
+    return F.lit(float(share)) * (F.col("_size") - 1)
+
+
+def _summary(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group: n, mean, std, min, max and the listed percentiles of the known values."""
     known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = known.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(
+        known.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "value-counts"
+    )
+    totals = [F.sum("_n").alias("_size"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean")]
     ranked = running_total(counts, by, ["_v"], weight="_n", name="_upto")
     if by:
-        sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-        ranked = ranked.join(sizes, by)
+        ranked = ranked.join(counts.groupBy(*by).agg(*totals), by)
     else:
-        ranked = ranked.withColumn("_size", F.lit(counts.agg(F.sum("_n")).first()[0]))
+        size, mean = counts.agg(*totals).first()
+        ranked = ranked.withColumns({"_size": F.lit(size), "_mean": F.lit(mean)})
     picks = []
     for name, share in shares.items():
-        target = F.lit(float(share)) * (F.col("_size") - 1)
-        for side, rank in (("lo", F.floor(target)), ("hi", F.ceil(target))):
+        for side, rank in (("lo", F.floor(_target(share))), ("hi", F.ceil(_target(share)))):
             covers = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
             picks.append(F.max(F.when(covers, F.col("_v"))).alias(f"_{side}_{name}"))
-    found = ranked.groupBy(*by).agg(F.max("_size").alias("_size"), *picks)
-    out = []
+    distance = F.col("_v") - F.col("_mean")
+    found = ranked.groupBy(*by).agg(
+        F.max("_size").alias("_size"),
+        F.max("_mean").alias("mean"),
+        F.sum(distance * distance * F.col("_n")).alias("_squares"),
+        F.min("_v").alias("min"),
+        F.max("_v").alias("max"),
+        *picks,
+    )
+    out = {}
     for name, share in shares.items():
-        target = F.lit(float(share)) * (F.col("_size") - 1)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (high - low) * (target - F.floor(target))).alias(name))
-    return found.select(*by, *out)
+        out[name] = low + (high - low) * (_target(share) - F.floor(_target(share)))
+    spread = F.when(F.col("_size") > 1, F.sqrt(F.col("_squares") / (F.col("_size") - 1)))
+    return found.withColumns({"n": F.col("_size"), "std": spread, **out})
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Linear-interpolation percentiles; `shares` maps output name to share in [0, 1]."""
+    return _summary(df, by, value, shares).select(*by, *shares)
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, sample std, min, quartiles and max of `value` per group."""
-    column = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    basics = df.groupBy(*by).agg(
-        F.count(column).alias("n"),
-        F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("std"),
-        F.min(column).alias("min"),
-        F.max(column).alias("max"),
-    )
-    quartiles = percentiles(df, by, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return basics.join(quartiles, by, "left").select(*by, "n", "mean", "std", "min", "q25", "median", "q75", "max")
+    """count, mean, sample std, min, quartiles and max of `value` per group with a known value."""
+    return _summary(df, by, value, QUARTILES).select(*by, "n", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
 def box_fences(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -22,6 +22,7 @@ from claritas.operators.numbering import top_rows
 
 SHIP_LIMIT = 64 << 20
 BLOCK_ROWS = 2048
+MIN_BLOCK = 256
 DIGITS = 9  # equal vectors must tie whatever order a matrix product adds in
 OUT = "query_id long, item_id long, task string, similarity double"
 
@@ -129,7 +130,7 @@ def _ship_corpus(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool)
 
 def _meet_blocks(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, width: int, limit: int) -> DataFrame:
     """Rows get a block by hash; each side is copied to the blocks of the other, so every cell is one small task."""
-    rows = max(256, min(limit // (16 * width) if limit else BLOCK_ROWS, 16 * BLOCK_ROWS))
+    rows = max(MIN_BLOCK, min(limit // (16 * width) if limit else BLOCK_ROWS, 16 * BLOCK_ROWS))
     n_queries = max(1, -(-queries.count() // rows))
     n_items = max(1, -(-corpus.count() // rows))
 

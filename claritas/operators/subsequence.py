@@ -1,6 +1,6 @@
 """ROUGE-L and ROUGE-Lsum: longest common subsequences, bit-parallel, inside Arrow batches.
 
-Each pair is scored where its text lies; nothing is shuffled before the final means.
+Pairs are spread by id once, as for the n-gram metrics; long pairs then meet no full task.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claritas.functions.stem import stem
-from claritas.functions.text import ascii_tokens, sentences
-from claritas.operators.ngrams import f_score, rouge_tokens
+from claritas.functions.text import ASCII_WORD, ascii_tokens, find_all, sentences
+from claritas.operators.ngrams import f_score, stem_tokens
+from claritas.session import shuffle_width
 
 
 def _columns(a, b) -> list[int]:
@@ -70,38 +70,46 @@ def union_hits(ref: list, pred: list) -> int:
     return hits
 
 
-@F.pandas_udf(T.LongType())
-def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_size(list(x), list(y)) for x, y in zip(a, b)])
+def _lcs_udf(stems: bool):
+    @F.pandas_udf(T.LongType())
+    def lcs(ref: pd.Series, pred: pd.Series) -> pd.Series:
+        def tokens(text: str) -> list[str]:
+            return stem_tokens(text.split()) if stems else text.split()
 
+        return pd.Series([lcs_size(tokens(r), tokens(p)) for r, p in zip(ref, pred)])
 
-@F.pandas_udf(T.LongType())
-def lcs_union(ref: pd.Series, pred: pd.Series) -> pd.Series:
-    return pd.Series([union_hits([list(s) for s in r], [list(s) for s in p]) for r, p in zip(ref, pred)])
+    return lcs
 
 
-@F.pandas_udf(T.LongType())
-def lcs_union_stems(ref: pd.Series, pred: pd.Series) -> pd.Series:
-    def stems(text) -> list[list[str]]:
-        return [[stem(t) if len(t) > 3 else t for t in sentence] for sentence in text]
+def _union_udf(stems: bool):
+    @F.pandas_udf(T.LongType())
+    def union(ref: pd.Series, pred: pd.Series) -> pd.Series:
+        def tokens(text: str) -> list[list[str]]:
+            split = [line.split() for line in text.split("\n")]
+            return [stem_tokens(s) if stems else s for s in split]
 
-    return pd.Series([union_hits(stems(r), stems(p)) for r, p in zip(ref, pred)])
+        return pd.Series([union_hits(tokens(r), tokens(p)) for r, p in zip(ref, pred)])
 
+    return union
 
-def _sentence_tokens(c: Column) -> Column:
-    return F.transform(sentences(c), ascii_tokens)
+
+def _token_text(c: Column) -> Column:
+    return F.array_join(ascii_tokens(c), " ")
 
 
 def rouge_l_pairs(df: DataFrame, by: list[str], stems: bool = True, summary: bool = False) -> DataFrame:
+    """Hits, totals and F per pair; `summary` takes the union over sentences."""
     keys = ["pair_id", *by]
-    if summary:
-        work = df.select(*keys, *[_sentence_tokens(F.col(s)).alias(f"_{s}") for s in ("ref", "pred")])
-        hits = (lcs_union_stems if stems else lcs_union)("_ref", "_pred")
-        sizes = [F.aggregate(F.col(f"_{s}"), F.lit(0), lambda t, x: t + F.size(x)) for s in ("pred", "ref")]
-    else:
-        work = df.select(*keys, *[rouge_tokens(F.col(s), stems).alias(f"_{s}") for s in ("ref", "pred")])
-        hits = lcs("_ref", "_pred")
-        sizes = [F.size(f"_{s}") for s in ("pred", "ref")]
+
+    def text(side: str) -> Column:
+        c = F.col(side)
+        return F.array_join(F.transform(sentences(c), _token_text), "\n") if summary else _token_text(c)
+
+    # Scoring costs far more than moving the text once, so pairs are spread evenly first.
+    spread = df.select(*keys, "ref", "pred").repartition(shuffle_width(df.sparkSession), "pair_id")
+    work = spread.select(*keys, *[text(s).alias(f"_{s}") for s in ("ref", "pred")])
+    hits = (_union_udf if summary else _lcs_udf)(stems)("_ref", "_pred")
+    sizes = [F.size(find_all(F.col(f"_{s}"), ASCII_WORD)) for s in ("pred", "ref")]
     counted = work.select(*keys, hits.alias("hits"), sizes[0].alias("n_pred"), sizes[1].alias("n_ref"))
     return counted.withColumn("f", f_score(F.col("hits"), F.col("n_pred"), F.col("n_ref")))
 

@@ -42,10 +42,13 @@ def fold_last(df: DataFrame, keys: list[str], value: str, order: list[str]) -> D
 
 
 def mean_std(df: DataFrame, by: list[str], value: str, digits: int | None = 2) -> DataFrame:
-    """Mean and sample deviation; one row alone has no deviation."""
+    """Mean and sample deviation; one row alone has no deviation.
+
+    Nine digits first: a sum in another order must not fall on the other side of a half.
+    """
     mean, std = F.avg(number(value)), F.stddev_samp(number(value))
     if digits is not None:
-        mean, std = F.round(mean, digits), F.round(std, digits)
+        mean, std = F.round(F.round(mean, 9), digits), F.round(F.round(std, 9), digits)
     return df.groupBy(*by).agg(F.count(number(value)).alias("n"), mean.alias("mean"), std.alias("std"))
 
 

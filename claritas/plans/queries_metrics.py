@@ -9,6 +9,7 @@ from claritas.operators import bertscore, ngrams, readability, subsequence, suit
 from claritas.operators.trials import mean_std
 from claritas.plans import fixtures as fx
 from claritas.plans.registry import query, table
+from claritas.session import written
 
 BY = ["split", "task", "system"]
 
@@ -221,7 +222,7 @@ _readability("m10_novelty", "novelty")
 @query(
     "m7_m10_documents",
     f"""WITH {fx.CORPUS}, systems AS (SELECT doc_id AS pair_id, split, task, source AS system, text AS src, text AS pred FROM corpus), {ROWS}
-        SELECT pair_id, round(kmre, 6) AS kmre, round(lix, 6) AS lix, round(compression_ratio, 6) AS compression_ratio, round(novelty, 6) AS novelty FROM scores""",
+        SELECT pair_id, {", ".join(f"round(round({c}, 9), 6) AS {c}" for c in ("kmre", "lix", "compression_ratio", "novelty"))} FROM scores""",
 )
 def m_documents(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("src"), F.col("text").alias("pred"))
@@ -258,13 +259,13 @@ def _vectors_of(spark, folder, rows):
 
 @query("m12_metric_suite")
 def m12(spark, folder):
-    rows = _systems(spark, folder)
+    rows = written(_systems(spark, folder), "m12")
     return suite.suite(rows, ["system"], stems=True)
 
 
 @query("m13_suite_per_task")
 def m13(spark, folder):
-    rows = _systems(spark, folder)
+    rows = written(_systems(spark, folder), "m13")
     return suite.keyed(suite.suite(rows, BY, tokens=_vectors_of(spark, folder, rows), baseline=BASELINE))
 
 

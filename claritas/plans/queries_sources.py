@@ -212,14 +212,13 @@ def s13(spark, folder):
 
 @query(
     "s14_trial_logs",
-    f"""WITH {fx.TRIALS}, stamped AS (SELECT *, 'trial_' || run AS trial_id FROM trials)
-        SELECT trial_id, step AS iteration, metric, round(value, 6) AS value FROM stamped
-        QUALIFY row_number() OVER (PARTITION BY trial_id ORDER BY step DESC) = 1""",
+    """SELECT 'trial_' || user_id % 40 AS trial_id, event_id AS iteration, event_type AS metric, round(value, 6) AS value FROM events
+       QUALIFY row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id DESC) = 1""",
 )
 def s14(spark, folder):
     path = scratch_path(spark, "s14")
-    rows = fx.trials(spark, folder).withColumn("folder", F.concat(F.lit("trial_"), "run"))
-    rows.selectExpr("step AS iteration", "metric", "value", "folder").repartition("folder").write.option("header", True).partitionBy("folder").csv(path)
+    rows = table(spark, folder, "events").withColumn("folder", F.concat(F.lit("trial_"), F.col("user_id") % 40))
+    rows.selectExpr("event_id AS iteration", "event_type AS metric", "value", "folder").repartition("folder").write.option("header", True).partitionBy("folder").csv(path)
     log = logs.read_progress(spark, path, "iteration bigint, metric string, value double, folder string")
     log = log.withColumn("trial_id", F.regexp_replace("trial_id", "^folder=", "")).drop("folder")
     return logs.last_iterations(log).select("trial_id", "iteration", "metric", F.round("value", 6).alias("value"))

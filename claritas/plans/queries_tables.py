@@ -102,7 +102,7 @@ def j10(spark, folder):
 
 @query(
     "a1_mean_std",
-    f"""WITH {fx.TRIALS} SELECT model, method, metric, count(*) AS n, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std
+    f"""WITH {fx.TRIALS} SELECT model, method, metric, count(*) AS n, round(round(avg(value), 9), 2) AS mean, round(round(stddev_samp(value), 9), 2) AS std
         FROM trials GROUP BY ALL""",
 )
 def a1(spark, folder):
@@ -111,7 +111,7 @@ def a1(spark, folder):
 
 @query(
     "a1_mean_std_lineitem",
-    "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 2) AS mean, round(stddev_samp(l_extendedprice), 2) AS std FROM lineitem GROUP BY ALL",
+    "SELECT l_returnflag, l_linestatus, count(*) AS n, round(round(avg(l_extendedprice), 9), 2) AS mean, round(round(stddev_samp(l_extendedprice), 9), 2) AS std FROM lineitem GROUP BY ALL",
 )
 def a1_lineitem(spark, folder):
     return trials.mean_std(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
@@ -343,7 +343,7 @@ def a18(spark, folder):
 
 @query(
     "a19_robustness",
-    f"""WITH {fx.TRIALS} SELECT model, method, k, metric, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM trials GROUP BY ALL""",
+    f"""WITH {fx.TRIALS} SELECT model, method, k, metric, count(*) AS n, round(round(avg(value), 9), 6) AS mean, round(round(stddev_samp(value), 9), 6) AS std FROM trials GROUP BY ALL""",
 )
 def a19(spark, folder):
     return trials.mean_std(fx.trials(spark, folder, steps=False), ["model", "method", "k", "metric"], "value", digits=6)
