@@ -59,6 +59,15 @@ STEP_BY_STEP = Template(
 )
 
 
+def _early(*extra: str) -> Template:
+    parts = [fixed.EARLY_OPENING, guideline_list(), fixed.EARLY_SHOTS_INTRO, "{shots}", *extra]
+    return Template("".join([*parts, fixed.EARLY_CLOSING, fixed.EARLY_TARGET_LABEL]), mark=fixed.ANSWER_MARK)
+
+
+EARLY = _early()
+EARLY_WITH_NEGATIVE = _early(fixed.EARLY_NEGATIVE_EXAMPLE)
+
+
 def fill(template: str, **columns: Column) -> Column:
     """Put columns into the named places; text inside a column is never read as a place."""
     parts: list[Column] = []

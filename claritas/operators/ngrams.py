@@ -1,6 +1,6 @@
 """Metrics from n-gram counts: ROUGE-1/2, corpus BLEU, SARI.
 
-Texts are hash-partitioned by pair once. Tokens, n-grams and both aggregations then stay in
+Texts are hash-partitioned by their key (pair and group) once. Tokens, n-grams and both aggregations then stay in
 that partitioning: grams are several times larger than the text and never cross the network,
 and no key is a gram alone, so frequent words cannot form a hot key.
 """
@@ -53,7 +53,7 @@ def gram_counts(df: DataFrame, keys: list[str], tokens: dict[str, Column], order
     """
     sides = list(tokens)
     # A fixed width: the grams outgrow the text, so sizes measured on the text would leave few tasks.
-    split = df.repartition(shuffle_width(df.sparkSession), keys[0]).select(*keys, *[t.alias(f"_{s}") for s, t in tokens.items()])
+    split = df.repartition(shuffle_width(df.sparkSession), *keys).select(*keys, *[t.alias(f"_{s}") for s, t in tokens.items()])
 
     lists = F.array(
         *[

@@ -61,6 +61,16 @@ def _bucketed(df: DataFrame, source: str, target: str, borders: list[float]) ->
     return cut.transform(df)
 
 
+def bucket_count(df: DataFrame) -> int:
+    return max(16, 4 * shuffle_width(df.sparkSession))
+
+
+def value_buckets(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add ordered buckets of about equal size over the values of a numeric column."""
+    borders, _ = _borders(df, column, bucket_count(df))
+    return _bucketed(df, column, name, borders)
+
+
 def running_total(
     df: DataFrame,
     by: list[str],
@@ -78,7 +88,7 @@ def running_total(
     gives the range of an evenly spread lead, such as a hash, and saves the pass for borders.
     """
     weight = F.lit(1) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    buckets = buckets or max(16, 4 * shuffle_width(df.sparkSession))
+    buckets = buckets or bucket_count(df)
     lead = sort_number(df, order[0]) if lead is None else lead
     work = df.withColumn(_LEAD, F.coalesce(lead, F.lit(-math.inf))).withColumn(_W, weight.cast("long"))
     if uniform:

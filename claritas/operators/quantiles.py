@@ -1,68 +1,107 @@
 """Exact group statistics: percentiles by ranks, describe tables, box-plot numbers.
 
 The built-in exact percentile keeps all distinct values of a group in one buffer. Here
-values are counted once and stored; ranks are then found with the bucketed running sum, so a
-group of any size stays spread over the cluster and the input is read a single time.
+values are counted once, stored, and cut into ordered buckets. Bucket totals tell which
+buckets hold a wanted rank, and only those are sorted, so a group of any size stays spread
+over the cluster and the input is read a single time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claritas.operators.numbering import running_total
+from claritas.operators.numbering import value_buckets
 from claritas.session import written
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
-def _target(share: float) -> Column:
-    return F.lit(float(share)) * (F.col("_size") - 1)
+def _ranks(share: float) -> tuple[Column, Column, Column]:
+    """Zero-based ranks below and above the wanted place, and the place."""
+    place = F.lit(float(share)) * (F.col("_size") - 1)
+    return F.floor(place), F.ceil(place), place
 
 
-def _summary(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Per group: n, mean, std, min, max and the listed percentiles of the known values."""
+def _covers(first: Column, n: Column, rank: Column) -> Column:
+    return (first <= rank) & (rank < first + n)
+
+
+def _value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = written(
-        known.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "value-counts"
+    counted = known.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return value_buckets(written(counted, "value-counts"), "_v", "_bucket")
+
+
+def _bucket_table(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Per (group, bucket): rows before and inside; per group: size, sum, range. Small: buckets are few."""
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    preceding = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counts.groupBy(*by, "_bucket").agg(
+        F.sum("_n").alias("_inside"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    return buckets.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_inside").over(preceding), F.lit(0)),
+            "_size": F.sum("_inside").over(group),
+            "mean": F.sum("_sum").over(group) / F.sum("_inside").over(group),
+            "min": F.min("_low").over(group),
+            "max": F.max("_high").over(group),
+        }
     )
-    totals = [F.sum("_n").alias("_size"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_mean")]
-    ranked = running_total(counts, by, ["_v"], weight="_n", name="_upto")
-    if by:
-        ranked = ranked.join(counts.groupBy(*by).agg(*totals), by)
-    else:
-        size, mean = counts.agg(*totals).first()
-        ranked = ranked.withColumns({"_size": F.lit(size), "_mean": F.lit(mean)})
+
+
+def _at_ranks(counts: DataFrame, buckets: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """Percentiles from the buckets that hold a wanted rank; the other values are not sorted."""
+    hit = F.lit(False)
+    for share in shares.values():
+        low, high, _ = _ranks(share)
+        hit = hit | _covers(F.col("_before"), F.col("_inside"), low) | _covers(F.col("_before"), F.col("_inside"), high)
+    wanted = buckets.where(hit).select(*by, "_bucket", "_before", "_size")
+    inner = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(wanted, [*by, "_bucket"])
+    ranked = ranked.withColumn("_first", F.col("_before") + F.sum("_n").over(inner) - F.col("_n"))
     picks = []
     for name, share in shares.items():
-        for side, rank in (("lo", F.floor(_target(share))), ("hi", F.ceil(_target(share)))):
-            covers = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-            picks.append(F.max(F.when(covers, F.col("_v"))).alias(f"_{side}_{name}"))
-    distance = F.col("_v") - F.col("_mean")
-    found = ranked.groupBy(*by).agg(
-        F.max("_size").alias("_size"),
-        F.max("_mean").alias("mean"),
-        F.sum(distance * distance * F.col("_n")).alias("_squares"),
-        F.min("_v").alias("min"),
-        F.max("_v").alias("max"),
-        *picks,
-    )
-    out = {}
+        low, high, _ = _ranks(share)
+        for side, rank in (("lo", low), ("hi", high)):
+            picks.append(F.max(F.when(_covers(F.col("_first"), F.col("_n"), rank), F.col("_v"))).alias(f"_{side}_{name}"))
+    found = ranked.groupBy(*by).agg(F.max("_size").alias("_size"), *picks)
+    out = []
     for name, share in shares.items():
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out[name] = low + (high - low) * (_target(share) - F.floor(_target(share)))
-    spread = F.when(F.col("_size") > 1, F.sqrt(F.col("_squares") / (F.col("_size") - 1)))
-    return found.withColumns({"n": F.col("_size"), "std": spread, **out})
+        low, _, place = _ranks(share)
+        step = F.col(f"_hi_{name}") - F.col(f"_lo_{name}")
+        out.append((F.col(f"_lo_{name}") + step * (place - low)).alias(name))
+    return found.select(*by, *out)
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Linear-interpolation percentiles; `shares` maps output name to share in [0, 1]."""
-    return _summary(df, by, value, shares).select(*by, *shares)
+    counts = _value_counts(df, by, value)
+    return _at_ranks(counts, _bucket_table(counts, by), by, shares)
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, mean, sample std, min, quartiles and max of `value` per group with a known value."""
-    return _summary(df, by, value, QUARTILES).select(*by, "n", "mean", "std", "min", "q25", "median", "q75", "max")
+    counts = _value_counts(df, by, value)
+    buckets = _bucket_table(counts, by)
+    totals = buckets.select(*by, "_size", "mean", "min", "max").distinct()
+    distance = F.col("_v") - F.col("mean")
+    moments = (
+        counts.join(totals, by)
+        .groupBy(*by)
+        .agg(
+            F.max("_size").alias("n"),
+            F.max("mean").alias("mean"),
+            F.sum(distance * distance * F.col("_n")).alias("_squares"),
+            F.max("min").alias("min"),
+            F.max("max").alias("max"),
+        )
+    )
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1)))
+    quartiles = _at_ranks(counts, buckets, by, QUARTILES)
+    joined = moments.withColumn("std", std).join(quartiles, by)
+    return joined.select(*by, "n", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
 def box_fences(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -106,7 +106,7 @@ def rouge_l_pairs(df: DataFrame, by: list[str], stems: bool = True, summary: boo
         return F.array_join(F.transform(sentences(c), _token_text), "\n") if summary else _token_text(c)
 
     # Scoring costs far more than moving the text once, so pairs are spread evenly first.
-    spread = df.select(*keys, "ref", "pred").repartition(shuffle_width(df.sparkSession), "pair_id")
+    spread = df.select(*keys, "ref", "pred").repartition(shuffle_width(df.sparkSession), *keys)
     work = spread.select(*keys, *[text(s).alias(f"_{s}") for s in ("ref", "pred")])
     hits = (_union_udf if summary else _lcs_udf)(stems)("_ref", "_pred")
     sizes = [F.size(find_all(F.col(f"_{s}"), ASCII_WORD)) for s in ("pred", "ref")]

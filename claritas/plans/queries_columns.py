@@ -391,9 +391,9 @@ def f19(spark, folder):
     return mean_std(fx.trials(spark, folder, steps=False), ["run"], "value", digits=4)
 
 
-@query("f21_last_name_part", "SELECT doc_id, split_part('falc.mtl.' || source, '.', 3) AS part, split_part(source || '_' || lang, '_', 2) AS tail FROM documents")
+@query("f21_last_name_part", "SELECT doc_id, split_part('eval.sheet.' || source, '.', 3) AS part, split_part(source || '_' || lang, '_', 2) AS tail FROM documents")
 def f21(spark, folder):
-    dotted = F.concat(F.lit("falc.mtl."), "source")
+    dotted = F.concat(F.lit("eval.sheet."), "source")
     return _docs(spark, folder).select("doc_id", text.last_part(dotted, ".").alias("part"), text.last_part(F.concat_ws("_", "source", "lang"), "_").alias("tail"))
 
 

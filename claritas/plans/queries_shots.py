@@ -149,15 +149,17 @@ def _sql_prompt(template: str) -> str:
     "f3_render_prompts",
     f"""SELECT doc_id, md5({_sql_prompt(prompts.ZERO_SHOT.system)}) AS zero_system, md5(text) AS zero_user, md5({_sql_prompt(prompts.STEP_BY_STEP.system)}) AS steps_system,
                md5(replace({_sql_prompt(prompts.FEW_SHOT.system)}, '{{shots}}', source)) AS few_system,
+               md5(replace({_sql_prompt(prompts.EARLY.system)}, '{{shots}}', source)) AS early_system,
+               md5(replace({_sql_prompt(prompts.EARLY_WITH_NEGATIVE.system)}, '{{shots}}', source)) AS negative_system,
                md5('Tâche: ' || CASE lang WHEN 'fr' THEN 'FALC' ELSE lang END || chr(10) || 'Entrée: ' || text || chr(10) || 'Sortie: ') AS few_user FROM documents""",
 )
 def f3(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("input"), F.col("lang").alias("task"), F.col("source").alias("shots"))
-    named = {"zero": prompts.ZERO_SHOT, "steps": prompts.STEP_BY_STEP, "few": prompts.FEW_SHOT}
+    named = {"zero": prompts.ZERO_SHOT, "steps": prompts.STEP_BY_STEP, "few": prompts.FEW_SHOT, "early": prompts.EARLY, "negative": prompts.EARLY_WITH_NEGATIVE}
     for name, template in named.items():
         docs = prompts.render_prompt(docs, template, {"fr": "FALC"})
         docs = docs.withColumnsRenamed({"system_prompt": f"{name}_system", "user_prompt": f"{name}_user"})
-    kept = ["zero_system", "zero_user", "steps_system", "few_system", "few_user"]
+    kept = ["zero_system", "zero_user", "steps_system", "few_system", "few_user", "early_system", "negative_system"]
     return docs.select("doc_id", *[F.md5(c).alias(c) for c in kept])
 
 

@@ -301,3 +301,16 @@ def t4(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source")
     file = F.when(F.col("source").contains("1"), F.concat(F.lit("test_"), "source")).otherwise(F.col("source"))
     return test_files_first(docs.withColumn("file", file), "file", "doc_id")
+
+
+@query(
+    "h1_own_corpus_loader",
+    "SELECT item_id, 'benchmark_easy' AS task, 'test' AS split, md5(text) AS src_md5, md5('easy ' || text) AS dst_md5 FROM benchmark",
+)
+def h1(spark, folder):
+    def load(session, location):
+        items = table(session, location, "benchmark")
+        return items.select("item_id", F.lit("test").alias("split"), F.col("text").alias("src"), F.concat(F.lit("easy "), "text").alias("dst"))
+
+    corpora.register_corpus("benchmark_easy", load)
+    return _digests(corpora.load_tasks(spark, folder, ["benchmark_easy"]), "item_id", "task", "split")

@@ -54,8 +54,8 @@ def test_first_two_columns_and_line_count(spark, tmp_path):
 
 
 def test_sheets_with_index_columns_and_newlines(spark, tmp_path):
-    (tmp_path / "falc.mtl.Ann.csv").write_text('sample_id,annotator_id,CI3,CI4\n1,ann,Oui,"Non\nApplicable"\n')
-    (tmp_path / "falc.mtl.BOB.csv").write_text(",Unnamed: 0,sample_id,annotator_id,CI3\n0,0,2,bob,Non\n")
+    (tmp_path / "eval.sheet.Ann.csv").write_text('sample_id,annotator_id,CI3,CI4\n1,ann,Oui,"Non\nApplicable"\n')
+    (tmp_path / "eval.sheet.BOB.csv").write_text(",Unnamed: 0,sample_id,annotator_id,CI3\n0,0,2,bob,Non\n")
     df = sheets.read_all_sheets(spark, sorted(str(p) for p in tmp_path.iterdir()))
     assert set(df.columns) == {"sample_id", "annotator_id", "CI3", "CI4", "file_annotator"}
     got = {r.file_annotator: (r.sample_id, r.CI3, r.CI4) for r in df.collect()}
