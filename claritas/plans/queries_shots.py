@@ -116,10 +116,11 @@ SHOT = f"'### Exemple ' || shot || chr(10) || 'Tâche: ' || {NAMED} || chr(10) |
 
 
 def _shot_texts(spark, folder):
-    ordered = shots.order_shots(_retrieved(spark, folder), "sort_similarity_ascending").select("query_id", "item_id", "task", "shot")
+    # examples without content fall out before they are numbered
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("src"), F.col("source").alias("dst"))
-    content = shots.rename_tasks(ordered.join(docs, "item_id"), NAMES)
-    return content.withColumn("shot_text", shots.shot_text(F.col("shot"), F.col("task"), F.col("src"), F.col("dst")))
+    content = _retrieved(spark, folder).join(docs, "item_id")
+    ordered = shots.rename_tasks(shots.order_shots(content, "sort_similarity_ascending"), NAMES)
+    return ordered.withColumn("shot_text", shots.shot_text(F.col("shot"), F.col("task"), F.col("src"), F.col("dst")))
 
 
 @query(

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from claritas.operators.corpus import select_tasks
+from claritas.sources.corpora import snapshot
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -62,8 +64,17 @@ def test_every_sql_has_a_query():
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["p8_flags"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,quality:int,toxic:int>" in plan
-    plan = QUERIES["p6_tasks_per_split"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [Or(" in plan and "text" not in plan.split("ReadSchema")[1]
+    plan = QUERIES["q3_missing_metrics"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(value,60.0)" in plan
+
+
+def test_task_choice_prunes_partitions(spark, tmp_path):
+    df = spark.createDataFrame([("a", "train", "x"), ("b", "test", "y")], "task string, split string, src string")
+    stored = snapshot(df, str(tmp_path / "pairs"))
+    chosen = select_tasks(stored, {"train": ["a"]})
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "task" in filters and "split" in filters and chosen.count() == 1
 
 
 def test_grams_stay_in_the_partitioning_of_their_pair(spark):
