@@ -96,31 +96,34 @@ CORPUS = f"""corpus AS (
   FROM documents)"""
 TASKS = ["fr", "en", "de", "es"]
 
-# --- vectors: queries and a corpus of shots ------------------------------------------------
+# --- vectors: every stored vector asks, every stored vector can be found ----------------------
 
 
 def knn_queries(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = table(spark, folder, "embeddings")
-    return vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def knn_corpus(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
-    return vectors.where("vec_id % 10 <> 0").select(
-        F.col("vec_id").alias("item_id"), "embedding", pick(["a", "b", "c"], F.col("label") % 3).alias("task")
-    )
+    return vectors.select(F.col("vec_id").alias("item_id"), "embedding", pick(["a", "b", "c"], F.col("label") % 3).alias("task"))
 
 
-KNN = """vecs AS (
+def _knn(roles: str) -> str:
+    return f"""vecs AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 found AS (
   SELECT q.vec_id AS query_id, c.vec_id AS item_id, ['a', 'b', 'c'][c.label % 3 + 1] AS task,
          round(list_dot_product(q.v, c.v), 9) AS similarity
-  FROM vecs q JOIN vecs c ON q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0),
+  FROM vecs q JOIN vecs c ON {roles}),
 shots AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, task ORDER BY similarity DESC, item_id) AS rank
   FROM found QUALIFY rank <= 3)"""
 
+
+KNN = _knn("true")
+# Two roles that share the table between them: one vector in ten asks, the others can be found.
+KNN_ROLES = _knn("q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0")
+
 # --- trials: events as a metric log --------------------------------------------------------
 
 

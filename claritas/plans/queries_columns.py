@@ -287,8 +287,10 @@ def f7(spark, folder):
 )
 def f8(spark, folder):
     rows = _docs(spark, folder).select("doc_id", _tokens().alias("t"))
-    cut = {"input_ids": 512, "labels": 256, "fixed_labels": 128}
-    return rows.select("doc_id", *[F.array_join(token_arrays.truncate(F.col("t"), n), " ").alias(c) for c, n in cut.items()])
+    cut = batches.truncate_pairs(rows, "t", "t", 512, 256)
+    old = batches.truncate_pairs(cut.withColumnRenamed("labels", "kept"), "t", "t", 512, 256, legacy_label_length=True)
+    named = {"input_ids": "input_ids", "kept": "labels", "labels": "fixed_labels"}
+    return old.select("doc_id", *[F.array_join(c, " ").alias(name) for c, name in named.items()])
 
 
 @query(

@@ -8,7 +8,7 @@ from claritas.functions import text
 from claritas.operators import bertscore, ngrams, readability, subsequence, suite
 from claritas.operators.trials import mean_std
 from claritas.plans import fixtures as fx
-from claritas.plans.registry import query, table
+from claritas.plans.registry import SQL, query, table
 from claritas.session import written
 
 BY = ["split", "task", "system"]
@@ -250,11 +250,42 @@ def m11(spark, folder):
 
 
 def _vectors_of(spark, folder, rows):
-    """Token vectors of every pair: its words in order, each with a stored vector picked by word length."""
-    stored = table(spark, folder, "embeddings").where("vec_id < 32").select(F.col("vec_id").cast("int").alias("_len"), F.col("embedding").alias("vec"))
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.slice(text.word_tokens(F.col(s)), 1, 1 << 30).alias("words")) for s in ("pred", "ref")])
+    """Token vectors of every pair: its words in order, each with one of the stored vectors, picked by its letters."""
+    stored = table(spark, folder, "embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vec"))
+    n_stored = stored.count()
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), text.word_tokens(F.col(s)).alias("words")) for s in ("pred", "ref")])
     words = rows.select("pair_id", *BY, F.inline(sides)).select("pair_id", *BY, "side", F.posexplode("words").alias("tok_pos", "word"))
-    return words.withColumn("_len", F.length("word") % 32).join(F.broadcast(stored), "_len").select("pair_id", *BY, "side", "tok_pos", "vec")
+    picked = words.withColumn("_id", (F.ascii("word").cast("long") * 31 + F.length("word")) % n_stored)
+    return picked.join(stored, "_id").select("pair_id", *BY, "side", "tok_pos", "vec")
+
+
+def _long_sql(select: str, metrics: list[str]) -> str:
+    parts = ", ".join(f"('{m}', CAST({m} AS DOUBLE))" for m in metrics)
+    return f"""SELECT split, task, system, metric, round(round(value, 9), 4) AS value
+        FROM ({select}) AS wide, LATERAL (VALUES {parts}) AS named(metric, value)"""
+
+
+SUITE_SQL = " UNION ALL ".join(
+    [
+        _long_sql(
+            f"WITH {ROUGE_PAIRS} SELECT split, task, system, avg(f) FILTER (n = 1) * 100 AS rouge1, avg(f) FILTER (n = 2) * 100 AS rouge2 FROM pairs_f GROUP BY ALL",
+            ["rouge1", "rouge2"],
+        ),
+        _long_sql(SQL["m4_bleu"].replace(", 6) AS bleu", ", 12) AS bleu"), ["bleu"]),
+        _long_sql(SQL["m5_sari"].replace(", 6) AS sari", ", 12) AS sari"), ["sari"]),
+        _long_sql(
+            f"WITH {fx.SYSTEMS}, {ROWS} SELECT split, task, system, avg(kmre) AS kmre, avg(lix) AS lix, avg(compression_ratio) AS compression_ratio, avg(novelty) AS novelty, count(*) AS n_samples FROM scores GROUP BY ALL",
+            ["kmre", "lix", "compression_ratio", "novelty", "n_samples"],
+        ),
+    ]
+)
+
+
+@query("m12_suite_without_subsequences", SUITE_SQL)
+def m12_without(spark, folder):
+    rows = written(_systems(spark, folder), "m12")
+    table = suite.suite(rows, BY, stems=False, subsequences=False, digits=9)
+    return table.withColumn("value", F.round("value", 4))
 
 
 @query("m12_metric_suite")

@@ -46,9 +46,11 @@ def w4(spark, folder):
     return _found(spark, folder, k=2).select("query_id", "task", "rank", "item_id")
 
 
-@query("j6_search_summary", f"WITH {fx.KNN} SELECT count(*) AS n, round(sum(similarity), 6) AS similarity, sum(item_id)::BIGINT AS items FROM shots")
+@query("j6_search_summary", f"WITH {fx.KNN_ROLES} SELECT count(*) AS n, round(sum(similarity), 6) AS similarity, sum(item_id)::BIGINT AS items FROM shots")
 def j6_summary(spark, folder):
-    return _found(spark, folder).agg(
+    asked = fx.knn_queries(spark, folder).where("query_id % 10 = 0")
+    held = fx.knn_corpus(spark, folder).where("item_id % 10 <> 0")
+    return retrieval.top_k(asked, held, K).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("similarity"), 6).alias("similarity"), F.sum("item_id").alias("items")
     )
 
