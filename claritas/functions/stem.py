@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 # Irregular forms and suffix rules of the algorithm.
 IRREGULAR = {
     "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
@@ -90,7 +88,6 @@ def _replace_first(w: str, rules: list[tuple[str, str]]) -> str:
     return stem + new if _measure(stem) > 0 else w
 
 
-@lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
     if word in IRREGULAR:
         return IRREGULAR[word]

@@ -17,17 +17,17 @@ CHUNK = 512
 BEST = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("pred_best", "ref_best")])
 
 
-def _unit(rows) -> np.ndarray:
-    matrix = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+def _unit(flat, rows: int) -> np.ndarray:
+    matrix = np.asarray(flat, dtype=np.float64).reshape(rows, -1)
     size = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(size > 0, size, 1.0)
 
 
 @F.pandas_udf(BEST)
-def best_cosines(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+def best_cosines(pred: pd.Series, n_pred: pd.Series, ref: pd.Series, n_ref: pd.Series) -> pd.DataFrame:
     found = []
-    for p, r in zip(pred, ref):
-        cosine = _unit(p) @ _unit(r).T
+    for p, n, r, m in zip(pred, n_pred, ref, n_ref):
+        cosine = _unit(p, n) @ _unit(r, m).T
         found.append((cosine.max(axis=1), cosine.max(axis=0)))
     return pd.DataFrame(found, columns=["pred_best", "ref_best"])
 
@@ -43,15 +43,16 @@ def _chunks(tokens: DataFrame, keys: list[str], side: str) -> DataFrame:
     return packed.select(
         *keys,
         f"{side}_chunk",
-        F.transform("_rows", lambda x: x["vec"]).alias(side),
-        F.transform("_rows", lambda x: x["tok_pos"]).alias(f"{side}_pos"),
+        # one flat array per chunk: nested arrays are slow to hand to Python
+        F.flatten(F.col("_rows")["vec"]).alias(side),
+        F.col("_rows")["tok_pos"].alias(f"{side}_pos"),
     )
 
 
 def token_best(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Best cosine of every token with a token of the other side."""
     met = _chunks(tokens, keys, "pred").join(_chunks(tokens, keys, "ref"), keys)
-    scored = met.withColumn("_best", best_cosines("pred", "ref"))
+    scored = met.withColumn("_best", best_cosines("pred", F.size("pred_pos"), "ref", F.size("ref_pos")))
     sides = F.array(
         *[
             F.struct(

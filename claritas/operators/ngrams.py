@@ -7,7 +7,8 @@ and no key is a gram alone, so frequent words cannot form a hot key.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,15 +22,18 @@ from claritas.session import shuffle_width
 ORDERS = (1, 2, 3, 4)
 
 
-def stem_tokens(tokens: list[str]) -> list[str]:
-    """Stems of tokens longer than three characters; other tokens as they are."""
-    return [stem(t) if len(t) > 3 else t for t in tokens]
+def token_stemmer() -> Callable[[list[str]], list[str]]:
+    """Stems of tokens longer than three characters; other tokens as they are. Words repeat, so stems are kept."""
+    known = lru_cache(maxsize=1 << 16)(stem)
+    return lambda tokens: [known(t) if len(t) > 3 else t for t in tokens]
 
 
 @F.pandas_udf(T.StringType())
-def stemmed(text: pd.Series) -> pd.Series:
+def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stems of blank-separated tokens; plain text crosses to Python faster than arrays."""
-    return text.map(lambda t: " ".join(stem_tokens(t.split())), na_action="ignore")
+    stems = token_stemmer()
+    for text in batches:
+        yield text.map(lambda t: " ".join(stems(t.split())), na_action="ignore")
 
 
 def rouge_tokens(c: Column, stems: bool) -> Column:

@@ -6,6 +6,7 @@ Pairs are spread by id once, as for the n-gram metrics; long pairs then meet no
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claritas.functions.text import ASCII_WORD, ascii_tokens, find_all, sentences
-from claritas.operators.ngrams import f_score, stem_tokens
+from claritas.operators.ngrams import f_score, token_stemmer
 from claritas.session import shuffle_width
 
 
@@ -72,23 +73,24 @@ def union_hits(ref: list, pred: list) -> int:
 
 def _lcs_udf(stems: bool):
     @F.pandas_udf(T.LongType())
-    def lcs(ref: pd.Series, pred: pd.Series) -> pd.Series:
-        def tokens(text: str) -> list[str]:
-            return stem_tokens(text.split()) if stems else text.split()
-
-        return pd.Series([lcs_size(tokens(r), tokens(p)) for r, p in zip(ref, pred)])
+    def lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        prepare = token_stemmer() if stems else list
+        for ref, pred in batches:
+            yield pd.Series([lcs_size(prepare(r.split()), prepare(p.split())) for r, p in zip(ref, pred)], dtype="int64")
 
     return lcs
 
 
 def _union_udf(stems: bool):
     @F.pandas_udf(T.LongType())
-    def union(ref: pd.Series, pred: pd.Series) -> pd.Series:
+    def union(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        prepare = token_stemmer() if stems else list
+
         def tokens(text: str) -> list[list[str]]:
-            split = [line.split() for line in text.split("\n")]
-            return [stem_tokens(s) if stems else s for s in split]
+            return [prepare(line.split()) for line in text.split("\n")]
 
-        return pd.Series([union_hits(tokens(r), tokens(p)) for r, p in zip(ref, pred)])
+        for ref, pred in batches:
+            yield pd.Series([union_hits(tokens(r), tokens(p)) for r, p in zip(ref, pred)], dtype="int64")
 
     return union
 
