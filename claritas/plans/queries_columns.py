@@ -380,14 +380,14 @@ def f17(spark, folder):
     )
 
 
-def _half_up(value: str, digits: int = 4) -> str:
+def half_up(value: str, digits: int = 4) -> str:
     """Rounding on the decimal text, halves up."""
     return f"CAST(round(CAST({value} AS DECIMAL(18, 9)), {digits}) AS DOUBLE)"
 
 
 @query(
     "f19_round_last",
-    f"WITH {fx.TRIALS} SELECT run, count(*) AS n, {_half_up('avg(value)')} AS mean, {_half_up('stddev_samp(value)')} AS std FROM trials GROUP BY run",
+    f"WITH {fx.TRIALS} SELECT run, count(*) AS n, {half_up('avg(value)')} AS mean, {half_up('stddev_samp(value)')} AS std FROM trials GROUP BY run",
 )
 def f19(spark, folder):
     return mean_std(fx.trials(spark, folder, steps=False), ["run"], "value", digits=4)

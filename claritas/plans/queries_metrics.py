@@ -8,6 +8,7 @@ from claritas.functions import text
 from claritas.operators import bertscore, ngrams, readability, subsequence, suite
 from claritas.operators.trials import mean_std
 from claritas.plans import fixtures as fx
+from claritas.plans.queries_columns import half_up
 from claritas.plans.registry import SQL, query, table
 from claritas.session import written
 
@@ -77,7 +78,7 @@ def m1(spark, folder):
 
 @query(
     "m1_rouge_n_pairs",
-    f"""WITH {ROUGE_PAIRS} SELECT pair_id, split, task, system, n, hits::BIGINT AS hits, n_pred::BIGINT AS n_pred, n_ref::BIGINT AS n_ref, round(round(f, 9), 6) AS f FROM pairs_f""",
+    f"""WITH {ROUGE_PAIRS} SELECT pair_id, split, task, system, n, hits::BIGINT AS hits, n_pred::BIGINT AS n_pred, n_ref::BIGINT AS n_ref, {half_up("f", 6)} AS f FROM pairs_f""",
 )
 def m1_pairs(spark, folder):
     return _rounded(ngrams.rouge_pairs(_systems(spark, folder), BY, stems=False), "pair_id", *BY, "n")
@@ -142,7 +143,7 @@ def m5(spark, folder):
     return _rounded(ngrams.sari(_systems(spark, folder), BY), *BY)
 
 
-@query("m5_sari_pairs", f"WITH {SARI_PAIRS} SELECT pair_id, split, task, system, round(round(keep, 9), 6) AS keep, round(round(delete, 9), 6) AS delete, round(round(add, 9), 6) AS add FROM sari_pairs")
+@query("m5_sari_pairs", f"WITH {SARI_PAIRS} SELECT pair_id, split, task, system, {half_up("keep", 6)} AS keep, {half_up("delete", 6)} AS delete, {half_up("add", 6)} AS add FROM sari_pairs")
 def m5_pairs(spark, folder):
     return _rounded(ngrams.sari_pairs(_systems(spark, folder), BY), "pair_id", *BY)
 
@@ -177,7 +178,7 @@ def m6(spark, folder):
     return _rounded(bertscore.bertscore(_token_vectors(spark, folder), ["task"], BASELINE), "task")
 
 
-@query("m6_token_matches", f"WITH {TOKENS} SELECT pair_id, side, tok_pos, round(b, 6) AS best FROM best")
+@query("m6_token_matches", f"WITH {TOKENS} SELECT pair_id, side, tok_pos, {half_up('b', 6)} AS best FROM best")
 def m6_tokens(spark, folder):
     return _rounded(bertscore.token_best(_token_vectors(spark, folder), ["pair_id"]), "pair_id", "side", "tok_pos")
 
@@ -222,7 +223,7 @@ _readability("m10_novelty", "novelty")
 @query(
     "m7_m10_documents",
     f"""WITH {fx.CORPUS}, systems AS (SELECT doc_id AS pair_id, split, task, source AS system, text AS src, text AS pred FROM corpus), {ROWS}
-        SELECT pair_id, {", ".join(f"round(round({c}, 9), 6) AS {c}" for c in ("kmre", "lix", "compression_ratio", "novelty"))} FROM scores""",
+        SELECT pair_id, {", ".join(f"{half_up(c, 6)} AS {c}" for c in ("kmre", "lix", "compression_ratio", "novelty"))} FROM scores""",
 )
 def m_documents(spark, folder):
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("pair_id"), F.col("text").alias("src"), F.col("text").alias("pred"))

@@ -8,6 +8,7 @@ from claritas.functions import prompts, text
 from claritas.functions.hooks import encode, generate
 from claritas.operators import retrieval, shots, trials
 from claritas.plans import fixtures as fx
+from claritas.plans.queries_columns import half_up
 from claritas.plans.registry import query, table
 
 K = 3
@@ -36,7 +37,7 @@ def _ordered(name: str, method: str, order: str, extra: str = ""):
     return run
 
 
-@query("j6_inner_product_search", f"WITH {fx.KNN} SELECT query_id, item_id, task, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM shots")
+@query("j6_inner_product_search", f"WITH {fx.KNN} SELECT query_id, item_id, task, {half_up('similarity', 6)} AS similarity, CAST(rank AS INT) AS rank FROM shots")
 def j6(spark, folder):
     return _found(spark, folder).withColumn("similarity", F.round("similarity", 6))
 
@@ -57,9 +58,9 @@ def j6_summary(spark, folder):
 
 @query(
     "j7_neighbours_of_stored_rows",
-    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
        s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 9) AS similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id)
-       SELECT query_id, item_id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM (
+       SELECT query_id, item_id, {half_up("similarity", 6)} AS similarity, CAST(rank AS INT) AS rank FROM (
          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s) WHERE rank <= 5""",
 )
 def j7(spark, folder):
