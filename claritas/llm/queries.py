@@ -1,6 +1,6 @@
 """The registered queries: each applies its operator to the whole table with production parameters."""
 
-from claritas.llm import decontamination
+from claritas.llm import decontamination, mixing, secrets
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 # Shared SQL: words of a text, A-Z lower-cased.
@@ -28,3 +28,13 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 def op1(spark, folder):
     found = decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"], n=10)
     return decontamination.report(found)
+
+
+@query("op3_mixing")
+def op3(spark, folder):
+    return mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), ["doc_id"])
+
+
+@query("op7_secrets")
+def op7(spark, folder):
+    return secrets.report(table(spark, folder, "documents"))
