@@ -1,6 +1,8 @@
 """The registered queries: each applies its operator to the whole table with production parameters."""
 
-from claritas.llm import decontamination, mixing, secrets
+from pyspark.sql import functions as F
+
+from claritas.llm import decontamination, mixing, quality, secrets
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 # Shared SQL: words of a text, A-Z lower-cased.
@@ -30,6 +32,14 @@ def op1(spark, folder):
     return decontamination.report(found)
 
 
+@query("op2_quality")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = quality.fit_quality(docs, table(spark, folder, "labels"))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query("op3_mixing")
 def op3(spark, folder):
     return mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), ["doc_id"])
