@@ -41,7 +41,7 @@ def _keyed(docs: DataFrame, weight: Column, keep: list[str]) -> DataFrame:
     draw = F.xxhash64(F.lit(SEED), F.col("doc_id"), tie)
     u = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / float(1 << 53)
     return docs.select(
-        *[F.col(c) for c in keep],
+        F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("_kept"),
         F.col("source").alias("_source"),
         F.col("doc_id").alias("_id"),
         tie.alias("_tie"),
@@ -82,10 +82,10 @@ def mix(
     """Columns `keep` of `docs`, then size, source_size, target (of the source) and taken (words), one row per document.
 
     Sources in code point order (null last) get `shares` in turn of `ratio` times all words; no source
-    takes more than `cap` times its words, the excess goes to the others by share.
+    takes more than `cap` times its words, the excess goes to the others by share. A kept column with
+    the name of an output gives way to it.
     """
-    if set(keep) & {*OUTPUT, "_source", "_id", "_tie", "_v"}:
-        raise ValueError(f"keep must not name {OUTPUT}")
+    keep = [c for c in keep if c.lower() not in OUTPUT]
     spark = docs.sparkSession
     weight = text_quality(F.col("text")) if weight is None else F.greatest(F.coalesce(weight, F.lit(1.0)).cast("double"), F.lit(1e-3))
     slim = [c for c in keep if c in ("doc_id", "source")]
@@ -113,4 +113,4 @@ def mix(
     rows = rows.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(totals, rows["_source"].eqNullSafe(totals["_of"]) & (rows["_bucket"] == totals["_b"]))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_rest") - F.col("_before") - F.col("_within")))
-    return rows.select(*keep, "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).cast("bigint").alias("taken"))
+    return rows.select(*[F.col("_kept").getField(c).alias(c) for c in keep], "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).cast("bigint").alias("taken"))

@@ -213,12 +213,18 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     if name in keep:
         raise ValueError(f"{name} is taken; name the score differently")
     sent = docs.sparkSession.sparkContext.broadcast((model.ratio, model.weight, model.bias, model.slope, model.offset))
-    picked = docs.select(F.col("text").cast("string").alias("_text"), *[F.col(c) for c in keep])
+    picked = docs.select(F.col("text").cast("string").alias(W.free("_text", [*keep, name])), *[F.col(c) for c in keep])
     kinds = dict(docs.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"`{name}` double"])
     return picked.mapInArrow(lambda batches: _score(batches, sent, name), schema)
 
 
+def keep_good(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
+    """`docs` without the documents that score below `least`."""
+    name = W.free("score", docs.columns)
+    return score(docs, model, name=name).where(F.col(name) >= least).select(*docs.columns)
+
+
 def held_out(doc_id) -> F.Column:
     """crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from claritas.llm import decontamination, mixing, quality, secrets
+import corpus_pipeline
+from claritas.llm import decontamination, jaccard, mixing, quality, secrets
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 # Shared SQL: words of a text, A-Z lower-cased.
@@ -45,6 +46,16 @@ def op3(spark, folder):
     return mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), ["doc_id"])
 
 
+@query("op6_jaccard_join")
+def op6(spark, folder):
+    return jaccard.similar(table(spark, folder, "documents"), n=4, num=85, den=100)
+
+
 @query("op7_secrets")
 def op7(spark, folder):
     return secrets.report(table(spark, folder, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)

@@ -140,16 +140,19 @@ def redact(docs: DataFrame, max_owners: int = 2) -> DataFrame:
 
     Only rows that hold a candidate meet the ownership counts; the others never leave their partition.
     """
-    columns = docs.columns
-    rows = written(scan(docs).withColumn("_row", F.monotonically_increasing_id()), "secret-rows")
-    plain = rows.where(F.size("_wide") == 0).withColumn("_all", F.col("_base"))
+    packed = docs.select(F.struct("*").alias("doc"), F.col("source").alias("source"), F.col("text").cast("string").alias("text"))
+    rows = written(scan(packed).drop("text").withColumn("_row", F.monotonically_increasing_id()), "secret-rows")
+    plain = rows.where(F.size("_wide") == 0).select("doc", F.col("_base").alias("_all"))
     some = rows.where(F.size("_wide") > 0)
     added = judged(rows, max_owners).where(F.size("_added") > 0).select(F.col("_row").alias("_of"), "_added")
     some = some.join(added, F.col("_row") == F.col("_of"), "left")
-    some = some.withColumn("_all", F.array_sort(F.concat("_base", F.coalesce("_added", F.filter("_base", lambda s: F.lit(False))))))
-    both = plain.unionByName(some.select(*plain.columns))
-    text = F.when(F.size("_all") > 0, _cut(F.col("text"), F.col("_all"))).otherwise(F.col("text"))
-    out = both.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    none = F.filter("_base", lambda s: F.lit(False))
+    some = some.select("doc", F.array_sort(F.concat("_base", F.coalesce("_added", none))).alias("_all"))
+    both = plain.unionByName(some)
+    held = F.size("_all") > 0
+    text = F.when(held, _cut(F.col("doc.text").cast("string"), F.col("_all"))).otherwise(F.col("doc.text"))
+    both = both.withColumn("text", text)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(held, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return both.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -30,6 +30,14 @@ STEP = np.uint64(0xD1342543DE82EF95)
 SLICE_BYTES = 2 << 20
 
 
+def free(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (murmur style)."""
     x = x ^ (x >> np.uint64(33))
