@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claritas.llm import decontamination, jaccard, mixing, ngram_lm, quality, secrets
+from claritas.llm import decontamination, fingerprints, jaccard, mixing, ngram_lm, quality, secrets
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 # Shared SQL: words of a text, A-Z lower-cased.
@@ -56,6 +56,11 @@ def op7(spark, folder):
     return secrets.report(table(spark, folder, "documents"))
 
 
+@query("op8_fingerprints")
+def op8(spark, folder):
+    return fingerprints.compare_next(table(spark, folder, "documents"))
+
+
 @query("op9_kneser_ney")
 def op9(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", ngram_lm.held_out(F.col("doc_id")))
