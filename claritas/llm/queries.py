@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claritas.llm import decontamination, fingerprints, jaccard, mixing, ngram_lm, quality, secrets
+from claritas.llm import decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 # Shared SQL: words of a text, A-Z lower-cased.
@@ -46,6 +46,11 @@ def op3(spark, folder):
     return mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"), ["doc_id"])
 
 
+@query("op4_licenses")
+def op4(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"), ["doc_id"]).drop("runs")
+
+
 @query("op6_jaccard_join")
 def op6(spark, folder):
     return jaccard.similar(table(spark, folder, "documents"), n=4, num=85, den=100)
