@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claritas.llm import decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets
+from claritas.llm import decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets, wrappers
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 # Shared SQL: words of a text, A-Z lower-cased.
@@ -74,6 +74,11 @@ def op9(spark, folder):
     return ngram_lm.perplexity(scored).withColumn("train_tokens", F.lit(model.total).cast("bigint"))
 
 
+@query("op10_html_wrappers")
+def op10(spark, folder):
+    return wrappers.extract(table(spark, folder, "pages"), ["page_id", "url"])
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
