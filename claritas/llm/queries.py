@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claritas.llm import decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets, wrappers
+from claritas.llm import decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets, suffix_merge, wrappers
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 # Shared SQL: words of a text, A-Z lower-cased.
@@ -51,6 +51,11 @@ def op4(spark, folder):
     return licenses.scan(table(spark, folder, "documents"), ["doc_id"]).drop("runs")
 
 
+@query("op5_suffix_merge")
+def op5(spark, folder):
+    return suffix_merge.dedup(table(spark, folder, "documents"), ["doc_id"], length=400)
+
+
 @query("op6_jaccard_join")
 def op6(spark, folder):
     return jaccard.similar(table(spark, folder, "documents"), n=4, num=85, den=100)
