@@ -27,10 +27,7 @@ Without training rows the model is uniform over one word, and every score is 0.
 from __future__ import annotations
 
 import math
-import os
-import uuid
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -38,95 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claritas.llm import words as W
+from claritas.llm.files import PART, bucket_of, grouped, local_folder, mapped, parts, runs, save, spread, summed
 from claritas.session import scratch_path, shuffle_width
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 FLUSH = 2_000_000
 FREQUENT_CONTEXTS = 256
-PART = "kind tinyint, bucket bigint, a binary, b binary"
-
-
-def local_folder(uri: str) -> str:
-    found = urlparse(uri)
-    if found.scheme not in ("", "file"):
-        raise ValueError("the language model needs spark.checkpoint.dir as a mounted folder, for its files are memory-mapped")
-    return unquote(found.path)
-
-
-def bucket_of(code: np.ndarray, bits: int) -> np.ndarray:
-    return (code >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of equal values."""
-    if len(sorted_) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    return start, np.append(start[1:], len(sorted_))
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    start, _ = _runs(key)
-    return key[start], np.add.reduceat(count, start) if len(start) else count
-
-
-def _save(path: str, arrays: list[np.ndarray]) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    own = f"{path}.{uuid.uuid4().hex}"
-    with open(own, "wb") as f:
-        for x in arrays:
-            f.write(x.tobytes())
-    os.replace(own, path)
-
-
-def _map(path: str, kinds: list[tuple[str, int]]) -> list[np.ndarray]:
-    if not sum(n for _, n in kinds):
-        return [np.zeros(0, k) for k, _ in kinds]
-    raw, out, at = np.memmap(path, np.uint8, "r"), [], 0
-    for kind, n in kinds:
-        size = np.dtype(kind).itemsize * n
-        out.append(raw[at : at + size].view(kind))
-        at += size
-    return out
-
-
-def _part(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int8(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["kind", "bucket", "a", "b"])
-
-
-def _stats(kind: int, *values) -> tuple:
-    return (kind, -1, np.array(values, np.int64).tobytes(), b"")
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator:
-    """(bucket, arrays a, arrays b) of rows sorted by bucket; rows below bucket 0 as they are."""
-    bucket, a, b = None, [], []
-    for batch in batches:
-        for kind, at, x, y in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-            if at < 0:
-                yield None, (kind, at, x, y), None
-                continue
-            if at != bucket and a:
-                yield bucket, a, b
-                a, b = [], []
-            bucket = at
-            a.append(np.frombuffer(x, kinds[0]))
-            b.append(np.frombuffer(y, kinds[1]))
-    if a:
-        yield bucket, a, b
 
 
 def _count_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     keys, counts, held = [], [], 0
 
     def flush() -> pa.RecordBatch:
-        key, count = _summed(keys, counts)
-        start, end = _runs(bucket_of(key, bits))
-        return _part([(0, int(key[s] >> np.uint64(64 - bits)), key[s:e].tobytes(), count[s:e].tobytes()) for s, e in zip(start, end)])
+        key, count = summed(keys, counts)
+        start, end = runs(bucket_of(key, bits))
+        return parts([(0, int(key[s] >> np.uint64(64 - bits)), key[s:e].tobytes(), count[s:e].tobytes()) for s, e in zip(start, end)])
 
     for batch in batches:
         for words in W.word_slices(batch.column(0), W.BLANK):
@@ -142,11 +65,11 @@ def _count_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
 
 
 def _store_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    for bucket, a, b in _grouped(batches, (np.uint64, np.int64)):
-        code, count = _summed(a, b)
-        _save(f"{folder}/words-{bucket}", [code, count])
+    for bucket, a, b in grouped(batches, (np.uint64, np.int64)):
+        code, count = summed(a, b)
+        save(f"{folder}/words-{bucket}", [code, count])
         top = np.argsort(-count, kind="stable")[:64]
-        yield _part([(0, bucket, np.array([len(code), count.sum()], np.int64).tobytes(), np.stack([top, count[top]]).astype(np.int64).tobytes())])
+        yield parts([(0, bucket, np.array([len(code), count.sum()], np.int64).tobytes(), np.stack([top, count[top]]).astype(np.int64).tobytes())])
 
 
 class Vocabulary:
@@ -162,13 +85,13 @@ class Vocabulary:
         """Ids (-1: unknown) and counts of sorted codes."""
         ids, counts = np.full(len(code), -1, np.int64), np.zeros(len(code), np.int64)
         bucket = bucket_of(code, self.bits)
-        for s, e in zip(*_runs(bucket)):
+        for s, e in zip(*runs(bucket)):
             k = int(bucket[s])
             n = int(self.sizes[k])
             if n == 0:
                 continue
             if k not in self.maps:
-                self.maps[k] = _map(f"{self.folder}/words-{k}", [("u8", n), ("i8", n)])
+                self.maps[k] = mapped(f"{self.folder}/words-{k}", [("u8", n), ("i8", n)])
             known, count = self.maps[k]
             at = np.minimum(np.searchsorted(known, code[s:e]), n - 1)
             hit = known[at] == code[s:e]
@@ -211,7 +134,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, freq
         bucket = pair_bucket((key >> np.uint64(32)).astype(np.int64), key, frequent, bits)
         order = np.argsort(bucket, kind="stable")
         key, count, bucket = key[order], count[order].astype(np.uint32), bucket[order]
-        return _part([(1, int(bucket[s]), key[s:e].tobytes(), count[s:e].tobytes()) for s, e in zip(*_runs(bucket))])
+        return parts([(1, int(bucket[s]), key[s:e].tobytes(), count[s:e].tobytes()) for s, e in zip(*runs(bucket))])
 
     for batch in batches:
         for words in W.word_slices(batch.column(0), W.BLANK):
@@ -230,35 +153,50 @@ def _counts_of_counts(count: np.ndarray) -> np.ndarray:
 
 
 def _store_pairs(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: Vocabulary, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Files of pairs; on go the distinct contexts of each word by word range, and statistics."""
-    for bucket, a, b in _grouped(batches, (np.uint64, np.uint32)):
-        key, count = _summed(a, b)
+    """Files of pairs; on go statistics, and the distinct contexts of each word by word range, summed over the buckets of a task."""
+    words_, many_, held = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        word, many = summed(words_, many_)
+        place = np.searchsorted(vocabulary.offset, word, "right") - 1
+        return parts([(4, int(place[s]), (word[s:e] - vocabulary.offset[place[s]]).astype(np.uint32).tobytes(), many[s:e].astype(np.uint32).tobytes()) for s, e in zip(*runs(place))])
+
+    for bucket, a, b in grouped(batches, (np.uint64, np.uint32)):
+        key, count = summed(a, b)
         context = (key >> np.uint64(32)).astype(np.int64)
-        start, _ = _runs(context)
-        sums = np.stack([np.add.reduceat((count == 1).astype(np.int64), start), np.add.reduceat((count == 2).astype(np.int64), start), np.add.reduceat((count > 2).astype(np.int64), start)])
+        start, _ = runs(context)
+        sums = np.stack([np.add.reduceat(x.astype(np.int64), start) for x in (count == 1, count == 2, count > 2)])
         own = context[start]
-        _save(f"{folder}/pairs-{bucket}", [key, count.astype(np.uint32), own.astype(np.uint32), *sums.astype(np.uint32)])
-        rows = [(2, -1, np.array([bucket, len(key), len(own), *_counts_of_counts(count)], np.int64).tobytes(), b"")]
+        save(f"{folder}/pairs-{bucket}", [key, count.astype(np.uint32), own.astype(np.uint32), *sums.astype(np.uint32)])
         hot = np.isin(own, frequent)
-        rows.append((3, -1, np.concatenate([own[hot][None], sums[:, hot]]).astype(np.int64).tobytes(), b""))
+        yield parts(
+            [
+                (2, -1, np.array([bucket, len(key), len(own), *_counts_of_counts(count)], np.int64).tobytes(), b""),
+                (3, -1, np.concatenate([own[hot][None], sums[:, hot]]).astype(np.int64).tobytes(), b""),
+            ]
+        )
         word, many = np.unique((key & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        place = np.searchsorted(vocabulary.offset, word, "right") - 1
-        for s, e in zip(*_runs(place)):
-            rows.append((4, int(place[s]), (word[s:e] - vocabulary.offset[place[s]]).astype(np.uint32).tobytes(), many[s:e].astype(np.uint32).tobytes()))
-        yield _part(rows)
+        words_.append(word)
+        many_.append(many)
+        held += len(word)
+        if held > FLUSH:
+            yield flush()
+            words_, many_, held = [], [], 0
+    if held:
+        yield flush()
 
 
 def _store_contexts(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     """Files of the number of distinct contexts per word id; statistics pass through."""
-    for bucket, a, b in _grouped(batches, (np.uint32, np.uint32)):
+    for bucket, a, b in grouped(batches, (np.uint32, np.uint32)):
         if bucket is None:
-            yield _part([a])
+            yield parts([a])
             continue
-        word, many = _summed(a, b)
+        word, many = summed(a, b)
         dense = np.zeros(int(vocabulary.sizes[bucket]), np.uint32)
         dense[word] = many
-        _save(f"{folder}/contexts-{bucket}", [dense])
-        yield _part([(5, -1, np.array([bucket, many.sum(), *_counts_of_counts(many), len(many)], np.int64).tobytes(), b"")])
+        save(f"{folder}/contexts-{bucket}", [dense])
+        yield parts([(5, -1, np.array([bucket, many.sum(), *_counts_of_counts(many), len(many)], np.int64).tobytes(), b"")])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -290,12 +228,12 @@ class Model:
         """The lower order, for distinct sorted ids."""
         many = np.zeros(len(ids), np.int64)
         place = np.searchsorted(self.vocabulary.offset, ids, "right") - 1
-        for s, e in zip(*_runs(place)):
+        for s, e in zip(*runs(place)):
             if ids[s] < 0 and ids[e - 1] < 0:
                 continue
             k = int(place[s])
             if k not in self.context_maps:
-                self.context_maps[k] = _map(f"{self.vocabulary.folder}/contexts-{k}", [("u4", int(self.vocabulary.sizes[k]))])[0]
+                self.context_maps[k] = mapped(f"{self.vocabulary.folder}/contexts-{k}", [("u4", int(self.vocabulary.sizes[k]))])[0]
             many[s:e] = self.context_maps[k][ids[s:e] - self.vocabulary.offset[k]]
         kept = np.maximum(many - self.low_discount[np.minimum(many, 3)], 0.0) / max(self.context_total, 1)
         return kept + self.floor
@@ -309,13 +247,13 @@ class Model:
         order = np.argsort(bucket, kind="stable")
         known, key, bucket = known[order], key[order], bucket[order]
         d = self.discount[1:]
-        for s, e in zip(*_runs(bucket)):
+        for s, e in zip(*runs(bucket)):
             k = int(bucket[s])
             n, m = (int(x) for x in self.sizes[k])
             if n == 0:
                 continue
             if k not in self.pair_maps:
-                self.pair_maps[k] = _map(f"{self.vocabulary.folder}/pairs-{k}", [("u8", n), ("u4", n), ("u4", m), ("u4", m), ("u4", m), ("u4", m)])
+                self.pair_maps[k] = mapped(f"{self.vocabulary.folder}/pairs-{k}", [("u8", n), ("u4", n), ("u4", m), ("u4", m), ("u4", m), ("u4", m)])
             keys, counts, own, n1, n2, n3 = self.pair_maps[k]
             spot = known[s:e]
             at = np.minimum(np.searchsorted(keys, key[s:e]), n - 1)
@@ -346,19 +284,15 @@ class Model:
         return words.counts() + 1, total(counts > 0).astype(np.int64), total(base), total(np.log10(p))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    return df.repartition(shuffle_width(df.sparkSession), "bucket").sortWithinPartitions("bucket")
-
-
 def fit(training: DataFrame) -> Model:
     """A model of the column `text`."""
     spark = training.sparkSession
     folder = local_folder(scratch_path(spark, "lm"))
     texts = training.select(F.col("text").cast("string").alias("text"))
     documents, letters = texts.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()
-    bits = max(4, math.ceil(math.log2(max(4 * shuffle_width(spark), (letters or 0) // 4_000_000))))
+    bits = max(4, math.ceil(math.log2(max(shuffle_width(spark), (letters or 0) // 4_000_000))))
     counted = texts.mapInArrow(lambda b: _count_words(b, bits), PART)
-    rows = _spread(counted).mapInArrow(lambda b: _store_words(b, folder), PART).collect()
+    rows = spread(counted).mapInArrow(lambda b: _store_words(b, folder), PART).collect()
     sizes, total, top = np.zeros(1 << bits, np.int64), 0, []
     for r in rows:
         n, many = np.frombuffer(r["a"], np.int64)
@@ -370,8 +304,8 @@ def fit(training: DataFrame) -> Model:
     least = total / (4 << bits)
     often = sorted(((int(c), int(vocabulary.offset[k] + i)) for k, t in top for i, c in zip(*t) if c > least), reverse=True)
     frequent = np.array(sorted([i for _, i in often[: FREQUENT_CONTEXTS - 1]] + [len(vocabulary)]), np.int64)
-    pairs = _spread(texts.mapInArrow(lambda b: _count_pairs(b, vocabulary, frequent, bits), PART))
-    stored = _spread(pairs.mapInArrow(lambda b: _store_pairs(b, folder, vocabulary, frequent), PART))
+    pairs = spread(texts.mapInArrow(lambda b: _count_pairs(b, vocabulary, frequent, bits), PART))
+    stored = spread(pairs.mapInArrow(lambda b: _store_pairs(b, folder, vocabulary, frequent), PART))
     pair_sizes, followers = np.zeros((1 << bits, 2), np.int64), np.zeros((3, len(frequent)), np.int64)
     pair_counts, context_counts, context_total, context_known = np.zeros(4, np.int64), np.zeros(4, np.int64), 0, 0
     for r in stored.mapInArrow(lambda b: _store_contexts(b, folder, vocabulary), PART).toLocalIterator():

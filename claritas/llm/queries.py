@@ -5,27 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from claritas.llm import decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets, suffix_merge, wrappers
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
-
-# Shared SQL: words of a text, A-Z lower-cased.
-LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-ALNUM_WORDS = rf"regexp_extract_all({LOWERED}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
-
-OP1_SQL = f"""
-WITH d AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {ALNUM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
-bw AS (SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram
-       FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
-sizes AS (SELECT DISTINCT size FROM bw),
-dw AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
-       FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
-hits AS (SELECT doc_id, i, size, item FROM dw JOIN bw USING (size, gram)),
-covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
-"""
-
+from claritas.llm.sql import OP1_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP10_SQL
 
 @query("op1_decontamination", OP1_SQL)
 def op1(spark, folder):
@@ -56,12 +36,12 @@ def op5(spark, folder):
     return suffix_merge.dedup(table(spark, folder, "documents"), ["doc_id"], length=400)
 
 
-@query("op6_jaccard_join")
+@query("op6_jaccard_join", OP6_SQL)
 def op6(spark, folder):
     return jaccard.similar(table(spark, folder, "documents"), n=4, num=85, den=100)
 
 
-@query("op7_secrets")
+@query("op7_secrets", OP7_SQL)
 def op7(spark, folder):
     return secrets.report(table(spark, folder, "documents"))
 
@@ -71,15 +51,16 @@ def op8(spark, folder):
     return fingerprints.compare_next(table(spark, folder, "documents"))
 
 
-@query("op9_kneser_ney")
+@query("op9_kneser_ney", OP9_SQL)
 def op9(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", ngram_lm.held_out(F.col("doc_id")))
     model = ngram_lm.fit(docs.where("NOT held_out"))
     scored = ngram_lm.score(docs, model, ["doc_id", "held_out"])
-    return ngram_lm.perplexity(scored).withColumn("train_tokens", F.lit(model.total).cast("bigint"))
+    rounded = {c: F.round(c, 6) for c in ("base_score", "score")}  # sums of logarithms: their last digits follow the order of adding
+    return scored.withColumns(rounded).withColumn("train_tokens", F.lit(model.total).cast("bigint"))
 
 
-@query("op10_html_wrappers")
+@query("op10_html_wrappers", OP10_SQL)
 def op10(spark, folder):
     return wrappers.extract(table(spark, folder, "pages"), ["page_id", "url"])
 

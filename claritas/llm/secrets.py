@@ -25,7 +25,7 @@ KEY = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 # Candidates of the method.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 KINDS = ["assign", "access", "hex", "token", "pem"]
 MARK = "[SECRET]"

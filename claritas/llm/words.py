@@ -27,7 +27,7 @@ BLANK[9:14] = False
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1342543DE82EF95)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def free(name: str, taken: list[str]) -> str:
@@ -52,7 +52,7 @@ BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
 
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base), np.uint64)
-    out[0] = 1
+    out[:1] = 1
     return np.multiply.accumulate(out)
 
 
