@@ -170,43 +170,66 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def _clean(batches: Iterator[pa.RecordBatch], sent, spans: bool) -> Iterator[pa.RecordBatch]:
-    """Rows without hits; with `spans` all rows, the hit words cut out of their texts."""
+def _drop(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Rows without hits."""
     known = HashSet(sent.value)
     for batch in batches:
-        names = batch.schema.names
-        texts = batch.column(names.index("text"))
-        for words in W.word_slices(texts):
-            hit = np.zeros(len(words.code), bool)
-            for i, size, _ in known.hits(words):
-                hit[i : i + size] = True
-            dirty = set(words.doc[hit].tolist())
+        for words in W.word_slices(batch.column(batch.schema.names.index("text"))):
+            dirty = {int(words.doc[i]) for i, _, _ in known.hits(words)}
             part = batch.slice(words.first, words.n_docs)
-            if not dirty:
-                yield part
-            elif not spans:
-                yield part.filter(pa.array([d not in dirty for d in range(words.n_docs)]))
-            else:
-                at, new = words.offsets(), part.column(names.index("text")).to_pylist()
-                edges = np.concatenate([[0], np.cumsum([len((t or "").encode()) for t in new])])
-                for d in dirty:
-                    text, own = (new[d] or "").encode(), np.concatenate([[False], hit[at[d] : at[d + 1]], [False]]).astype(np.int8)
-                    runs, kept, last = np.flatnonzero(np.diff(own)), [], 0
-                    for a, b in zip(runs[::2], runs[1::2]):
-                        kept.append(text[last : int(words.start[at[d] + a] - edges[d])])
-                        last = int(words.end[at[d] + b - 1] - edges[d])
-                    new[d] = b"".join([*kept, text[last:]]).decode()
-                columns = [pa.array(new, batch.schema.field("text").type) if c == "text" else part.column(k) for k, c in enumerate(names)]
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield part.filter(pa.array([d not in dirty for d in range(words.n_docs)])) if dirty else part
+
+
+def _mark(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """The last column lists [first, end) of hit words, flat; hits of this block are added."""
+    known = HashSet(sent.value)
+    for batch in batches:
+        marks = batch.column(batch.num_columns - 1).to_pylist()
+        for words in W.word_slices(batch.column(batch.schema.names.index("text"))):
+            at = words.offsets()
+            for i, size, _ in known.hits(words):
+                d = int(words.doc[i])
+                marks[words.first + d] += [i - int(at[d]), i - int(at[d]) + size]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.list_(pa.int64()))], schema=batch.schema)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the words that the last column lists; that column goes."""
+    for batch in batches:
+        k = batch.schema.names.index("text")
+        texts, marks = batch.column(k).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+        for words in W.word_slices(batch.column(k)):
+            at = words.offsets()
+            base = 0
+            for d in range(words.n_docs):
+                i = words.first + d
+                raw = (texts[i] or "").encode()
+                if marks[i]:
+                    hit = np.zeros(int(at[d + 1] - at[d]) + 2, np.int8)
+                    for first, end in zip(marks[i][::2], marks[i][1::2]):
+                        hit[first + 1 : end + 1] = 1
+                    edges, kept, last = np.flatnonzero(np.diff(hit)), [], 0
+                    for first, end in zip(edges[::2], edges[1::2]):
+                        kept.append(raw[last : int(words.start[at[d] + first]) - base])
+                        last = int(words.end[at[d] + end - 1]) - base
+                    texts[i] = b"".join([*kept, raw[last:]]).decode()
+                base += len(raw)
+        columns = [pa.array(texts, batch.schema.field("text").type) if c == k else batch.column(c) for c in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
     """`docs` (all columns, as given) without contaminated documents, or with the hit words cut out of
-    their texts (`remove="spans"`; white space around a cut stays). Clean documents keep their text."""
+    their texts (`remove="spans"`; what stands around a cut stays). Clean documents keep their text.
+    All words are judged on the input, however many blocks the benchmark has."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    out = docs
+    out, context = docs, docs.sparkSession.sparkContext
+    if remove == "documents":
+        for block in _blocks(benchmark, n):
+            out = out.mapInArrow(lambda batches, sent=context.broadcast(block): _drop(batches, sent), docs.schema)
+        return out
+    out = docs.withColumn(W.free("_hits", docs.columns), F.array().cast("array<bigint>"))
     for block in _blocks(benchmark, n):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(lambda batches, sent=sent: _clean(batches, sent, remove == "spans"), docs.schema)
-    return out
+        out = out.mapInArrow(lambda batches, sent=context.broadcast(block): _mark(batches, sent), out.schema)
+    return out.mapInArrow(_cut, docs.schema)

@@ -184,20 +184,21 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("bigint")
     def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.fillna(LAST).to_numpy(np.int64), "right"))
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right"))
 
-    ranged = texts.select(range_of("doc_id").alias("part"), F.coalesce("doc_id", F.lit(LAST)).alias("key"))
+    key = F.coalesce("doc_id", F.lit(LAST))  # no nulls: pandas would turn the ids into doubles
+    ranged = texts.select(range_of(key).alias("part"), key.alias("key"))
     firsts = sorted((r["part"], r["key"]) for r in ranged.groupBy("part").agg(F.min("key").alias("key")).collect())
     keys = np.array([k for _, k in firsts], np.int64)
     before = np.array([p for p, _ in firsts][-1:] + [p for p, _ in firsts][:-1], np.int64)
 
     @F.pandas_udf("bigint")
     def sent_to(ids: pd.Series) -> pd.Series:
-        ids = ids.fillna(LAST).to_numpy(np.int64)
+        ids = ids.to_numpy(np.int64)
         at = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
         return pd.Series(np.where(keys[at] == ids, before[at], -1))
 
-    sent = texts.withColumn("part", range_of("doc_id")).withColumn("to", sent_to("doc_id"))
+    sent = texts.withColumn("part", range_of(key)).withColumn("to", sent_to(key))
     own, ahead = F.struct(F.col("part").alias("part"), F.lit(0).alias("ahead")), F.struct(F.col("to").alias("part"), F.lit(1).alias("ahead"))
     sent = sent.withColumn("place", F.explode(F.when(F.col("to") >= 0, F.array(own, ahead)).otherwise(F.array(own))))
     sent = sent.select("place.part", "place.ahead", "doc_id", "text").repartition(shuffle_width(spark), "part")

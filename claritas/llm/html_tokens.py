@@ -22,6 +22,8 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
+# More elements that may stand inside a paragraph.
+PHRASING = {"script", "style", "noscript", "template", "button", "select", "option", "input", "textarea", "iframe", "object", "svg", "canvas", "audio", "video", "map"}
 # An opening tag of the value closes an open element of the key, unless one of STOP is between them.
 CLOSED_BY = {
     "li": {"li"},
@@ -74,7 +76,7 @@ def stream(page: str):
                 yield "close", tag, None
             continue
         # implied ends
-        if tag not in INLINE and "p" in stack:
+        if tag not in INLINE and tag not in PHRASING and "p" in stack:
             k = len(stack) - 1
             while k >= 0 and stack[k] in INLINE:
                 k -= 1

@@ -60,7 +60,7 @@ def test_components_match_brute_force(spark, n, num, den):
 
 
 def test_blocks_and_flushes_give_the_same(spark, monkeypatch):
-    for name, value in (("BLOCK_SHINGLES", 900), ("FLUSH", 300), ("BUCKET_ENTRIES", 50), ("FREQUENT_IN_TASK", 3), ("FREQUENT", 3), ("SMALL_GROUP", 2)):
+    for name, value in (("BLOCK_SHINGLES", 900), ("FLUSH", 300), ("BUCKET_ENTRIES", 50), ("FREQUENT_IN_TASK", 3), ("FREQUENT", 3), ("SMALL_GROUP", 2), ("MEET", 3)):
         monkeypatch.setattr(J, name, value)
     rows = rows_of()
     got = J.similar(docs_of(spark, rows).repartition(6), 4, 85, 100).collect()
@@ -81,7 +81,8 @@ def test_linked_sets_share_a_range_code_whatever_is_frequent():
             continue
         levels = J.Levels(85, 100, max(len(x), len(y)))
         codes = [set(J.range_codes(s, np.array([0, len(s)]), common, levels)[1].tolist()) for s in (x, y)]
-        assert codes[0] & codes[1]
+        meet = min(int(levels.meet[level]) for level, _ in levels.of(np.array([min(len(x), len(y)), max(len(x), len(y))])))
+        assert len(codes[0] & codes[1]) >= meet
 
 
 def test_keep_one(spark):
