@@ -77,7 +77,7 @@ def first_sentence(c: Column) -> Column:
 
 # Fixed patterns of the "13a" tokeniser, applied in this order.
 ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
-PUNCTUATION = r"([\x{20}-\x{26}\x{28}-\x{2b}\x{2f}\x{3a}-\x{40}\x{5b}-\x{60}\x{7b}-\x{7e}])"
+PUNCTUATION = r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"  # as published
 SPLITS_13A = [
     (PUNCTUATION, (" ", 1, " ")),
     (r"([^0-9])([.,])", (1, " ", 2, " ")),

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from claritas.functions.token_arrays import attention_mask, pad, truncate
 
-FIXED_LABEL_LENGTH = 128
-
 
 def pad_batches(df: DataFrame, tokens: str, size: int, pad_id: int, side: str = "right", pos: str = "pos", by: list[str] = ()) -> DataFrame:
     """Pad every array to the longest of its batch of `size` neighbouring positions."""
@@ -23,14 +21,6 @@ def pad_batches(df: DataFrame, tokens: str, size: int, pad_id: int, side: str =
     ).drop("_width")
 
 
-def truncate_pairs(
-    df: DataFrame, source: str, target: str, input_max_length: int = 128, output_max_length: int = 128, legacy_label_length: bool = False
-) -> DataFrame:
-    """Source tokens as `input_ids`, target tokens as `labels`, each cut to its length.
-
-    With `legacy_label_length` targets are cut at 128 whatever length was asked for.
-    """
-    label_length = FIXED_LABEL_LENGTH if legacy_label_length else output_max_length
-    return df.withColumns(
-        {"input_ids": truncate(F.col(source), input_max_length), "labels": truncate(F.col(target), label_length)}
-    )
+def truncate_pairs(df: DataFrame, source: str, target: str, input_max_length: int, output_max_length: int) -> DataFrame:
+    """Source tokens as `input_ids`, target tokens as `labels`, each cut to the length asked for."""
+    return df.withColumns({"input_ids": truncate(F.col(source), input_max_length), "labels": truncate(F.col(target), output_max_length)})

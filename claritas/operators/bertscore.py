@@ -66,23 +66,28 @@ def token_best(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return long.groupBy(*keys, "side", "tok_pos").agg(F.max("best").alias("best"))
 
 
-def bertscore_pairs(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """precision, recall, f1 per pair; 0 when either side has no tokens."""
+def bertscore_pairs(tokens: DataFrame, keys: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """precision, recall, f1 per pair; 0 when either side has no tokens.
+
+    `pairs` lists all pairs (columns `keys`): one without any token scores 0 too.
+    """
     best = token_best(tokens, keys)
     found = best.groupBy(*keys).agg(
         F.avg(F.when(F.col("side") == "pred", F.col("best"))).alias("precision"),
         F.avg(F.when(F.col("side") == "ref", F.col("best"))).alias("recall"),
     )
     p, r = F.coalesce("precision", F.lit(0.0)), F.coalesce("recall", F.lit(0.0))
-    pairs = tokens.select(*keys).distinct().join(found, keys, "left")
-    return pairs.select(*keys, p.alias("precision"), r.alias("recall")).withColumn(
+    listed = tokens.select(*keys).distinct() if pairs is None else pairs.select(*keys)
+    return listed.join(found, keys, "left").select(*keys, p.alias("precision"), r.alias("recall")).withColumn(
         "f1", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
     )
 
 
-def bertscore(tokens: DataFrame, by: list[str], baseline: dict[str, float] | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Means in percent per group; with a `baseline` also rescaled as (x - b) / (1 - b)."""
-    pairs = bertscore_pairs(tokens, keys or ["pair_id", *by])
+def bertscore(
+    tokens: DataFrame, by: list[str], baseline: dict[str, float] | None = None, keys: list[str] | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
+    """Means in percent per group over all `pairs`; with a `baseline` also rescaled as (x - b) / (1 - b)."""
+    pairs = bertscore_pairs(tokens, keys or ["pair_id", *by], pairs)
     columns = []
     for name in ("f1", "recall", "precision"):
         columns.append((F.avg(name) * 100).alias(f"bertscore_{name}"))

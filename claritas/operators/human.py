@@ -63,17 +63,12 @@ def weighted_score(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.try_divide(gained.cast("double"), F.sum(F.when(answered, F.col("weight")))).alias("total"))
 
 
-def text_lead(c: str) -> Column:
-    """First six bytes of a text as a number that sorts alike."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c), "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-
-
 def pseudonyms(df: DataFrame, column: str, names: dict[str, str] | None = None, prefix: str = "coder_") -> DataFrame:
     """Replace annotator ids: by a given mapping, else by place in sorted order."""
     if names is not None:
         return df.withColumn(column, F.coalesce(lookup(names, F.col(column).cast("string")), F.col(column).cast("string")))
     known = df.select(F.col(column).cast("string").alias("_id")).distinct()
-    coded = number_rows(known, [], ["_id"], name="_n", start=1, lead=text_lead("_id"))
+    coded = number_rows(known, [], ["_id"], name="_n", start=1)
     joined = df.withColumn("_id", F.col(column).cast("string")).join(coded, "_id", "left")
     return joined.withColumn(column, F.concat(F.lit(prefix), F.col("_n"))).drop("_id", "_n")
 
@@ -85,7 +80,8 @@ def sample_batches(df: DataFrame, n: int, k: int, seed, stratum: str = "test_set
     # At most n*k rows per stratum are left for this window.
     enough = F.count(F.lit(1)).over(Window.partitionBy(stratum)) == n * k
     failed = F.raise_error(F.concat(F.lit("too few inputs in "), F.col(stratum).cast("string"))).cast("int")
-    drawn = drawn.withColumn("draw", F.when(enough, F.col("draw")).otherwise(failed))
+    # in a filter: the check holds whichever columns are read
+    drawn = drawn.withColumn("_enough", enough).where(F.when(F.col("_enough"), F.lit(1)).otherwise(failed) == 1).drop("_enough")
     return drawn.withColumn("batch", F.floor((F.col("draw") - 1) / n)).drop("_hash")
 
 

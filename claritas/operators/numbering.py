@@ -32,9 +32,36 @@ def hex_lead(hash_col: str) -> Column:
     return F.conv(F.substring(hash_col, 1, HEX_DIGITS), 16, 10).cast("double")
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on `keys` where a null key meets a null key; the columns of `right` that are no keys are added."""
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    right = right.select(*[F.col(k).alias(n) for k, n in named.items()], *[c for c in right.columns if c not in named])
+    match = F.lit(True)
+    for k, n in named.items():
+        match = match & left[k].eqNullSafe(right[n])
+    return left.join(right, match, how).drop(*named.values())
+
+
+def text_lead(c: Column, skip: int = 0) -> Column:
+    """Six bytes of a text after the first `skip`, as a number that sorts alike."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), skip + 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def _common_start(df: DataFrame, column: str) -> int:
+    """Bytes that all texts of a column start with: those of the least and the largest one."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    a, b = (low or "").encode(), (high or "").encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def sort_number(df: DataFrame, column: str) -> Column:
-    """A number that sorts like the column; local times are counted without any time zone."""
+    """A number that sorts like the column, or cuts it coarsely: texts by six bytes after their common
+    start. Local times are counted without any time zone. Other types than these are an error."""
     kind = df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return text_lead(F.col(column), _common_start(df, column))
+    if not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise TypeError(f"no order of {kind.simpleString()} column {column}; give `lead`")
     if isinstance(kind, T.TimestampNTZType):
         return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column)).cast("double")
     if isinstance(kind, T.TimestampType):
@@ -83,7 +110,7 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sum of `weight` (default 1) inside each `by` group.
 
-    `order` sorts ascending and must be unique inside a group; `by` columns must not be null.
+    `order` sorts ascending and must be unique inside a group. A null in a `by` column is a group of its own.
     `lead` is a number that sorts like the first order column (default: its cast). `uniform`
     gives the range of an evenly spread lead, such as a hash, and saves the pass for borders.
     """
@@ -113,8 +140,7 @@ def running_total(
     )
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        work.withColumn("_local", F.sum(_W).over(inner))
-        .join(offsets, keys)
+        same_keys(work.withColumn("_local", F.sum(_W).over(inner)), offsets, keys)
         .withColumn(name, F.col(_BEFORE) + F.col("_local"))
         .select(*[c for c in df.columns if c != name], name)
     )

@@ -27,8 +27,9 @@ def align(sources: DataFrame, references: DataFrame, predictions: DataFrame, key
     """(src, ref, pred) rows by position; a key missing on any side is an error."""
     sides = sources.join(references, keys, "full_outer").join(predictions, keys, "full_outer")
     missing = F.col("src").isNull() | F.col("ref").isNull() | F.col("pred").isNull()
-    failed = F.raise_error(F.concat(F.lit("unaligned row "), F.to_json(F.struct(*keys)))).cast("string")
-    return sides.withColumn("src", F.when(missing, failed).otherwise(F.col("src")))
+    failed = F.raise_error(F.concat(F.lit("unaligned row "), F.to_json(F.struct(*keys)))).cast("int")
+    # in a filter: the check holds whichever columns are read
+    return sides.where(F.when(missing, failed).otherwise(F.lit(1)) == 1)
 
 
 def beside(base: DataFrame, columns: dict[str, DataFrame], keys: list[str], value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claritas.operators.numbering import value_buckets
+from claritas.operators.numbering import same_keys, value_buckets
 from claritas.session import written
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -27,10 +27,21 @@ def _covers(first: Column, n: Column, rank: Column) -> Column:
     return (first <= rank) & (rank < first + n)
 
 
-def _value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counted = known.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    return value_buckets(written(counted, "value-counts"), "_v", "_bucket")
+GROUPS_TO_SHIP = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table of one row per group: sent to all tasks where it is small, so the other side stays in place."""
+    kept = written(df, "groups")
+    return F.broadcast(kept) if kept.count() <= GROUPS_TO_SHIP else kept
+
+
+def _value_counts(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """Bucketed counts of the known values, and the groups (also those without a known value)."""
+    number = F.col(value).cast("double")
+    counted = df.groupBy(*by, F.when(~F.isnan(number), number).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = written(counted, "value-counts")
+    return value_buckets(counted.where("_v IS NOT NULL"), "_v", "_bucket"), counted.select(*by).distinct()
 
 
 def _bucket_table(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -59,7 +70,7 @@ def _at_ranks(counts: DataFrame, buckets: DataFrame, by: list[str], shares: dict
         hit = hit | _covers(F.col("_before"), F.col("_inside"), low) | _covers(F.col("_before"), F.col("_inside"), high)
     wanted = buckets.where(hit).select(*by, "_bucket", "_before", "_size")
     inner = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(wanted, [*by, "_bucket"])
+    ranked = same_keys(counts, wanted, [*by, "_bucket"])
     ranked = ranked.withColumn("_first", F.col("_before") + F.sum("_n").over(inner) - F.col("_n"))
     picks = []
     for name, share in shares.items():
@@ -75,20 +86,30 @@ def _at_ranks(counts: DataFrame, buckets: DataFrame, by: list[str], shares: dict
     return found.select(*by, *out)
 
 
+def _every_group(groups: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    return same_keys(groups, found, by, "left") if by else found
+
+
 def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Linear-interpolation percentiles; `shares` maps output name to share in [0, 1]."""
-    counts = _value_counts(df, by, value)
-    return _at_ranks(counts, _bucket_table(counts, by), by, shares)
+    """Linear-interpolation percentiles; `shares` maps output name to share in [0, 1].
+
+    A null key is a group; a group without a known value has null percentiles.
+    """
+    counts, groups = _value_counts(df, by, value)
+    return _every_group(groups, _at_ranks(counts, _bucket_table(counts, by), by, shares), by)
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, sample std, min, quartiles and max of `value` per group with a known value."""
-    counts = _value_counts(df, by, value)
+    """count, mean, sample std, min, quartiles and max of `value` per group.
+
+    A null key is a group; a group without a known value has n = 0 and nulls.
+    """
+    counts, groups = _value_counts(df, by, value)
     buckets = _bucket_table(counts, by)
-    totals = buckets.select(*by, "_size", "mean", "min", "max").distinct()
+    totals = _small(buckets.select(*by, "_size", "mean", "min", "max").distinct())
     distance = F.col("_v") - F.col("mean")
     moments = (
-        counts.join(totals, by)
+        same_keys(counts, totals, by)
         .groupBy(*by)
         .agg(
             F.max("_size").alias("n"),
@@ -100,32 +121,45 @@ def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
     std = F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1)))
     quartiles = _at_ranks(counts, buckets, by, QUARTILES)
-    joined = moments.withColumn("std", std).join(quartiles, by)
+    joined = same_keys(moments.withColumn("std", std), quartiles, by)
+    joined = _every_group(groups, joined, by).withColumn("n", F.coalesce("n", F.lit(0)))
     return joined.select(*by, "n", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
-def box_fences(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Quartiles and the 1.5 x IQR fences per group."""
-    quartiles = percentiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+BOX = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def _fenced(quartiles: DataFrame) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return quartiles.withColumn("fence_low", F.col("q1") - reach).withColumn("fence_high", F.col("q3") + reach)
 
 
+def box_fences(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Quartiles and the 1.5 x IQR fences per group."""
+    return _fenced(percentiles(df, by, value, BOX))
+
+
 def box_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Box-plot numbers: quartiles, whiskers (outermost values inside the fences), outlier count."""
-    fenced = df.join(box_fences(df, by, value), by)
-    inside = F.col(value).between(F.col("fence_low"), F.col("fence_high"))
-    return fenced.groupBy(*by).agg(
+    """Box-plot numbers: quartiles, whiskers (outermost values inside the fences), outlier count.
+
+    All from the value counts, in one pass over the rows. A null key is a group; a group without a known
+    value has nulls and no outliers.
+    """
+    counts, groups = _value_counts(df, by, value)
+    fences = _small(_fenced(_at_ranks(counts, _bucket_table(counts, by), by, BOX)))
+    inside = F.col("_v").between(F.col("fence_low"), F.col("fence_high"))
+    found = same_keys(counts, fences, by).groupBy(*by).agg(
         F.max("q1").alias("q1"),
         F.max("median").alias("median"),
         F.max("q3").alias("q3"),
-        F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.count(F.when(~inside, F.lit(1))).alias("n_outliers"),
+        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_n"))).alias("n_outliers"),
     )
+    return _every_group(groups, found, by).withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
 
 
 def outliers(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Rows outside the fences of their group."""
-    fenced = df.join(box_fences(df, by, value), by)
+    fenced = same_keys(df, _small(box_fences(df, by, value)), by)
     return fenced.where(~F.col(value).between(F.col("fence_low"), F.col("fence_high"))).select(*df.columns)

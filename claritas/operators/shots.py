@@ -89,3 +89,12 @@ def render_shots(df: DataFrame, separator: str = "\n") -> DataFrame:
     """One text per query from rows with (shot, shot_text)."""
     ordered = F.array_sort(F.collect_list(F.struct("shot", "shot_text")))
     return df.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["shot_text"]), separator).alias("shots"))
+
+
+def with_content(found: DataFrame, texts: DataFrame, keys: list[str], needed: list[str]) -> DataFrame:
+    """Retrieved examples with their texts; an example without one is an error, not a missing row."""
+    joined = found.join(texts, keys, "left")
+    missing = F.greatest(*[F.col(c).isNull().cast("int") for c in needed], F.lit(0)) == 1
+    failed = F.raise_error(F.concat(F.lit("no text for example "), F.to_json(F.struct(*keys)))).cast("int")
+    # in a filter: the check holds whichever columns are read
+    return joined.where(F.when(missing, failed).otherwise(F.lit(1)) == 1)

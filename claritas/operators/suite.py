@@ -76,7 +76,7 @@ def suite(
         *[job(df, by) for job in (extra or {}).values()],
     ]
     if tokens is not None:
-        jobs.append(bertscore(tokens, by, baseline))
+        jobs.append(bertscore(tokens, by, baseline, pairs=df))
     table = union_all([long_form(job, by) for job in jobs])
     if tokens is not None:
         table = with_srb(table, by)

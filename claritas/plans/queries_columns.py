@@ -282,15 +282,12 @@ def f7(spark, folder):
 
 @query(
     "f8_truncate",
-    f"""SELECT doc_id, array_to_string(({TOKENS})[1:512], ' ') AS input_ids, array_to_string(({TOKENS})[1:256], ' ') AS labels,
-               array_to_string(({TOKENS})[1:128], ' ') AS fixed_labels FROM documents""",
+    f"""SELECT doc_id, array_to_string(({TOKENS})[1:512], ' ') AS input_ids, array_to_string(({TOKENS})[1:256], ' ') AS labels FROM documents""",
 )
 def f8(spark, folder):
     rows = _docs(spark, folder).select("doc_id", _tokens().alias("t"))
     cut = batches.truncate_pairs(rows, "t", "t", 512, 256)
-    old = batches.truncate_pairs(cut.withColumnRenamed("labels", "kept"), "t", "t", 512, 256, legacy_label_length=True)
-    named = {"input_ids": "input_ids", "kept": "labels", "labels": "fixed_labels"}
-    return old.select("doc_id", *[F.array_join(c, " ").alias(name) for c, name in named.items()])
+    return cut.select("doc_id", *[F.array_join(c, " ").alias(c) for c in ("input_ids", "labels")])
 
 
 @query(

@@ -113,15 +113,18 @@ def f18(spark, folder):
 
 
 CONTENT = """content AS (SELECT r.query_id, r.task, d.text AS src, d.source AS dst,
-  row_number() OVER (PARTITION BY r.query_id ORDER BY similarity, retrieved) AS shot FROM retrieved r JOIN documents d ON d.doc_id = r.item_id)"""
+  row_number() OVER (PARTITION BY r.query_id ORDER BY similarity, retrieved) AS shot FROM retrieved r
+  LEFT JOIN documents d ON d.doc_id = r.item_id % (SELECT count(*) FROM documents))"""
 NAMED = "CASE task WHEN 'a' THEN 'FALC' WHEN 'c' THEN 'Simplification' ELSE task END"
 SHOT = f"'### Exemple ' || shot || chr(10) || 'Tâche: ' || {NAMED} || chr(10) || 'Entrée: ' || src || chr(10) || 'Sortie: @@@' || dst || '@@@'"
 
 
 def _shot_texts(spark, folder):
-    # examples without content fall out before they are numbered
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("src"), F.col("source").alias("dst"))
-    content = _retrieved(spark, folder).join(docs, "item_id")
+    documents = table(spark, folder, "documents")
+    docs = documents.select(F.col("doc_id"), F.col("text").alias("src"), F.col("source").alias("dst"))
+    # there may be more vectors than documents: the texts are used in turn
+    found = _retrieved(spark, folder).withColumn("doc_id", F.col("item_id") % documents.count())
+    content = shots.with_content(found, docs, ["doc_id"], ["src", "dst"]).drop("doc_id")
     ordered = shots.rename_tasks(shots.order_shots(content, "sort_similarity_ascending"), NAMES)
     return ordered.withColumn("shot_text", shots.shot_text(F.col("shot"), F.col("task"), F.col("src"), F.col("dst")))
 

@@ -113,8 +113,9 @@ def s6(spark, folder):
     def build():
         return _documents(spark, folder).selectExpr("lang AS task", "split", "doc_id", "text AS src", "n_chars")
 
-    corpora.cached(spark, path, build)
-    again = corpora.cached(spark, path, build)
+    rows = _documents(spark, folder).count()
+    corpora.cached(spark, path, build, rows=rows)
+    again = corpora.cached(spark, path, build, rows=rows)
     return again.groupBy("task", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
@@ -190,8 +191,8 @@ def s12(spark, folder):
         # an index column without a name, as spreadsheets export it
         part = part.select(F.lit(0).alias("Unnamed: 0"), "*")
         part.withColumn("name", F.lit(name)).write.options(header=True, quoteAll=True).partitionBy("name").csv(f"{path}/{name}")
-    frames = sheets.read_all_sheets(spark, [f"{path}/odd/name=odd", f"{path}/even/name=even"])
-    named = frames.withColumn("file_annotator", F.when(F.col("extra").isNotNull(), "odd").otherwise("even"))
+    # Spark names the files itself; the folders stand for the annotators' files
+    named = sheets.read_all_sheets(spark, [f"{path}/odd/name=odd", f"{path}/even/name=even"], separator="=", folders=True)
     return named.select(
         F.col("sample_id").cast("int").alias("sample_id"), "criterion", "answer", "file_annotator", F.col("extra").cast("bigint").alias("extra")
     )
@@ -228,10 +229,9 @@ def s14(spark, folder):
 def s15(spark, folder):
     path = scratch_path(spark, "s15")
     docs = _documents(spark, folder)
-    # Split folders stand for split files: the count filters on the path.
+    # Split folders stand for split files.
     docs.select(F.to_json(F.struct("doc_id", "text")).alias("value"), "split").write.partitionBy("split").text(path)
-    lines = spark.read.schema("value string, split string").text(path)
-    return lines.where("split = 'test'").agg(F.count(F.lit(1)).alias("n_lines"))
+    return corpora.count_lines(spark, path, "split=test", folders=True)
 
 
 @query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,17 +27,11 @@ def build_session(master: str | None = None, app: str = "claritas", **conf) -> S
 def scratch_root(spark: SparkSession) -> str:
     """Folder for tables written between stages.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back
-    to a folder of its own: on a cluster the executors would not see it.
+    The cluster names it in ``spark.checkpoint.dir``; otherwise it lies below the warehouse, which all
+    executors share too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="claritas-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

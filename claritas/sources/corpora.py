@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,16 +86,22 @@ def snapshot(df: DataFrame, path: str, by: tuple[str, ...] = ("task", "split"))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], use_cache: bool = True) -> DataFrame:
-    """The snapshot at `path`; without one, or without `use_cache`, build and write it."""
-    if use_cache and exists(spark, path):
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], use_cache: bool = True, rows: int | None = None) -> DataFrame:
+    """The complete snapshot at `path`, of `rows` rows if a number is given; otherwise, or without
+    `use_cache`, build and write it. Its row count is written beside it last, so a broken write never counts."""
+    if use_cache and _complete(spark, path, rows):
         return spark.read.parquet(path)
-    return snapshot(build(), path)
+    out = snapshot(build(), path)
+    spark.range(1).select(F.lit(out.count()).cast("long").alias("n")).write.mode("overwrite").parquet(f"{path}.rows")
+    return out
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+def _complete(spark: SparkSession, path: str, rows: int | None) -> bool:
+    try:
+        written = spark.read.schema("n long").parquet(f"{path}.rows").first()
+        return written is not None and spark.read.parquet(path).count() == written["n"] and rows in (None, written["n"])
+    except AnalysisException:
+        return False
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +127,12 @@ def read_ordered(spark: SparkSession, path: str, schema: str, pos: str = "pos")
     return spark.read.schema(schema).json(path).orderBy(pos)
 
 
-def count_lines(spark: SparkSession, path: str, name_part: str = "test") -> DataFrame:
-    """Lines of the files whose name holds `name_part`."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"))
+def source_name(folders: bool = False):
+    """Name of the file a row comes from, or of the folder that the file lies in."""
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2) if folders else F.col("_metadata.file_name")
+
+
+def count_lines(spark: SparkSession, path: str, name_part: str = "test", folders: bool = False) -> DataFrame:
+    """Lines of the files whose name (or, with `folders`, whose folder's name) holds `name_part`."""
+    lines = spark.read.text(path).select(source_name(folders).alias("file"))
     return lines.where(F.col("file").contains(name_part)).agg(F.count(F.lit(1)).alias("n_lines"))

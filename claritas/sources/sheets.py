@@ -9,7 +9,7 @@ from claritas.functions.text import last_part
 from claritas.operators.corpus import drop_matching, union_all
 from claritas.operators.human import melt_answers
 from claritas.operators.reshape import widen
-from claritas.sources.corpora import CSV_OPTIONS
+from claritas.sources.corpora import CSV_OPTIONS, source_name
 
 
 def read_keyed(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -17,13 +17,13 @@ def read_keyed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
 
 
-def file_part(separator: str = "."):
-    """Last part of the file name without its ending, lower case."""
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
+def file_part(separator: str = ".", folders: bool = False):
+    """Last part of the file's (or folder's) name without its ending, lower case."""
+    name = F.regexp_replace(source_name(folders), r"\.csv$", "")
     return F.lower(last_part(name, separator))
 
 
-def read_all_sheets(spark: SparkSession, paths: list[str], separator: str = ".") -> DataFrame:
+def read_all_sheets(spark: SparkSession, paths: list[str], separator: str = ".", folders: bool = False) -> DataFrame:
     """Sheets of many annotators as one frame.
 
     Files may differ in index columns, so every path is read by its own header; index
@@ -32,7 +32,7 @@ def read_all_sheets(spark: SparkSession, paths: list[str], separator: str = ".")
     frames = []
     for path in paths:
         df = spark.read.options(**CSV_OPTIONS).csv(path)
-        named = df.select("*", file_part(separator).alias("file_annotator"))
+        named = df.select("*", file_part(separator, folders).alias("file_annotator"))
         frames.append(drop_matching(named, r"Unnamed|^_c\d+$"))
     return union_all(frames)
 

@@ -20,7 +20,11 @@ def as_local(c: Column) -> Column:
 
 
 def metric_board(log: DataFrame, delay: str = "1 day", period: str | None = None) -> DataFrame:
-    """Newest value per (run, metric), and per period when one is given."""
+    """Newest value per (run, metric), and per period when one is given.
+
+    State: with a `period`, periods older than the watermark are dropped. Without one the state is one row
+    per (run, metric) and grows with the number of runs; give a period where runs never end.
+    """
     return _latest(log, delay, period, F.max_by("value", F.struct("ts", "step")).alias("value"))
 
 

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from claritas.operators.numbering import number_by_hash, number_rows, running_total, with_next
+from claritas.operators import quantiles
+from claritas.operators.numbering import number_by_hash, number_rows, running_total, sort_number, with_next
 from claritas.operators.quantiles import box_summary, describe, outliers, percentiles
 
 
@@ -103,3 +104,34 @@ def test_box_plot_numbers(spark):
     assert (row.q1, row.median, row.q3) == (2.25, 3.5, 4.75)
     assert (row.whisker_low, row.whisker_high, row.n_outliers) == (1.0, 5.0, 1)
     assert [r.v for r in outliers(df, ["g"], "v").collect()] == [100.0]
+
+
+def test_null_groups_are_groups(spark):
+    rows = [("a", 1, 5.0), (None, 2, 7.0), (None, 1, None), ("b", 1, None), ("a", 2, 9.0), ("c", 1, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    got = {(r["g"], r["k"]): r["pos"] for r in number_rows(df, ["g"], ["k"]).collect()}
+    assert got == {("a", 1): 0, ("a", 2): 1, (None, 1): 0, (None, 2): 1, ("b", 1): 0, ("c", 1): 0}
+    table = {r["g"]: r for r in quantiles.describe(df, ["g"], "v").collect()}
+    assert {g: (r["n"], r["mean"], r["max"]) for g, r in table.items()} == {"a": (2, 7.0, 9.0), None: (1, 7.0, 7.0), "b": (0, None, None), "c": (0, None, None)}
+    assert {r["g"]: r["m"] for r in quantiles.percentiles(df, ["g"], "v", {"m": 0.5}).collect()} == {"a": 7.0, None: 7.0, "b": None, "c": None}
+    boxes = {r["g"]: (r["median"], r["whisker_high"], r["n_outliers"]) for r in quantiles.box_summary(df, ["g"], "v").collect()}
+    assert boxes == {"a": (7.0, 9.0, 0), None: (7.0, 7.0, 0), "b": (None, None, 0), "c": (None, None, 0)}
+    wide = spark.createDataFrame([(None, float(k)) for k in range(20)] + [(None, 1e6)], "g string, v double")
+    assert [r["v"] for r in quantiles.outliers(wide, ["g"], "v").collect()] == [1e6]
+
+
+def test_texts_with_a_common_start_spread_over_buckets(spark):
+    rows = [(f"annotator_{k:09d}",) for k in range(3000)] + [(None,)]
+    df = spark.createDataFrame(rows, "name string")
+    got = sorted((r["name"] or "", r["pos"]) for r in number_rows(df, [], ["name"]).collect())
+    assert [p for _, p in got] == list(range(3001))
+    lead = df.select(sort_number(df, "name").alias("lead"))
+    assert lead.distinct().count() > 1000
+    with pytest.raises(TypeError):
+        number_rows(spark.createDataFrame([([1],)], "a array<int>"), [], ["a"])
+
+
+def test_raw_rows_stay_in_place(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "double(id) AS v")
+    plan = quantiles.outliers(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan

@@ -38,6 +38,10 @@ def test_cached_builds_once(spark, tmp_path):
     assert len(built) == 1
     corpora.cached(spark, str(tmp_path / "snap"), build, use_cache=False)
     assert len(built) == 2
+    corpora.cached(spark, str(tmp_path / "snap"), build, rows=2)
+    assert len(built) == 3
+    (tmp_path / "broken").mkdir()  # what a failed write leaves
+    assert corpora.cached(spark, str(tmp_path / "broken"), build).count() == 1 and len(built) == 4
 
 
 def test_malformed_lines_are_kept_apart(spark, tmp_path):
