@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claritas.operators.numbering import top_rows
+from claritas.session import written
 
 SHIP_LIMIT = 64 << 20
 BLOCK_ROWS = 2048
@@ -81,14 +82,25 @@ def _columns(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[["query_id", "item_id", "task", "similarity"]]
 
 
+def _width(queries: DataFrame, corpus: DataFrame) -> int | None:
+    """The one length of all vectors; null or uneven vectors are an error. None without queries."""
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    (low, high), (low2, high2) = (df.agg(F.min(size), F.max(size)).first() for df in (queries, corpus))
+    found = {x for x in (low, high, low2, high2) if x is not None}
+    if len(found) > 1 or found & {-1}:
+        raise ValueError(f"vectors must not be null and must have one length; found lengths {sorted(found)}")
+    return low
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, limit: int = SHIP_LIMIT) -> DataFrame:
     """(query_id, embedding) x (item_id, embedding, task) to (query_id, item_id, task, similarity, rank)."""
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
     corpus = corpus.select(F.col("item_id").cast("long").alias("item_id"), "embedding", F.col("task").cast("string").alias("task"))
-    first = queries.select(F.size("embedding")).first()
-    if first is None:
+    # stored once: an encoder upstream runs a single time
+    queries, corpus = written(queries, "queries"), written(corpus, "corpus")
+    width = _width(queries, corpus)
+    if width is None:
         return queries.sparkSession.createDataFrame([], T._parse_datatype_string(OUT + ", rank int"))
-    width = first[0]
     if _fits(queries, width, limit):
         found = _ship_queries(queries, corpus, k, exclude_self)
     elif _fits(corpus, width, limit):

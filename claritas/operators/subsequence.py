@@ -18,32 +18,38 @@ from claritas.operators.ngrams import f_score, token_stemmer
 from claritas.session import shuffle_width
 
 
-def _columns(a, b) -> list[int]:
+def _places(a) -> dict:
+    """Per token the bits of its places in `a`."""
+    where: dict = {}
+    for i, token in enumerate(a):
+        where[token] = where.get(token, 0) | (1 << i)
+    return where
+
+
+def _steps(where: dict, size: int, b) -> Iterator[int]:
     """One integer per token of b; bit i is 0 where row i of the LCS table grows by one.
 
     The row-wise recurrence of Hyyro (2004): a column of the table is a single integer.
     """
-    where: dict = {}
-    for i, token in enumerate(a):
-        where[token] = where.get(token, 0) | (1 << i)
-    mask = (1 << len(a)) - 1
-    state, out = mask, []
+    mask = (1 << size) - 1
+    state = mask
     for token in b:
         hit = state & where.get(token, 0)
         state = ((state + hit) | (state - hit)) & mask
-        out.append(state)
-    return out
+        yield state
 
 
 def lcs_size(a, b) -> int:
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    return len(a) - _columns(a, b)[-1].bit_count()
+    """Keeps one integer of len(a) bits, whatever the length of b."""
+    last = (1 << len(a)) - 1
+    for last in _steps(_places(a), len(a), b):
+        pass
+    return len(a) - last.bit_count()
 
 
-def lcs_positions(a, b) -> set[int]:
+def lcs_positions(a, b, where: dict | None = None) -> set[int]:
     """Positions in `a` of one longest common subsequence; on a tie the walk goes up in `a`."""
-    columns, found = _columns(a, b), set()
+    columns, found = list(_steps(_places(a) if where is None else where, len(a), b)), set()
     i, j = len(a), len(b)
     while i and j:
         if a[i - 1] == b[j - 1]:
@@ -62,7 +68,8 @@ def union_hits(ref: list, pred: list) -> int:
     left_pred = Counter(t for s in pred for t in s)
     hits = 0
     for sentence in ref:
-        covered = set().union(*(lcs_positions(sentence, other) for other in pred)) if len(pred) else set()
+        where = _places(sentence)
+        covered = set().union(*(lcs_positions(sentence, other, where) for other in pred)) if len(pred) else set()
         for token in (sentence[i] for i in sorted(covered)):
             if left_ref[token] > 0 and left_pred[token] > 0:
                 left_ref[token] -= 1

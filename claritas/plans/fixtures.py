@@ -121,8 +121,6 @@ shots AS (
 
 
 KNN = _knn("true")
-# Two roles that share the table between them: one vector in ten asks, the others can be found.
-KNN_ROLES = _knn("q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0")
 
 # --- trials: events as a metric log --------------------------------------------------------
 

@@ -94,6 +94,28 @@ def m2(spark, folder):
     return _rounded(subsequence.rouge_l(_systems(spark, folder), BY), *BY)
 
 
+# The LCS table row by row: a row is the running maximum of what lies above and of the matches.
+LCS = f"""WITH RECURSIVE {fx.SYSTEMS},
+t AS (SELECT pair_id, split, task, system, regexp_extract_all(lower(ref), '[a-z0-9]+') AS r, regexp_extract_all(lower(pred), '[a-z0-9]+') AS p FROM systems),
+lcs AS (
+  SELECT pair_id, system, 0 AS i, list_transform(p, lambda x: 0) AS best FROM t
+  UNION ALL
+  SELECT pair_id, system, i, list_transform(range(1, len(cell) + 1), lambda j: list_max(cell[1:j])) AS best FROM (
+    SELECT t.pair_id, t.system, i + 1 AS i,
+           list_transform(range(1, len(p) + 1), lambda j: greatest(best[j], CASE WHEN p[j] = r[i + 1] THEN coalesce(best[j - 1], 0) + 1 ELSE 0 END)) AS cell
+    FROM lcs JOIN t ON t.pair_id = lcs.pair_id AND t.system = lcs.system WHERE i < len(r))),
+f AS (SELECT split, task, t.system, coalesce(best[len(p)], 0) AS hits, len(p) AS n_pred, len(r) AS n_ref
+      FROM t JOIN lcs ON lcs.pair_id = t.pair_id AND lcs.system = t.system AND i = len(r))"""
+
+
+@query(
+    "m2_rouge_l_words",
+    f"""{LCS} SELECT split, task, system, round(avg(coalesce(2.0::DOUBLE * hits / nullif(n_pred + n_ref, 0), 0)) * 100, 6) AS rougeL FROM f GROUP BY ALL""",
+)
+def m2_words(spark, folder):
+    return _rounded(subsequence.rouge_l(_systems(spark, folder), BY, stems=False), *BY)
+
+
 @query("m3_rouge_lsum")
 def m3(spark, folder):
     return _rounded(subsequence.rouge_l(_systems(spark, folder), BY, summary=True), *BY)

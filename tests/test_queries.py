@@ -13,7 +13,7 @@ from claritas.sources.corpora import snapshot
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
-HOOKS = ("h3_", "j4_", "j6_", "j7_", "w4_", "w5_", "w6_", "w7_", "w8_", "w9_", "f2_", "f18_", "h7_", "m6_")
+HOOKS = ("h3_", "j4_", "j6_", "j7_", "w4_", "w5_", "w6_", "w7_", "w8_", "w9_", "f2_", "f18_", "h7_", "m6_", "m2_")
 
 
 @pytest.fixture(scope="module")

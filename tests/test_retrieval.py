@@ -103,3 +103,25 @@ def test_bertscore_matches_greedy_matching(spark, monkeypatch, chunk):
     assert got.keys() == want.keys()
     for pair in want:
         np.testing.assert_allclose(got[pair], want[pair], atol=1e-9)
+
+
+def test_null_or_uneven_vectors_are_an_error(spark):
+    schema = "item_id long, embedding array<double>, task string"
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    for bad in (None, [1.0], [1.0, 2.0, 3.0]):
+        with pytest.raises(ValueError):
+            retrieval.top_k(queries, spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, bad, "a")], schema), 1)
+    assert retrieval.top_k(queries.limit(0), spark.createDataFrame([(1, [1.0, 0.0], "a")], schema), 1).count() == 0
+
+
+def test_vectors_are_made_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def encode(k):
+        runs.add(1)
+        return [float(k), 1.0]
+
+    queries = spark.range(5).select(F.col("id").alias("query_id"), encode("id").alias("embedding"))
+    corpus = spark.createDataFrame([(k, [1.0, float(k)], "a") for k in range(9)], "item_id long, embedding array<double>, task string")
+    assert retrieval.top_k(queries, corpus, 2).count() == 10 and runs.value == 5
