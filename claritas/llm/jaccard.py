@@ -5,13 +5,15 @@ den * |intersection| >= num * |union|. The result is the connected components of
 
 1. One scan gives every document its set size and a digest of its set; equal sets are one node from
    here on. The same scan counts shingles that are frequent in a task.
-2. Candidate groups. Linked sets of a size class differ in at most D shingles, so of m = D + 1 + s
-   ranges of the code space at least s + 1 hold the same shingles in both. Every set gives one code per
-   range. Ranges that are empty or hold frequent shingles only are void; their codes are given out only
-   by sets with more than s void ranges. If one of two linked sets has at most s, they share a range
-   that is not void; else both give out all. So no link is lost, whichever shingles count as frequent,
-   and a passage that many documents hold does not tie them together. Equal codes inside a task are
-   tied to one representative before the shuffle, so a hot code costs one entry per task.
+2. Candidate groups. Linked sets of a size class differ in at most D shingles, so of m = D + c + s ranges
+   of the code space at least c + s hold the same shingles in both. Every set gives one code per range.
+   Ranges that are empty or hold frequent shingles only are void; their codes are given out only by sets
+   with more than s void ranges. If one of two linked sets has at most s, they share c ranges that are
+   not void; else both give out all. So two linked sets meet in c codes at least, whichever shingles
+   count as frequent, and a passage that many documents hold does not tie them together: unrelated sets
+   seldom meet in c codes. Up to MEET sets at one code are counted pair by pair. More of them are tied to
+   one representative whatever the counts, also inside a task before the shuffle (the representative
+   then ties all that it meets), so a hot code costs a row per set at most.
    The components of these ties are the groups of similar documents; no link leaves its group.
 3. Inside a group (in blocks of bounded size, block against block, where it is large) the documents are
    split into small groups ordered by their least shingle. The token-group matrix holds the union of
@@ -38,15 +40,19 @@ from pyspark.sql import functions as F
 
 from claritas.llm import words as W
 from claritas.llm.components import Forest, components
+from claritas.llm.files import runs, summed
 from claritas.session import shuffle_width, written
 
-FREQUENT_IN_TASK = 16
+FREQUENT_IN_TASK = 8
 FREQUENT = 64
+TABLE_BITS = 22
+MEET = 8
 FREQUENT_LIMIT = 2_000_000
-FLUSH = 1_500_000
-BUCKET_ENTRIES = 1_000_000
-BLOCK_SHINGLES = 1_500_000
+FLUSH = 600_000
+BUCKET_ENTRIES = 500_000
+BLOCK_SHINGLES = 1_000_000
 SMALL_GROUP = 16
+SHIP_ROWS = 500_000
 
 
 def sets(words: W.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,16 +68,13 @@ def sets(words: W.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, set size, digest); kind 1: (none, documents, shingle) for frequent shingles of the task."""
-    codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    parts: list = []
-    held = 0
-
-    def merged():
-        every, many = np.concatenate([codes, *[p[0] for p in parts]]), np.concatenate([counts, *[p[1] for p in parts]])
-        value, where = np.unique(every, return_inverse=True)
-        return value, np.bincount(where, many, len(value)).astype(np.int64)
+    """kind 0: (doc_id, set size, digest); kind 1: (none, documents, shingle) for frequent shingles of the task.
 
+    A shingle is listed from the time on that its cell of a counting table is full; which shingles are
+    listed never changes the result.
+    """
+    table = np.zeros(1 << TABLE_BITS, np.uint8)
+    codes, counts, held = [], [], 0
     for batch in batches:
         for words in W.word_slices(batch.column(1), W.BLANK):
             code, at, digest = sets(words, n)
@@ -81,19 +84,21 @@ def _scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
                 ["kind", "doc_id", "n", "code"],
             )
             value, many = np.unique(code, return_counts=True)
-            parts.append((value[many > 1], many[many > 1]))
-            held += len(parts[-1][0])
-            if held > 1_000_000:
-                codes, counts = merged()
-                if len(codes) > 2_000_000:  # rare ones may go: which shingles count as frequent never changes the result
-                    codes, counts = codes[counts > 3], counts[counts > 3]
-                parts, held = [], 0
-    if parts or len(codes):
-        codes, counts = merged()
-        keep = counts >= FREQUENT_IN_TASK
-        k = int(keep.sum())
+            cell = (value >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            total = table[cell] + many
+            table[cell] = np.minimum(total, 255)
+            full = total >= FREQUENT_IN_TASK
+            codes.append(value[full])
+            counts.append(many[full])
+            held += int(full.sum())
+            if held > 500_000:
+                value, many = summed(codes, counts)
+                codes, counts, held = [value], [many], 0
+    if codes:
+        code, many = summed(codes, counts)
+        k = len(code)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(counts[keep]), pa.array(codes[keep].view(np.int64))],
+            [pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(many + FREQUENT_IN_TASK - 1), pa.array(code.view(np.int64))],
             ["kind", "doc_id", "n", "code"],
         )
 
@@ -118,10 +123,21 @@ class Levels:
             self.low.append(math.floor(self.low[-1] * step) + 1)
         high = [b - 1 for b in self.low[1:]] + [math.floor(self.low[-1] * step)]
         self.differ = np.array([2 * h * (den - num) // (den + num) for h in high])
-        self.slack = np.array([1 + h // 50 for h in high])
+        self.meet = np.array([1 + h // 50 for h in high])
+        self.slack = np.array([self._empty(int(d + c), low * num / den) for d, c, low in zip(self.differ, self.meet, self.low)])
         self.low = np.array(self.low)
         self.num, self.den = num, den
 
+    @staticmethod
+    def _empty(ranges: int, least: float) -> int:
+        """More ranges than are empty, in all likelihood, in a set of `least` shingles, were so many added."""
+        slack = 1
+        for _ in range(30):
+            m = ranges + slack
+            mean = m * math.exp(-least / m)
+            slack = math.ceil(1.1 * mean + 3 * math.sqrt(mean) + 1)
+        return slack
+
     def of(self, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(level, texts): the class of a size, and the next one if a linked set can be in it."""
         own = np.searchsorted(self.low, size, "right") - 1
@@ -134,15 +150,15 @@ class Levels:
                 yield level, chosen
 
 
-def range_codes(code: np.ndarray, at: np.ndarray, common: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """(text, range code) that the sets of one slice give out."""
+def range_codes(code: np.ndarray, at: np.ndarray, common: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, range code, codes in which linked sets meet) that the sets of one slice give out."""
     size = at[1:] - at[:-1]
     where = np.searchsorted(common, code)
     rare = np.ones(len(code), bool) if len(common) == 0 else common[np.minimum(where, len(common) - 1)] != code
     mixed = W.mix(code ^ W.ODD)
-    texts, out = [], []
+    texts, out, meet = [], [], []
     for level, chosen in levels.of(size):
-        m = int(levels.differ[level] + 1 + levels.slack[level])
+        m = int(levels.differ[level] + levels.meet[level] + levels.slack[level])
         pick = np.repeat(at[chosen] - np.concatenate([[0], np.cumsum(size[chosen])[:-1]]), size[chosen]) + np.arange(size[chosen].sum())
         doc = np.repeat(np.arange(len(chosen)), size[chosen])
         part = ((code[pick] >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
@@ -157,37 +173,66 @@ def range_codes(code: np.ndarray, at: np.ndarray, common: np.ndarray, levels: Le
         void = void.reshape(len(chosen), m)
         give = (~void | (void.sum(1) > levels.slack[level])[:, None]).ravel()
         spot = np.flatnonzero(give)
-        seed = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        seed = W.mix(np.array([level + 1], np.uint64))
         texts.append(chosen[spot // m])
-        out.append(W.mix(full[spot] * W.STEP + (spot % m).astype(np.uint64) * W.ODD + seed))
+        meet.append(np.full(len(spot), min(255, int(levels.meet[level])), np.uint8))
+        out.append(W.mix(full[spot] * W.STEP + W.mix((spot % m).astype(np.uint64) + seed)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(texts), np.concatenate(out)
-
-
-def tied(code: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct codes with their least node, and distinct ties (node, least node) of equal codes."""
-    order = np.lexsort((node, code))
-    code, node = code[order], node[order]
-    first = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
-    least = node[first][np.cumsum(first) - 1] if len(code) else node
-    other = node != least
-    pairs = np.unique(np.stack([node[other], least[other]]), axis=1) if other.any() else np.zeros((2, 0), np.int64)
-    return code[first], node[first], pairs[0], pairs[1]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    return np.concatenate(texts), np.concatenate(out), np.concatenate(meet)
+
+
+def met(code: np.ndarray, node: np.ndarray, meet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (code, node, meet) sorted, starts and ends of their codes, and which codes have more than MEET nodes or a
+    representative (meet 0)."""
+    order = np.lexsort((meet, node, code))
+    code, node, meet = code[order], node[order], meet[order]
+    if len(code):
+        new = np.concatenate([[True], (code[1:] != code[:-1]) | (node[1:] != node[:-1])])
+        code, node, meet = code[new], node[new], meet[new]
+    start, end = runs(code)
+    wide = (end - start > MEET) | (np.minimum.reduceat(meet, start) == 0 if len(start) else np.zeros(0, bool))
+    return code, node, meet, np.stack([start, end]), wide
+
+
+def stars(node: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node) of each run."""
+    size = bounds[1] - bounds[0]
+    least = np.repeat(node[bounds[0]], size)
+    own = node[_ranges(bounds[0], bounds[1])]
+    keep = own != least
+    pairs = np.unique(np.stack([own[keep], least[keep]]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
+    return pairs[0], pairs[1]
+
+
+def pairs_of(node: np.ndarray, meet: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (larger node, lesser node, meet) of runs of at most MEET nodes."""
+    out = []
+    size = bounds[1] - bounds[0]
+    for k in range(2, MEET + 1):
+        start = bounds[0][size == k]
+        for i in range(k):
+            for j in range(i + 1, k):
+                out.append(np.stack([node[start + j], node[start + i], meet[start].astype(np.int64)]))
+    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def _give(batches: Iterator[pa.RecordBatch], n: int, common, levels: Levels, bits: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, codes, nodes) per bucket of the code space; ties found inside the task have bucket < 0."""
+    """(bucket, codes, nodes and meets) per bucket of the code space; ties found inside the task have bucket < 0."""
     held: list = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        code, node, a, b = tied(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        code, node, meet, bounds, wide = met(*[np.concatenate([h[k] for h in held]) for k in range(3)])
+        a, b = stars(node, bounds[:, wide])
+        # of a wide code only the representative goes on
+        stay = np.ones(len(code), bool)
+        stay[_ranges(bounds[0][wide] + 1, bounds[1][wide])] = False
+        meet[bounds[0][wide]] = 0
+        code, node, meet = code[stay], node[stay], meet[stay]
         bucket = (code >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(code), np.int64)
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(code) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(code))
         low = (code >> np.uint64(max(0, 32 - bits))).astype(np.uint32)
-        rows = [(int(bucket[s]), low[s:e].tobytes(), node[s:e].tobytes()) for s, e in zip(cut, ends)]
+        rows = [(int(bucket[s]), low[s:e].tobytes(), node[s:e].tobytes() + meet[s:e].tobytes()) for s, e in zip(*runs(bucket))]
         for s in range(0, len(a), 100_000):
             rows.append((-1 - int(abs(int(a[s])) % 4096), a[s : s + 100_000].tobytes(), b[s : s + 100_000].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "codes", "nodes"])
@@ -195,8 +240,8 @@ def _give(batches: Iterator[pa.RecordBatch], n: int, common, levels: Levels, bit
     for batch in batches:
         for words in W.word_slices(batch.column(1), W.BLANK):
             code, at, digest = sets(words, n)
-            text, given = range_codes(code, at, common.value, levels)
-            held.append((given, digest[text]))
+            text, given, meet = range_codes(code, at, common.value, levels)
+            held.append((given, digest[text], meet))
             size += len(given)
             if size > FLUSH:
                 yield flush()
@@ -205,28 +250,47 @@ def _give(batches: Iterator[pa.RecordBatch], n: int, common, levels: Levels, bit
         yield flush()
 
 
+def _ties(a: np.ndarray, b: np.ndarray, meet: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(meet.astype(np.int64)), pa.array(many.astype(np.int64))], ["a", "b", "meet", "n"])
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties of the buckets of a partition, sorted by bucket; one bucket is in memory at a time."""
-    bucket, held = None, []
+    """(a, b, meet, n): pairs of a partition with their counts over its buckets, ties with meet 0. One bucket is in memory at a time."""
+    bucket, held, pairs = None, [], []
 
     def close() -> pa.RecordBatch:
-        code, node = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        _, _, a, b = tied(code.astype(np.uint64), node)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        code, node, meet, bounds, wide = met(*[np.concatenate([h[k] for h in held]) for k in range(3)])
+        pairs.append(np.stack(pairs_of(node, meet, bounds[:, ~wide])))
+        a, b = stars(node, bounds[:, wide])
+        return _ties(a, b, np.zeros(len(a)), np.ones(len(a)))
+
+    def counted() -> pa.RecordBatch:
+        a, b, meet = np.concatenate(pairs, axis=1)
+        order = np.lexsort((meet, b, a))
+        a, b, meet = a[order], b[order], meet[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        return _ties(a[first], b[first], meet[first], np.diff(np.append(first, len(a))))
 
     for batch in batches:
         for at, codes, nodes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            codes, nodes = codes.as_buffer(), np.frombuffer(nodes.as_buffer(), np.int64)
+            codes, nodes = codes.as_py(), nodes.as_py()
             if at < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(codes, np.int64)), pa.array(nodes)], ["a", "b"])
+                a = np.frombuffer(codes, np.int64)
+                yield _ties(a, np.frombuffer(nodes, np.int64), np.zeros(len(a)), np.ones(len(a)))
                 continue
             if at != bucket and held:
                 yield close()
                 held = []
+                if sum(p.shape[1] for p in pairs) > FLUSH:
+                    yield counted()
+                    pairs = []
             bucket = at
-            held.append((np.frombuffer(codes, np.uint32).copy(), nodes.copy()))
+            k = len(codes) // 4
+            held.append((np.frombuffer(codes, np.uint32), np.frombuffer(nodes, np.int64, k), np.frombuffer(nodes, np.uint8, k, 8 * k)))
     if held:
         yield close()
+    if pairs:
+        yield counted()
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -302,6 +366,11 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
+def _shipped(rows: DataFrame) -> DataFrame:
+    """Narrow written rows, sent to all tasks where they are few; otherwise they are joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(SHIP_ROWS + 1).count() <= SHIP_ROWS else rows
+
+
 def similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of `docs`: the least doc_id reachable by links."""
     spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
@@ -313,7 +382,8 @@ def similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataF
     levels = Levels(num, den, largest or 1)
     bits = max(0, math.ceil(math.log2(max(1, 4 * width, (total or 0) // (2 * BUCKET_ENTRIES)))))
     given = texts.where("doc_id IS NOT NULL").mapInArrow(lambda b: _give(b, n, common, levels, bits), "bucket bigint, codes binary, nodes binary")
-    ties = given.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a bigint, b bigint")
+    counts = given.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a bigint, b bigint, meet bigint, n bigint")
+    ties = counts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("meet").alias("meet")).where("n >= meet").select("a", "b")
     grouped = components(ties)
     # groups with their blocks; a set is read once per block pair that it stands in
     roots = grouped.select("root").distinct().select(F.col("root").alias("node"), "root")
@@ -323,8 +393,8 @@ def similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataF
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     placed = members.join(blocks, "root").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "doc_id")
-    read = placed.join(texts, "doc_id").select("root", "i", "j", "side", "node", "text")
+    placed = written(placed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "doc_id"), "jaccard-blocks")
+    read = texts.join(_shipped(placed), "doc_id").select("root", "i", "j", "side", "node", "text")
     read = read.repartition(width, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     found = written(components(read.mapInArrow(lambda b: _verify(b, n, num, den), "a bigint, b bigint")), "jaccard-links")
     classed = own.join(found, F.col("code") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "code")).alias("class"))
@@ -337,8 +407,12 @@ def similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataF
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """`docs` with one document of each component: the one of the least doc_id; of rows with one id the
     one with the least text hash. Rows without doc_id all stay."""
-    kept = similar(docs, n, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("doc.text"), "doc.text"))
-    packed = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    rows = packed.join(kept, "doc_id", "left_semi").withColumn("place", one).where("place = 1")
-    return rows.select("doc.*").unionByName(docs.where("doc_id IS NULL"))
+    ids = written(similar(docs, n, num, den).where("doc_id IS NOT NULL").select("doc_id", "component_id"), "jaccard-ids")
+    dropped = ids.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    repeated = ids.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("bigint").alias("id"))
+    left = packed.join(_shipped(written(dropped, "jaccard-dropped")), "id", "left_anti")
+    repeated = _shipped(written(repeated, "jaccard-repeated"))
+    one = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("doc.text"), "doc.text"))
+    again = left.join(repeated, "id", "left_semi").withColumn("place", one).where("place = 1")
+    return left.join(repeated, "id", "left_anti").select("doc.*").unionByName(again.select("doc.*"))
