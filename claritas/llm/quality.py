@@ -31,7 +31,7 @@ from claritas.session import written
 BITS = 18
 SIZE = 1 << BITS
 CHUNKS = 16
-SAMPLE = 8_000
+SAMPLE = 6_000
 LEAST = 4
 BROADCAST_LABELS = 1_000_000
 RUNS = (2, 3, 4, 8)
@@ -118,7 +118,7 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost:
     weight, bias, dual = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     sign = np.where(y == 1, 1.0, -1.0)
     values = [ratio[r] for r in rows]
-    values = [v / max(float(np.sqrt(v @ v)), 1e-9) for v in values]
+    values = [(v / max(float(np.sqrt(v @ v)), 1e-9)).astype(np.float32) for v in values]
     square = np.array([float(v @ v) + 1.0 for v in values])
     order = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -183,7 +183,8 @@ def fit(rows: DataFrame, sample: int = SAMPLE, cost: float = 1.0) -> Model:
     picked = rows.where(draw).select("y", "text").mapInArrow(_vectors, "y int, features binary").collect()
     picked = sorted((r["y"], bytes(r["features"])) for r in picked)  # the same order on every run
     y = np.array([k for k, _ in picked])
-    vectors = [np.frombuffer(b, np.uint32).astype(np.int64) for _, b in picked]
+    vectors = [np.frombuffer(b, np.int32) for _, b in picked]
+    del picked
     per_class = np.bincount(y, minlength=2)
     costs = np.where(y == 1, cost * min(1.0, per_class[0] / per_class[1]), cost * min(1.0, per_class[1] / per_class[0]))
     fold = np.arange(len(y)) % 2
