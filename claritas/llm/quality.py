@@ -31,7 +31,7 @@ from claritas.session import written
 BITS = 18
 SIZE = 1 << BITS
 CHUNKS = 16
-SAMPLE = 6_000
+SAMPLE = 8_000
 LEAST = 4
 BROADCAST_LABELS = 1_000_000
 RUNS = (2, 3, 4, 8)
@@ -117,8 +117,10 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost:
     """Hinge loss, squared-norm penalty, bias as a feature of value one (Hsieh et al., 2008)."""
     weight, bias, dual = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     sign = np.where(y == 1, 1.0, -1.0)
-    values = [ratio[r] for r in rows]
-    values = [(v / max(float(np.sqrt(v @ v)), 1e-9)).astype(np.float32) for v in values]
+    values = []
+    for r in rows:
+        v = ratio[r]
+        values.append((v / max(float(np.sqrt(v @ v)), 1e-9)).astype(np.float32))
     square = np.array([float(v @ v) + 1.0 for v in values])
     order = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -180,8 +182,9 @@ def fit(rows: DataFrame, sample: int = SAMPLE, cost: float = 1.0) -> Model:
     ratio[counts.sum(0) < LEAST] = 0.0
     share = np.minimum(1.0, sample / n)
     draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < F.when(F.col("y") == 1, F.lit(int(share[1] * (1 << 30)))).otherwise(F.lit(int(share[0] * (1 << 30))))
-    picked = rows.where(draw).select("y", "text").mapInArrow(_vectors, "y int, features binary").collect()
-    picked = sorted((r["y"], bytes(r["features"])) for r in picked)  # the same order on every run
+    # written, then read part by part: the driver never holds the rows twice
+    picked = written(rows.where(draw).select("y", "text").mapInArrow(_vectors, "y int, features binary"), "quality-sample")
+    picked = sorted((r["y"], bytes(r["features"])) for r in picked.toLocalIterator())  # the same order on every run
     y = np.array([k for k, _ in picked])
     vectors = [np.frombuffer(b, np.int32) for _, b in picked]
     del picked
