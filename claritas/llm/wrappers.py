@@ -11,8 +11,9 @@ all pages is never gathered. A page whose expressions the wrapper accepts alread
 Extraction applies the wrapper of the host to each page: text of slots inside the main region is kept,
 template wording is not. The main region is the outermost article (else main, else body) outside of page
 furniture: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments,
-known by element, role, class or id. Template wording is trusted only after `LEAST_PAGES` different
-pages; on hosts with fewer every text outside furniture is kept. In a body without article or main,
+known by element, role, class or id. A wording is template only where `LEAST_PAGES` different pages hold
+that very text in that place: each text item carries the marks of so many pages. So what stands on a few
+pages of a large host is kept, and on hosts with fewer pages every text outside furniture is. In a body without article or main,
 blocks that are mostly links are menus.
 
 A block is the text between two block-level tags; references are decoded, white space becomes one space.
@@ -144,17 +145,23 @@ def _mark(text: str) -> str:
     return hashlib.md5(text.encode()).hexdigest()[:16]
 
 
-def folded(items: list[tuple[str, str]]) -> list[list]:
-    """[item, least, most, wording]: equal neighbours become one repeated item; its wording is None if they differ."""
+def _held(a: list[str], b: list[str]) -> list[str]:
+    """Marks of both, LEAST_PAGES at most: enough to know that there are so many."""
+    return sorted({*a, *b})[:LEAST_PAGES]
+
+
+def folded(items: list[tuple[str, str]], page: str = "") -> list[list]:
+    """[item, least, most, wording, marks of pages with this wording]: equal neighbours become one repeated item;
+    its wording is None if they differ."""
     out: list[list] = []
     for item, text in items:
         mark = _mark(text) if item == "#text" else ""
         if out and out[-1][0] == item:
             out[-1][2] = 2
             if out[-1][3] != mark:
-                out[-1][3] = None
+                out[-1][3:] = [None, []]
         else:
-            out.append([item, 1, 1, mark])
+            out.append([item, 1, 1, mark, [page] if mark else []])
     return out
 
 
@@ -167,39 +174,37 @@ def align(a: list[list], b: list[list]) -> list[list]:
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
 
-    def add(item: str, least: int, most: int, wording) -> None:
-        if out and out[-1][0] == item:  # what would be two neighbours is one repeated item
-            out[-1][1:] = [min(out[-1][1], least), 2, out[-1][3] if out[-1][3] == wording else None]
+    def both(x: list, y: list) -> list:
+        """Wording and its pages."""
+        return [x[3], _held(x[4], y[4])] if x[3] == y[3] else [None, []]
+
+    def add(new: list) -> None:
+        if out and out[-1][0] == new[0]:  # what would be two neighbours is one repeated item
+            out[-1][1:] = [min(out[-1][1], new[1]), 2, *both(out[-1], new)]
         else:
-            out.append([item, least, most, wording])
+            out.append(new)
 
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            add(a[i][0], min(a[i][1], b[j][1]), max(a[i][2], b[j][2]), a[i][3] if a[i][3] == b[j][3] else None)
+            add([a[i][0], min(a[i][1], b[j][1]), max(a[i][2], b[j][2]), *both(a[i], b[j])])
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            add(a[i][0], 0, a[i][2], a[i][3])
+            add([a[i][0], 0, *a[i][2:]])
             i += 1
         else:
-            add(b[j][0], 0, b[j][2], b[j][3])
+            add([b[j][0], 0, *b[j][2:]])
             j += 1
     return out
 
 
 class Wrapper:
-    def __init__(self, rules: dict | None = None, pages: list[str] | None = None):
+    def __init__(self, rules: dict | None = None):
         self.rules: dict[str, list[list]] = rules or {}
-        self.pages = set(pages or [])  # marks of different pages, LEAST_PAGES at most: enough to know that there are so many
-
-    def _seen(self, marks) -> None:
-        for mark in marks:
-            if len(self.pages) < LEAST_PAGES:
-                self.pages.add(mark)
 
     def take(self, page: Page) -> None:
-        self._seen([_mark("\n".join(t for _, _, t, _ in page.blocks))])
+        mark = _mark("\n".join(t for _, _, t, _ in page.blocks))
         for path, items in page.inside.items():
-            new = folded(items)
+            new = folded(items, mark)
             old = self.rules.get(path)
             if old is None:
                 self.rules[path] = new
@@ -210,30 +215,27 @@ class Wrapper:
     def _accepts(old: list[list], new: list[list]) -> bool:
         """Whether aligning `new` would leave `old` as it is."""
         j = 0
-        for item, least, most, wording in old:
-            if j < len(new) and new[j][0] == item and new[j][2] <= most and wording in (None, new[j][3]):
+        for item, least, most, wording, pages in old:
+            if j < len(new) and new[j][0] == item and new[j][2] <= most and (wording is None or (wording == new[j][3] and (len(pages) >= LEAST_PAGES or set(new[j][4]) <= set(pages)))):
                 j += 1
             elif least:
                 return False
         return j == len(new)
 
     def merge(self, other: Wrapper) -> None:
-        self._seen(sorted(other.pages))
         for path, rule in other.rules.items():
             self.rules[path] = align(self.rules[path], rule) if path in self.rules else rule
 
     def template(self) -> list[tuple[str, str]]:
-        """(path, wording) of template texts, if enough different pages were seen."""
-        if len(self.pages) < LEAST_PAGES:
-            return []
-        return sorted((p, r[3]) for p, rule in self.rules.items() for r in rule if r[0] == "#text" and r[3])
+        """(path, wording) of texts that enough different pages hold."""
+        return sorted((p, r[3]) for p, rule in self.rules.items() for r in rule if r[0] == "#text" and r[3] and len(r[4]) >= LEAST_PAGES)
 
     def dump(self) -> str:
-        return json.dumps([self.rules, sorted(self.pages)], ensure_ascii=False)
+        return json.dumps(self.rules, ensure_ascii=False)
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
-        return cls(*json.loads(text))
+        return cls(json.loads(text))
 
 
 def main_text(page: Page, template: set[tuple[str, str]]) -> str:

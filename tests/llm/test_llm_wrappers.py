@@ -92,3 +92,26 @@ def test_merged_wrappers_know_the_same_template():
         both.take(p)
     one.merge(R.Wrapper.load(two.dump()))
     assert one.template() == both.template() and one.template()
+
+
+def test_wording_of_one_page_is_kept(spark):
+    only = "<h2>Only here</h2><blockquote><p>A quote</blockquote><ul><li>lone</ul>direct text"
+    pages = [(k, f"http://one.example/{k}", f"<body><article><h1>Title {k}</h1>{only if k == 4 else ''}<p>text {k}<p>more {k}<h6>Kept by us</h6></article>") for k in range(9)]
+    pages += [(100 + k, *pages[4][1:]) for k in range(12)]  # copies of a page are no further pages
+    text = {r["page_id"]: r["text"] for r in R.extract(rows(spark, pages), ["page_id"]).collect()}
+    assert text[4] == text[111] == "Title 4\n\nOnly here\n\nA quote\n\nlone\n\ndirect text\n\ntext 4\n\nmore 4"
+    assert text[3] == "Title 3\n\ntext 3\n\nmore 3"
+
+
+def test_wording_needs_as_many_pages_as_hold_it():
+    def made(ks, with_h2):
+        out = R.Wrapper()
+        for k in ks:
+            out.take(R.Page(f"<body><article>{'<h2>Part</h2>' if k < with_h2 else ''}<p>text {k}</article>"))
+        return out
+
+    for n in (1, 7, 8, 15):
+        apart = made(range(0, 20, 2), n)
+        apart.merge(R.Wrapper.load(made(range(1, 20, 2), n).dump()))
+        assert apart.template() == made(range(20), n).template() == made(reversed(range(20)), n).template()
+        assert bool(apart.template()) == (n >= R.LEAST_PAGES)
