@@ -85,28 +85,41 @@ class HashSet:
                     yield i, size, found
 
 
-def _scan(batches: Iterator[pa.RecordBatch], sent, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], sent, schema: pa.Schema, last: bool) -> Iterator[pa.RecordBatch]:
+    """Columns before the last three stay; then come [first, end) of hit words, flat, items and the text.
+    Hits and items of this block are added; after the last block n_words, spans and items are given."""
     known = HashSet(sent.value)
     for batch in batches:
-        for words in W.word_slices(batch.column(batch.num_columns - 1)):
-            hit = np.zeros(len(words.code), bool)
+        k = batch.num_columns - 3
+        marks, held = batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()
+        for words in W.word_slices(batch.column(k + 2)):
+            at = words.offsets()
             items: dict[int, set[str]] = {}
             for i, size, found in known.hits(words):
-                hit[i : i + size] = True
-                items.setdefault(int(words.doc[i]), set()).update(found)
-            at = words.offsets()
+                d = int(words.doc[i])
+                marks[words.first + d] += [i - int(at[d]), i - int(at[d]) + size]
+                items.setdefault(d, set()).update(found)
+            for d, found in items.items():
+                held[words.first + d] = sorted(found.union(held[words.first + d]))
+            if not last:
+                continue
             spans: list[list[dict]] = [[] for _ in range(words.n_docs)]
-            for d in items:
-                own = np.concatenate([[False], hit[at[d] : at[d + 1]], [False]]).astype(np.int8)
-                edges = np.flatnonzero(np.diff(own))
-                spans[d] = [{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
-            keys = [batch.column(k).slice(words.first, words.n_docs) for k in range(batch.num_columns - 1)]
+            for d in range(words.n_docs):
+                if own := marks[words.first + d]:
+                    hit = np.zeros(int(at[d + 1] - at[d]) + 2, np.int8)
+                    for first, end in zip(own[::2], own[1::2]):
+                        hit[first + 1 : end + 1] = 1
+                    edges = np.flatnonzero(np.diff(hit))
+                    spans[d] = [{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
+            keys = [batch.column(c).slice(words.first, words.n_docs) for c in range(k)]
             rest = [
                 pa.array(words.counts(), pa.int64()),
                 pa.array(spans, schema.field("spans").type),
-                pa.array([sorted(items.get(d, ())) for d in range(words.n_docs)], pa.list_(pa.string())),
+                pa.array(held[words.first : words.first + words.n_docs], pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays([*keys, *rest], schema=schema)
+        if not last:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(marks, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.string())), batch.column(k + 2)], schema=batch.schema)
 
 
 def _blocks(benchmark: DataFrame, n: int) -> Iterator[list[tuple[int, bytes, list[str]]]]:
@@ -121,24 +134,21 @@ def _blocks(benchmark: DataFrame, n: int) -> Iterator[list[tuple[int, bytes, lis
 def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
     """Columns `keys`, n_words, spans (word runs inside occurring windows, from 0), items, one row per document.
 
-    With several blocks the rows of a document are met by `keys`; they must then tell documents apart.
+    With several blocks each scan hands its hits on in the row itself, so `keys` need not tell documents apart.
     """
     spark = docs.sparkSession
-    picked = docs.select(*keys, F.col("text").cast("string").alias("text"))
-    out, count = None, 0
-    for block in _blocks(benchmark, n):
-        sent = spark.sparkContext.broadcast(block)
-        kinds = dict(picked.dtypes)
-        ddl = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n_words bigint, spans array<struct<first: bigint, last: bigint>>, items array<string>"])
-        empty = spark.createDataFrame([], ddl)
-        schema = pa.schema([*[pa.field(k, _arrow(empty.schema[k].dataType)) for k in keys], pa.field("n_words", pa.int64()),
-                            pa.field("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.field("items", pa.list_(pa.string()))])
-        part = picked.mapInArrow(lambda batches, sent=sent, schema=schema: _scan(batches, sent, schema), ddl)
-        out, count = part if out is None else out.unionByName(part), count + 1
-    if count == 1:
-        return out
-    joined = out.groupBy(*keys, "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return joined.withColumn("spans", _merged("spans"))
+    hits, items = W.free("_hits", [*keys, "text"]), W.free("_items", [*keys, "text"])
+    out = docs.select(*keys, F.array().cast("array<bigint>").alias(hits), F.array().cast("array<string>").alias(items), F.col("text").cast("string").alias("text"))
+    between, kinds = out.schema, dict(docs.select(*keys).dtypes)
+    ddl = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n_words bigint, spans array<struct<first: bigint, last: bigint>>, items array<string>"])
+    empty = spark.createDataFrame([], ddl)
+    schema = pa.schema([*[pa.field(k, _arrow(empty.schema[k].dataType)) for k in keys], pa.field("n_words", pa.int64()),
+                        pa.field("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.field("items", pa.list_(pa.string()))])
+    sent = [spark.sparkContext.broadcast(block) for block in _blocks(benchmark, n)]
+    for b, block in enumerate(sent):
+        last = b == len(sent) - 1
+        out = out.mapInArrow(lambda batches, sent=block, last=last: _scan(batches, sent, schema, last), ddl if last else between)
+    return out
 
 
 def _arrow(kind):
@@ -147,16 +157,6 @@ def _arrow(kind):
     return to_arrow_type(kind)
 
 
-def _merged(column: str):
-    """Overlapping or touching runs as one."""
-    return F.expr(
-        f"aggregate(array_sort({column}), cast(array() as array<struct<first: bigint, last: bigint>>), (out, s) -> "
-        "case when size(out) > 0 and element_at(out, -1).last + 1 >= s.first then "
-        "concat(slice(out, 1, size(out) - 1), array(named_struct('first', element_at(out, -1).first, 'last', greatest(element_at(out, -1).last, s.last)))) "
-        "else concat(out, array(s)) end)"
-    )
-
-
 def report(found: DataFrame) -> DataFrame:
     """Digest columns from the rows of `matches`."""
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)

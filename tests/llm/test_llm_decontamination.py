@@ -76,3 +76,11 @@ def test_removal(spark, monkeypatch, block):
     texts = {r["doc_id"]: r["text"] for r in cut if r["doc_id"] in (1, 2, 5)}
     assert texts[5] == prose(9, 30) and texts[2].split() == ["a"]
     assert texts[1] == prose(1, 40) + " ! " + prose(2, 10)
+
+
+@pytest.mark.parametrize("block", [250_000, 7, 2])
+def test_repeated_ids_keep_their_rows_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK_WINDOWS", block)
+    items = [(1, prose(7, 12)), (2, "Short item, here"), (3, "été là"), (4, "other short item")]
+    rows = [(7, prose(7, 12)), (7, prose(8, 12)), (8, "short item here"), (8, "short item here"), (9, "été là x"), (9, "nothing in here"), (None, "short item here"), (None, None), (None, "other short item"), (None, "a short item")]
+    assert found(spark, rows, items) == brute(rows, items)
