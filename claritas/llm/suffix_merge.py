@@ -27,7 +27,10 @@ are told apart by 64-bit hashes; bytes decide inside a key.
 Hot keys. Equal spans, however many, are summed in every task before the shuffle. A key that stands at more
 than `heavy` anchors (a passage of some 216 bytes in very many places) is not used: its windows are
 split into ranges of SUB depths, whose keys cover all but SUB - 1 bytes of a window; so what differs around the
-passage lies apart. One task then holds the different spans of one such key.
+passage lies apart. These narrow keys are counted in a scan of their own (only where there are heavy keys).
+One that still stands at more than `heavy` anchors is split into single depths: the key is then the whole
+window, so a summed count above 1 decides, and no bytes are gathered. So no task meets more than `heavy`
+spans of a key.
 
 Nulls: a null text is empty; rows of any id count each, so a repeated row removes both copies.
 """
@@ -107,16 +110,29 @@ class Spot:
         yield self.part(low, high, rows, 0, self.half)
         yield self.part(low, high, rows, self.half, self.length - GRAM + 1)
 
-    def wanted(self, keys: Found) -> Iterator[tuple]:
-        """What must be compared: anchors with repeated keys; those of heavy keys by SUB narrow ranges of depths."""
+    def narrow(self, keys: Found) -> Iterator[tuple]:
+        """The windows of heavy keys by SUB narrow ranges of depths, and the end of each range."""
         for rows, low, high, key, first in self.halves():
-            place = keys.find(key)
-            light, heavy = np.flatnonzero(place == 0), np.flatnonzero(place == 1)
-            yield rows[light], low[light], high[light], key[light], first
+            heavy = np.flatnonzero(keys.find(key) == 1)
             if len(heavy):
                 end = self.half if first == 0 else self.length - GRAM + 1
                 for cut in range(first, end, SUB):
-                    yield self.part(low[heavy], high[heavy], rows[heavy], cut, min(end, cut + SUB))
+                    stop = min(end, cut + SUB)
+                    yield *self.part(low[heavy], high[heavy], rows[heavy], cut, stop), stop
+
+    def wanted(self, keys: Found, narrow: Found) -> Iterator[tuple]:
+        """What must be compared: anchors with repeated keys; those of heavy keys by narrow ranges of depths,
+        those of heavy narrow keys by single depths (the last value is then True: the key is the whole window)."""
+        for rows, low, high, key, first in self.halves():
+            light = np.flatnonzero(keys.find(key) == 0)
+            yield rows[light], low[light], high[light], key[light], first, False
+        for rows, low, high, key, first, stop in self.narrow(keys):
+            place = narrow.find(key)
+            light, heavy = np.flatnonzero(place == 0), np.flatnonzero(place == 1)
+            yield rows[light], low[light], high[light], key[light], first, False
+            if len(heavy):
+                for cut in range(first, stop):
+                    yield *self.part(low[heavy], high[heavy], rows[heavy], cut, cut + 1), True
 
     def spans(self, chosen: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of the bytes that the windows of these depths span, and a code of all that."""
@@ -136,7 +152,8 @@ def pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray
             yield first, at, part, np.array([0, len(part)])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], length: int, bits: int, keys: Found | None = None) -> Iterator[pa.RecordBatch]:
+    """Counts of the keys of halves; with `keys`, of the narrow keys of the heavy ones."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
@@ -147,9 +164,10 @@ def _keys(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator
 
     for batch in batches:
         for _, _, raw, offsets in pieces(batch.column(0), length):
-            for _, _, _, key, _ in Spot(raw, offsets, length).halves():
-                held.append(key)
-                size += len(key)
+            spot = Spot(raw, offsets, length)
+            for part in spot.halves() if keys is None else spot.narrow(keys):
+                held.append(part[3])
+                size += len(part[3])
             if size > FLUSH_KEYS:
                 yield flush()
                 held, size = [], 0
@@ -157,12 +175,12 @@ def _keys(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator
         yield flush()
 
 
-def _repeated(batches: Iterator[pa.RecordBatch], folder: str, heavy: int) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], folder: str, name: str, heavy: int) -> Iterator[pa.RecordBatch]:
     for bucket, a, b in files.grouped(batches, (np.uint64, np.uint32)):
         key, count = files.summed(a, b)
         key, count = key[count > 1], count[count > 1]
-        files.save(f"{folder}/keys-{bucket}", [key, (count > heavy).astype(np.uint8)])
-        yield files.parts([(0, bucket, np.array([len(key), len(key)], np.int64).tobytes(), b"")])
+        files.save(f"{folder}/{name}-{bucket}", [key, (count > heavy).astype(np.uint8)])
+        yield files.parts([(0, bucket, np.array([len(key), len(key), (count > heavy).sum()], np.int64).tobytes(), b"")])
 
 
 class Found:
@@ -195,7 +213,7 @@ class Found:
 HEAD = np.dtype([("code", "<u8"), ("key", "<u8"), ("count", "<u4"), ("size", "<u4"), ("low", "<u2"), ("high", "<u2"), ("base", "<u2"), ("none", "<u2")])
 
 
-def _spans(batches: Iterator[pa.RecordBatch], length: int, bits: int, keys: Found) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], length: int, bits: int, keys: Found, narrow: Found) -> Iterator[pa.RecordBatch]:
     """Spans of anchors with repeated keys, equal ones of a flush once, by bucket of the key."""
     heads, bodies, size, seen = [], [], 0, {}
 
@@ -215,18 +233,18 @@ def _spans(batches: Iterator[pa.RecordBatch], length: int, bits: int, keys: Foun
     for batch in batches:
         for _, _, raw, offsets in pieces(batch.column(0), length):
             spot = Spot(raw, offsets, length)
-            for chosen, low, high, key, base in spot.wanted(keys):
+            for chosen, low, high, key, base, whole in spot.wanted(keys, narrow):
                 start, end, code = spot.spans(chosen, low, high, key)
                 _, first, where = np.unique(code, return_index=True, return_inverse=True)
                 many = np.bincount(where, minlength=len(first))
                 head = np.zeros(len(first), HEAD)
-                for name, value in (("code", code), ("key", key), ("size", end - start), ("low", low), ("high", high)):
+                for name, value in (("code", code), ("key", key), ("size", start - start if whole else end - start), ("low", low), ("high", high)):
                     head[name] = value[first]
                 head["count"], head["base"] = np.minimum(many, 2), base
                 heads.append(head)
                 for i in first:
-                    bodies.append(raw[start[i] : end[i]].tobytes())
-                size += int((end - start)[first].sum())
+                    bodies.append(b"" if whole else raw[start[i] : end[i]].tobytes())
+                size += len(head) * HEAD.itemsize + int(head["size"].sum())
             if size > FLUSH_BYTES:
                 yield flush()
                 heads, bodies, size = [], [], 0
@@ -342,7 +360,7 @@ def _merge(batches: Iterator[pa.RecordBatch], folder: str, length: int) -> Itera
             batch.clear()
 
         for s, e in zip(start, end):
-            if e - s > 1:
+            if e - s > 1 and head["size"][s]:
                 if batch and (len(batch) + e - s > BATCH_SPANS or head["base"][batch[0]] != head["base"][s]):
                     work()
                 batch.extend(range(s, e))
@@ -376,7 +394,7 @@ def _merge(batches: Iterator[pa.RecordBatch], folder: str, length: int) -> Itera
         yield close(bucket, heads, blobs)
 
 
-def _apply(batches: Iterator[pa.RecordBatch], length: int, keys: Found, found: Found, digest: bool) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], length: int, keys: Found, narrow: Found, found: Found, digest: bool) -> Iterator[pa.RecordBatch]:
     """Per row its kept columns, then n_bytes, n_removed, n_spans and kept_sha256, or the text that is left."""
     for batch in batches:
         last = batch.num_columns - 1
@@ -387,7 +405,7 @@ def _apply(batches: Iterator[pa.RecordBatch], length: int, keys: Found, found: F
             spot = Spot(raw, offsets, length)
             mark = np.zeros(len(raw) + 1, np.int32)
             any_ = False
-            for chosen, low, high, key, _ in spot.wanted(keys):
+            for chosen, low, high, key, _, _ in spot.wanted(keys, narrow):
                 _, _, code = spot.spans(chosen, low, high, key)
                 # spans are filed by the bucket of their key
                 bucket = files.bucket_of(key, found.bits)
@@ -459,11 +477,16 @@ def dedup(docs: DataFrame, keep: list[str], length: int = 400, digest: bool = Tr
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, math.ceil(math.log2(max(4 * shuffle_width(spark), size // 8_000_000))))
     counted = files.spread(texts.mapInArrow(lambda b: _keys(b, length, bits), files.PART))
-    keys = Found(folder, "keys", bits, _sizes(counted.mapInArrow(lambda b: _repeated(b, folder, heavy), files.PART), bits, 2), ("u1",))
-    given = files.spread(texts.mapInArrow(lambda b: _spans(b, length, bits, keys), files.PART))
+    sizes = _sizes(counted.mapInArrow(lambda b: _repeated(b, folder, "keys", heavy), files.PART), bits, 3)
+    keys, sizes_of_narrow = Found(folder, "keys", bits, sizes, ("u1",)), np.zeros_like(sizes)
+    if sizes[:, 2].any():
+        counted_narrow = files.spread(texts.mapInArrow(lambda b: _keys(b, length, bits, keys), files.PART))
+        sizes_of_narrow = _sizes(counted_narrow.mapInArrow(lambda b: _repeated(b, folder, "narrow", heavy), files.PART), bits, 3)
+    narrow = Found(folder, "narrow", bits, sizes_of_narrow, ("u1",))
+    given = files.spread(texts.mapInArrow(lambda b: _spans(b, length, bits, keys, narrow), files.PART))
     found = Found(folder, "spans", bits, _sizes(given.mapInArrow(lambda b: _merge(b, folder, length), files.PART), bits, 3), ("u4", "u2"))
     kinds = dict(docs.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n_bytes bigint, n_removed bigint, n_spans bigint, result string"])
     picked = docs.select(*keep, F.col("text").cast("string").alias(W.free("_text", keep)))
-    out = picked.mapInArrow(lambda b: _apply(b, length, keys, found, digest), schema)
+    out = picked.mapInArrow(lambda b: _apply(b, length, keys, narrow, found, digest), schema)
     return out.withColumnRenamed("result", "kept_sha256" if digest else "kept_text")

@@ -71,3 +71,18 @@ def test_anchor_windows_cover_every_start_once():
     assert starts.tolist() == [*range(0, 101), *range(500, len(raw) - 399)]
     assert ((spot.at >= spot.last) & (spot.at + S.GRAM <= spot.first + 400)).all()
     assert [p[1] for p in S.pieces(pa.array(["x" * (3 * S.PIECE)]), 400)] == [0, S.PIECE, 2 * S.PIECE]
+
+
+def test_no_task_gathers_more_spans_of_a_key_than_the_bound(spark, monkeypatch):
+    refine, bound = S.refine, 6
+
+    def watched(head, body, length):
+        most = np.unique(head["key"], return_counts=True)[1].max()
+        if most > bound:
+            raise ValueError(f"{most} spans of one key meet")
+        return refine(head, body, length)
+
+    monkeypatch.setattr(S, "refine", watched)
+    passage = prose(900, 80, 4000)[:140]
+    rows = [(k, f"{prose(100 + k, 30, 4000)} {k:03d}{passage}{(k * 7) % 60:03d} {prose(300 + k, 30, 4000)}") for k in range(60)]
+    assert result(spark, rows, 120, heavy=bound) == brute(rows, 120)
