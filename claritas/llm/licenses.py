@@ -1,7 +1,8 @@
 """License scan by template-markup matching.
 
 A template (license_templates.py) is compiled to an automaton over words: mandatory words are single
-steps, an optional region may be stepped over, a replaceable region takes any words up to its bound. A
+steps, an optional region may be stepped over, a replaceable region takes any words up to its bound, or any
+number of words on one looping state; such a run ends where the wording after the loop is first complete. A
 template matches where the automaton accepts a run of words, so mandatory wording must match exactly.
 The pairs of words that a match can start with are hashed; a vectorised pass over all words finds
 places with such a pair, and only there the automata run, each at most as far as its longest run. Base
@@ -14,7 +15,7 @@ Nulls: a null or empty text has no words, no labels and score 0. Repeated rows e
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from claritas.llm import words as W
 from claritas.llm.license_templates import PHRASES, TEMPLATES
 
-MARKS = re.compile(r"\[\[|\]\]|\{\{\d+\}\}")
+MARKS = re.compile(r"\[\[|\]\]|\{\{(?:\d+|\*)\}\}")
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -39,7 +40,8 @@ class Automaton:
     def __init__(self, template: str):
         self.step: list[dict] = [{}]
         self.free: list[list[int]] = [[]]
-        self.longest = 0
+        self.longest = 0  # without what loops take
+        self.loops: set[int] = set()
         last, opened, at = 0, [], 0
         for mark in [*MARKS.finditer(template), None]:
             for word in split_words(template[at : mark.start() if mark else len(template)]):
@@ -54,6 +56,12 @@ class Automaton:
                 self.free[last].append(end)
                 self.free[start].append(end)
                 last = end
+            elif mark[0] == "{{*}}":
+                loop = self._new()
+                self.free[last].append(loop)
+                self.step[loop][None] = [loop]
+                self.loops.add(loop)
+                last = loop
             else:
                 start = last
                 for _ in range(int(mark[0][2:-2])):
@@ -102,15 +110,30 @@ class Automaton:
                     out.update((first, second) for second in self.step[t])
         return out
 
-    def longest_run(self, words: list[bytes]) -> int:
-        """Words of the longest accepted run from the first word on; 0: none."""
-        states, best = self.closed({0}), 0
+    def longest_run(self, words: Iterable[bytes], at: int = 0, dead: dict[int, int] | None = None) -> int:
+        """Words of the longest accepted run from the first word on; 0: none. After the first accepted run no loop goes on.
+
+        `dead`, of one text: places from which on a loop is known to lead nowhere; `at` is the place of the first word.
+        """
+        states, best, entered = self.closed({0}), 0, {}
+        dead = {} if dead is None else dead
         for i, word in enumerate(words):
             states = self.after(states, word)
+            for s in states & self.loops:
+                if s not in entered and at + i >= dead.get(s, at + i + 1):
+                    states.discard(s)
+                else:
+                    entered.setdefault(s, at + i)
+            if best:
+                states -= self.loops
             if not states:
                 break
             if self.accept in states:
                 best = i + 1
+                states = states - self.loops
+        if not best:
+            for s, place in entered.items():
+                dead[s] = min(place, dead.get(s, place))
         return best
 
 
@@ -152,6 +175,8 @@ class Scanner:
                         out[d][1].add(label)
                         out[d][3].append((i - int(offsets[d]), n, ""))
         tried: set[tuple[int, int]] = set()
+        dead: dict[tuple[int, int], dict[int, int]] = {}
+        past: dict[tuple[int, int], int] = {}  # end of the last run with a loop: its inside is not tried again
         for n, heads in self.heads.items():
             if not heads:
                 continue
@@ -165,8 +190,12 @@ class Scanner:
                     if (i, k) in tried:
                         continue
                     tried.add((i, k))
-                    end = min(int(offsets[d + 1]), i + automaton.longest)
-                    run = automaton.longest_run([words.word(j) for j in range(i, end)])
+                    end = int(offsets[d + 1]) if automaton.loops else min(int(offsets[d + 1]), i + automaton.longest)
+                    if i < past.get((d, k), 0):
+                        continue
+                    run = automaton.longest_run((words.word(j) for j in range(i, end)), i, dead.setdefault((d, k), {}) if automaton.loops else None)
+                    if run and automaton.loops:
+                        past[d, k] = i + run
                     if run:
                         out[d][2].add(label)
                         out[d][3].append((i - int(offsets[d]), run, label))

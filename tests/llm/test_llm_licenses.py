@@ -1,6 +1,8 @@
 import itertools
 import re
 
+import numpy as np
+
 from claritas.llm import licenses as L
 from claritas.llm.license_templates import PHRASES, TEMPLATES
 from tests.llm.helpers import alnum, docs_of, prose
@@ -69,3 +71,47 @@ def test_every_template_accepts_its_own_wording():
             words = L.split_words(re.sub(r"\{\{\d+\}\}", "", t.replace("[[", " ").replace("]]", " ")))
             assert automaton.longest_run(words) == len(words), label
             assert automaton.longest_run(L.split_words(re.sub(r"\[\[.*?\]\]|\{\{\d+\}\}", "", t))) > 0
+
+
+def labels_of(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    (_, _, labels, runs), = L.Scanner().scan(L.W.words_of(raw, np.array([0, len(raw)])))
+    return labels, runs
+
+
+def test_licences_to_their_end():
+    holder = " ".join(f"holder{k}" for k in range(40))
+    filled = {label: TEMPLATES[label][0].replace("{{*}}", holder).replace("[[", "").replace("]]", "") for label in ("bsd-2-clause", "bsd-3-clause", "isc", "mit-text", "unlicense", "agpl-3.0", "mpl-2.0")}
+    for label, text in filled.items():
+        assert labels_of(f"x {text} y")[0] == {label}
+    for label in ("bsd-2-clause", "bsd-3-clause", "isc"):
+        assert labels_of(filled[label].rsplit(" ", 8)[0])[0] == set()
+    assert labels_of(filled["bsd-2-clause"].replace("THIS SOFTWARE IS", "4. No warranty at all. THIS SOFTWARE IS"))[0] == set()
+
+
+def test_loop_ends_at_the_first_complete_wording():
+    text = TEMPLATES["mit-text"][0].replace("[[(including the next paragraph)]]", "").replace("{{*}}", "THE AUTHORS")
+    n = len(L.split_words(text))
+    assert labels_of(f"{text} between {text}")[1] == [(0, n, "mit-text"), (n + 1, n, "mit-text")]
+    opening = text[: text.index("BE LIABLE")]
+    assert labels_of(opening * 3)[1] == [] and [r[0] for r in labels_of(opening * 2 + text)[1]] == [0]
+
+
+def test_loop_against_regular_expressions():
+    automaton, wanted = L.Automaton("a {{*}} b [[c]] d [[a]]"), re.compile(r"a (\w+ )*?b (c )?d ")
+    for n in range(1, 7):
+        for words in itertools.product("abcdx", repeat=n):
+            text = "".join(f"{w} " for w in words)
+            found = wanted.match(text)
+            first = len(found[0].split()) if found else 0
+            run = first + (bool(first) and words[first : first + 1] == ("a",))
+            assert automaton.longest_run([w.encode() for w in words]) == run, text
+
+
+def test_gpl_notices_tell_their_versions_apart():
+    start = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    by, end = "as published by the Free Software Foundation", "This program is distributed in the hope that it will be useful"
+    for text, labels in ((f"{start} version 2 {by}. {end}", {"gpl-2.0-only"}), (f"{start} {by}; version 2 of the License. {end}", {"gpl-2.0-only"}), (f"{start} version 2 only", {"gpl-2.0-only"}),
+                         (f"{start} {by}; either version 2 of the License, or (at your option) any later version. {end}", {"gpl-2.0"}), (f"{start} {by}. {end}", set()),
+                         (f"{start} {by}; version 2 of the License, or (at your option) any later version. {end}", set())):
+        assert labels_of(text)[0] == labels, text
