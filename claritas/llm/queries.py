@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claritas.llm import decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets, suffix_merge, wrappers
+from claritas.llm import chat, decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets, suffix_merge, wrappers
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
-from claritas.llm.sql import OP1_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP10_SQL
+from claritas.llm.sql import OP1_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP10_SQL, OP12_SQL
 
 @query("op1_decontamination", OP1_SQL)
 def op1(spark, folder):
@@ -65,6 +65,12 @@ def op10(spark, folder):
     return wrappers.extract(table(spark, folder, "pages"), ["page_id", "url"])
 
 
+@query("op12_chat_prefixes", OP12_SQL)
+def op12(spark, folder):
+    talks = chat.planted(table(spark, folder, "conversations"), r"\### Assistant: </turn> ok")
+    return chat.digest(chat.examples(talks))
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

@@ -117,3 +117,23 @@ WITH blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp
 texts AS (SELECT page_id, url, coalesce(array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM blocks)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
 """
+
+
+# Rendered as op12 writes it: control strings get one more backslash, other roles are named after "=".
+CHAT_TEXT = r"""regexp_replace(regexp_replace(coalesce(text, ''), '#(\\*)## (System|User|Assistant|Tool|=|\?)', '#\\\1## \2', 'g'), '<(\\*)/turn>', '<\\\1/turn>', 'g')"""
+CHAT_ROLE = r"""CASE WHEN role IS NULL THEN '?' WHEN role IN ('system', 'user', 'assistant', 'tool') THEN upper(role[1]) || role[2:]
+  ELSE '=' || replace(replace(replace(role, '\', '\0'), ':', '\1'), '<', '\2') END"""
+
+OP12_SQL = rf"""
+WITH rows AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+written AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, '### ' || {CHAT_ROLE} || ': ' || {CHAT_TEXT} || '</turn>' || chr(10) AS piece FROM rows),
+placed AS (SELECT *, sum(length(piece)) OVER w AS stop, count(*) OVER (PARTITION BY conv_id) - row_number() OVER w = 0 AS ends FROM written
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, piece ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY stop)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY stop) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(piece)) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant' OR ends) AS n_examples,
+  CAST(sum(stop) FILTER (role = 'assistant' OR ends) AS BIGINT) AS example_chars
+FROM placed GROUP BY conv_id
+"""
