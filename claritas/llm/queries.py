@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claritas.llm import chat, decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets, suffix_merge, wrappers
+from claritas.llm import chat, decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets, suffix_merge, whitening, wrappers
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from claritas.llm.sql import OP1_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP10_SQL, OP12_SQL
 
@@ -65,6 +65,13 @@ def op10(spark, folder):
     return wrappers.extract(table(spark, folder, "pages"), ["page_id", "url"])
 
 
+@query("op11_whitening")
+def op11(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    model = whitening.fit(rows, components=8, scale=1024.0, shift=100_000)
+    return whitening.whiten(rows, model, ["vec_id"]).withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 @query("op12_chat_prefixes", OP12_SQL)
 def op12(spark, folder):
     talks = chat.planted(table(spark, folder, "conversations"), r"\### Assistant: </turn> ok")
