@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claritas.llm import chat, decontamination, fingerprints, jaccard, licenses, mixing, ngram_lm, quality, secrets, suffix_merge, whitening, wrappers
+from claritas.llm import chat, decontamination, fingerprints, jaccard, licenses, mixing, negatives, ngram_lm, quality, secrets, suffix_merge, whitening, wrappers
 from claritas.llm.registry import QUERIES, SQL, query, table  # noqa: F401
-from claritas.llm.sql import OP1_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP10_SQL, OP12_SQL
+from claritas.llm.sql import OP1_SQL, OP6_SQL, OP7_SQL, OP9_SQL, OP10_SQL, OP12_SQL, OP13_SQL
 
 @query("op1_decontamination", OP1_SQL)
 def op1(spark, folder):
@@ -78,6 +78,13 @@ def op12(spark, folder):
     return chat.digest(chat.examples(talks))
 
 
+@query("op13_segment_negatives", OP13_SQL)
+def op13(spark, folder):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0, scale=256.0, positives=5, negatives=5, num=80, den=100)
+
+
 @query("pipeline")
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

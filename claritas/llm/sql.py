@@ -137,3 +137,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr
   CAST(sum(stop) FILTER (role = 'assistant' OR ends) AS BIGINT) AS example_chars
 FROM placed GROUP BY conv_id
 """
+
+OP13_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, p.other AS positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p.other ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+    s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT * FROM n WHERE rank <= 5
+"""
