@@ -1,6 +1,8 @@
-"""ROUGE-L and ROUGE-Lsum: longest common subsequences, bit-parallel, inside Arrow batches.
+"""ROUGE-L and ROUGE-Lsum: longest common subsequences, bit-parallel.
 
-Pairs are spread by id once, as for the n-gram metrics; long pairs then meet no full task.
+Pairs are spread by id once, as for the n-gram metrics; long pairs then meet no full task. Without stems
+the length of a subsequence is a fold in DataFrame functions (`folded_size`), except for pairs whose
+shorter text is beyond a measured length; stems, positions and those pairs use Python in Arrow batches.
 """
 
 from __future__ import annotations
@@ -8,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,58 +21,183 @@ from claritas.operators.ngrams import f_score, token_stemmer
 from claritas.session import shuffle_width
 
 
-def _places(a) -> dict:
-    """Per token the bits of its places in `a`."""
-    where: dict = {}
-    for i, token in enumerate(a):
-        where[token] = where.get(token, 0) | (1 << i)
-    return where
+BLOCK = 1024  # tokens of a table block
+WORD_BITS = 62  # of a long, so that a sum with its carry never overflows
+FOLD_LIMIT = 16 * WORD_BITS  # tokens of the shorter text up to which a fold beats Python
 
 
-def _steps(where: dict, size: int, b) -> Iterator[int]:
-    """One integer per token of b; bit i is 0 where row i of the LCS table grows by one.
+class Places:
+    """A token list cut into blocks; per block and token, the bits of its places in the block.
 
-    The row-wise recurrence of Hyyro (2004): a column of the table is a single integer.
+    A block's bits are bounded by its length, so the whole takes memory in proportion to the list.
+    """
+
+    def __init__(self, a, block: int = BLOCK):
+        self.a, self.block, self.where = a, block, []
+        for start in range(0, len(a), block):
+            where: dict = {}
+            for i, token in enumerate(a[start : start + block]):
+                where[token] = where.get(token, 0) | (1 << i)
+            self.where.append(where)
+
+    def size(self, r: int) -> int:
+        return min(self.block, len(self.a) - r * self.block)
+
+
+def _steps(where: dict, size: int, b, carries) -> Iterator[tuple[int, int]]:
+    """(state, carry) per token of b: bit i of the state is 0 where row i of the LCS table grows by one.
+
+    The row-wise recurrence of Hyyro (2004): a column of a block of rows is a single integer. The sum
+    hands a carry to the next block of rows; `carries` are those of the block before.
     """
     mask = (1 << size) - 1
     state = mask
-    for token in b:
+    for token, carry in zip(b, carries):
         hit = state & where.get(token, 0)
-        state = ((state + hit) | (state - hit)) & mask
-        yield state
-
+        total = state + hit + carry
+        carry = total >> size
+        state = (total & mask) | (state - hit)
+        yield state, carry
+
+
+def lcs_size(a, b, block: int = BLOCK) -> int:
+    """Keeps one block of rows and a byte per token of b."""
+    places, carries, found = Places(a, block), bytes(len(b)), 0
+    for r, where in enumerate(places.where):
+        size = places.size(r)
+        handed, last = bytearray(len(b)), (1 << size) - 1
+        for j, (last, carry) in enumerate(_steps(where, size, b, carries)):
+            handed[j] = carry
+        carries = handed
+        found += size - last.bit_count()
+    return found
 
-def lcs_size(a, b) -> int:
-    """Keeps one integer of len(a) bits, whatever the length of b."""
-    last = (1 << len(a)) - 1
-    for last in _steps(_places(a), len(a), b):
-        pass
-    return len(a) - last.bit_count()
 
+def lcs_positions(a, b, places: Places | None = None, block: int = BLOCK) -> set[int]:
+    """Positions in `a` of one longest common subsequence; on a tie the walk goes up in `a`.
 
-def lcs_positions(a, b, where: dict | None = None) -> set[int]:
-    """Positions in `a` of one longest common subsequence; on a tie the walk goes up in `a`."""
-    columns, found = list(_steps(_places(a) if where is None else where, len(a), b)), set()
+    A first pass keeps only the carries between blocks of rows (a bit per token of b and block); the walk
+    back computes the columns of one block at a time: len(b) integers of `block` bits.
+    """
+    places = Places(a, block) if places is None else places
+    block, rows, found = places.block, [np.packbits(np.zeros(len(b), np.uint8))], set()
+    for r, where in enumerate(places.where[:-1]):
+        carries = np.unpackbits(rows[-1], count=len(b)).tolist()
+        rows.append(np.packbits(np.fromiter((c for _, c in _steps(where, places.size(r), b, carries)), np.uint8, len(b))))
     i, j = len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            found.add(i - 1)
-            i, j = i - 1, j - 1
-        elif columns[j - 1] >> (i - 1) & 1:
-            i -= 1
-        else:
-            j -= 1
+    for r in range(len(places.where) - 1, -1, -1):
+        if not j:
+            break
+        start = r * block
+        carries = np.unpackbits(rows[r], count=len(b))[:j].tolist()
+        columns = [state for state, _ in _steps(places.where[r], places.size(r), b[:j], carries)]
+        while i > start and j:
+            if a[i - 1] == b[j - 1]:
+                found.add(i - 1)
+                i, j = i - 1, j - 1
+            elif columns[j - 1] >> (i - 1 - start) & 1:
+                i -= 1
+            else:
+                j -= 1
     return found
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with `value` computed once however often the body reads it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shifted(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits.cast("int"))
+
+
+def _own(placed: Column, starts: Column, start: Column, k: Column) -> Column:
+    """The places of one token; `placed` is sorted by token and a token's places begin at `start`."""
+    return F.slice(placed, start + 1, F.coalesce(F.get(starts, k + 1), F.size(placed)) - start)
+
+
+def _masks(placed: Column, starts: Column) -> Column:
+    """Map from token to the bits of its places, where all fit one long."""
+
+    def entry(start: Column, k: Column) -> Column:
+        bits = F.aggregate(_own(placed, starts, start, k), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(_shifted(x["i"])))
+        return F.struct(F.get(placed, start)["t"].alias("key"), bits.alias("value"))
+
+    return F.map_from_entries(F.transform(starts, entry))
+
+
+def _word_masks(placed: Column, starts: Column, words: Column) -> Column:
+    """The same in several longs of WORD_BITS bits."""
+
+    def entry(start: Column, k: Column) -> Column:
+        def bits(w: Column) -> Column:
+            inside = lambda x: F.floor(x["i"] / WORD_BITS) == w
+            return F.aggregate(_own(placed, starts, start, k), F.lit(0).cast("bigint"), lambda acc, x: F.when(inside(x), acc.bitwiseOR(_shifted(x["i"] % WORD_BITS))).otherwise(acc))
+
+        return F.struct(F.get(placed, start)["t"].alias("key"), F.transform(F.sequence(F.lit(0), words - 1), bits).alias("value"))
+
+    return F.map_from_entries(F.transform(starts, entry))
+
+
+FULL = (1 << WORD_BITS) - 1
+
+
+def _word_step(state: Column, mask: Column) -> Column:
+    hit = state.bitwiseAND(mask)
+    return (state + hit).bitwiseAND(F.lit(FULL)).bitwiseOR(state - hit)
+
+
+def _step(state: Column, masks: Column) -> Column:
+    """The next state: words from low to high, each handing its carry on."""
+    pairs = F.zip_with(state, masks, lambda x, y: F.struct(x.alias("x"), x.bitwiseAND(y).alias("hit")))
+    empty = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array_append(F.array(), F.lit(0).cast("bigint")).alias("out"))
+
+    def word(acc: Column, w: Column) -> Column:
+        done = lambda total: F.struct(F.shiftright(total, WORD_BITS).alias("carry"), F.array_append(acc["out"], total.bitwiseAND(F.lit(FULL)).bitwiseOR(w["x"] - w["hit"])).alias("out"))
+        return _let(w["x"] + w["hit"] + acc["carry"], done)
+
+    return F.aggregate(pairs, empty, word, lambda acc: F.slice(acc["out"], F.lit(2), F.size(acc["out"])))
+
+
+def folded_size(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two token arrays, in DataFrame functions.
+
+    The shorter one becomes bit words; tokens of the longer one that it does not hold change nothing.
+    """
+    swap = F.size(a) > F.size(b)
+    sides = F.struct(F.when(swap, b).otherwise(a).alias("short"), F.when(swap, a).otherwise(b).alias("long"))
+
+    def with_sides(two: Column) -> Column:
+        words = F.ceil(F.size(two["short"]) / WORD_BITS).cast("int")
+        placed = F.array_sort(F.transform(two["short"], lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+        def seen(where: Column) -> Column:
+            return F.filter(F.transform(two["long"], lambda t: F.try_element_at(where, t)), lambda m: m.isNotNull())
+
+        def by_word(where: Column) -> Column:
+            return F.lit(WORD_BITS) - F.bit_count(F.aggregate(seen(where), F.lit(FULL), _word_step))
+
+        def by_words(where: Column) -> Column:
+            zeros = lambda last: F.size(last) * WORD_BITS - F.aggregate(last, F.lit(0), lambda acc, w: acc + F.bit_count(w))
+            return _let(F.aggregate(seen(where), F.array_repeat(F.lit(FULL), words), _step), zeros)
+
+        def with_placed(p: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda k: (k == 0) | (F.get(p, k)["t"] != F.get(p, k - 1)["t"]))
+            return _let(starts, lambda at: F.when(words == 1, _let(_masks(p, at), by_word)).otherwise(_let(_word_masks(p, at, words), by_words)))
+
+        return _let(placed, with_placed)
+
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).when(a == b, F.size(a)).otherwise(_let(sides, with_sides)).cast("bigint")
+
+
 def union_hits(ref: list, pred: list) -> int:
     """Tokens of the reference sentences covered by any prediction sentence, clipped on both sides."""
     left_ref = Counter(t for s in ref for t in s)
     left_pred = Counter(t for s in pred for t in s)
     hits = 0
     for sentence in ref:
-        where = _places(sentence)
-        covered = set().union(*(lcs_positions(sentence, other, where) for other in pred)) if len(pred) else set()
+        places = Places(sentence)
+        covered = set().union(*(lcs_positions(sentence, other, places) for other in pred)) if len(pred) else set()
         for token in (sentence[i] for i in sorted(covered)):
             if left_ref[token] > 0 and left_pred[token] > 0:
                 left_ref[token] -= 1
@@ -106,20 +234,41 @@ def _token_text(c: Column) -> Column:
     return F.array_join(ascii_tokens(c), " ")
 
 
-def rouge_l_pairs(df: DataFrame, by: list[str], stems: bool = True, summary: bool = False) -> DataFrame:
-    """Hits, totals and F per pair; `summary` takes the union over sentences."""
-    keys = ["pair_id", *by]
-
+def _hits_by_udf(pairs: DataFrame, keys: list[str], stems: bool, summary: bool) -> DataFrame:
     def text(side: str) -> Column:
         c = F.col(side)
         return F.array_join(F.transform(sentences(c), _token_text), "\n") if summary else _token_text(c)
 
-    # Scoring costs far more than moving the text once, so pairs are spread evenly first.
-    spread = df.select(*keys, "ref", "pred").repartition(shuffle_width(df.sparkSession), *keys)
-    work = spread.select(*keys, *[text(s).alias(f"_{s}") for s in ("ref", "pred")])
+    work = pairs.select(*keys, *[text(s).alias(f"_{s}") for s in ("ref", "pred")])
     hits = (_union_udf if summary else _lcs_udf)(stems)("_ref", "_pred")
     sizes = [F.size(find_all(F.col(f"_{s}"), ASCII_WORD)) for s in ("pred", "ref")]
-    counted = work.select(*keys, hits.alias("hits"), sizes[0].alias("n_pred"), sizes[1].alias("n_ref"))
+    return work.select(*keys, hits.alias("hits"), sizes[0].alias("n_pred"), sizes[1].alias("n_ref"))
+
+
+def _hits_by_fold(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    work = pairs.select(*keys, *[ascii_tokens(F.col(s)).alias(f"_{s}") for s in ("ref", "pred")])
+    return work.select(*keys, folded_size(F.col("_ref"), F.col("_pred")).alias("hits"), F.size("_pred").alias("n_pred"), F.size("_ref").alias("n_ref"))
+
+
+def rouge_l_pairs(df: DataFrame, by: list[str], stems: bool = True, summary: bool = False, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """Hits, totals and F per pair; `summary` takes the union over sentences.
+
+    Without stems and `summary`, pairs whose shorter text has at most `fold_limit` tokens stay in the JVM;
+    the largest is measured first, and a Python branch is added only where one is longer.
+    """
+    keys = ["pair_id", *by]
+    # Scoring costs far more than moving the text once, so pairs are spread evenly first.
+    spread = df.select(*keys, "ref", "pred").repartition(shuffle_width(df.sparkSession), *keys)
+    if stems or summary:
+        counted = _hits_by_udf(spread, keys, stems, summary)
+    else:
+        shorter = F.least(*[F.regexp_count(F.lower(s), F.lit(ASCII_WORD)) for s in ("ref", "pred")])
+        longest = df.agg(F.max(shorter)).first()[0] or 0
+        if longest <= fold_limit:
+            counted = _hits_by_fold(spread, keys)
+        else:
+            short = _hits_by_fold(spread.where(shorter <= fold_limit), keys)
+            counted = short.unionByName(_hits_by_udf(spread.where(shorter > fold_limit), keys, stems, summary))
     return counted.withColumn("f", f_score(F.col("hits"), F.col("n_pred"), F.col("n_ref")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claritas.functions import text
-from claritas.operators import bertscore, ngrams, readability, subsequence, suite
+from claritas.operators import bertscore, bootstrap, ngrams, readability, subsequence, suite
 from claritas.operators.trials import mean_std
 from claritas.plans import fixtures as fx
 from claritas.plans.queries_columns import half_up
@@ -84,6 +84,34 @@ def m1_pairs(spark, folder):
     return _rounded(ngrams.rouge_pairs(_systems(spark, folder), BY, stems=False), "pair_id", *BY, "n")
 
 
+REPLICATES = 200
+WEIGHT = " + ".join(f"CAST(digits >= '{t}' AS INTEGER)" for t in bootstrap.thresholds())
+
+
+def _bootstrap_sql(rows: str, value: str, metric: str, source: str) -> str:
+    """Percentiles of Poisson resamples of `value` over (split, task, system) and `metric`, with the library's hash weights."""
+    return f"""WITH {rows},
+hashed AS (SELECT split, task, system, {metric} AS metric, {value} AS v, b, md5('1:' || pair_id || ':' || b) AS h FROM {source}, (SELECT unnest(range({REPLICATES // bootstrap.PER_HASH})) AS b)),
+drawn AS (SELECT split, task, system, metric, v, b * {bootstrap.PER_HASH} + k AS replicate, substr(h, CAST(4 * k + 1 AS INTEGER), 4) AS digits
+          FROM hashed, (SELECT unnest(range({bootstrap.PER_HASH})) AS k)),
+means AS (SELECT split, task, system, metric, replicate, sum(({WEIGHT}) * v) / nullif(sum({WEIGHT}), 0) AS mean FROM drawn WHERE v IS NOT NULL GROUP BY ALL),
+parts AS (SELECT split, task, system, metric, quantile_cont(mean, [0.025, 0.5, 0.975]) AS q FROM means GROUP BY ALL),
+plain AS (SELECT split, task, system, metric, count(*) AS n, avg(v) AS mean FROM hashed WHERE b = 0 GROUP BY ALL)
+SELECT split, task, system, metric, n, round(mean * 100, 6) AS mean, round(q[1] * 100, 6) AS low, round(q[2] * 100, 6) AS mid, round(q[3] * 100, 6) AS high
+FROM plain JOIN parts USING (split, task, system, metric)"""
+
+
+def _bootstrapped(pairs):
+    out = bootstrap.bootstrap(pairs, [*BY, "metric"], ["pair_id"], "f", replicates=REPLICATES, seed=1)
+    return _rounded(out.select(*BY, "metric", "n", *[(F.col(c) * 100).alias(c) for c in ("mean", "low", "mid", "high")]), *BY, "metric")
+
+
+@query("m1_rouge_bootstrap", _bootstrap_sql(ROUGE_PAIRS, "f", "'rouge' || n", "pairs_f"))
+def m1_bootstrap(spark, folder):
+    pairs = ngrams.rouge_pairs(_systems(spark, folder), BY, stems=False)
+    return _bootstrapped(pairs.withColumn("metric", F.concat(F.lit("rouge"), F.col("n").cast("string"))))
+
+
 @query("m1_rouge_n_stems")
 def m1_stems(spark, folder):
     return _rounded(ngrams.rouge(_systems(spark, folder), BY), *BY)
@@ -116,6 +144,15 @@ def m2_words(spark, folder):
     return _rounded(subsequence.rouge_l(_systems(spark, folder), BY, stems=False), *BY)
 
 
+@query(
+    "m2_rouge_l_bootstrap",
+    _bootstrap_sql(LCS.removeprefix("WITH ").replace("SELECT split, task, t.system, coalesce", "SELECT t.pair_id, split, task, t.system, coalesce"), "coalesce(2.0::DOUBLE * hits / nullif(n_pred + n_ref, 0), 0)", "'rougeL'", "f"),
+)
+def m2_bootstrap(spark, folder):
+    pairs = subsequence.rouge_l_pairs(_systems(spark, folder), BY, stems=False)
+    return _bootstrapped(pairs.withColumn("metric", F.lit("rougeL")))
+
+
 @query("m3_rouge_lsum")
 def m3(spark, folder):
     return _rounded(subsequence.rouge_l(_systems(spark, folder), BY, summary=True), *BY)

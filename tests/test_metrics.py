@@ -1,14 +1,19 @@
 """Metric jobs against small brute-force versions of their definitions."""
 
+import hashlib
 import math
 import random
 import re
+import statistics
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claritas.functions.stem import stem
-from claritas.operators import ngrams, readability, subsequence, suite
+from claritas.operators import bootstrap, ngrams, readability, subsequence, suite
 
 WORDS = "the cat sat on a mat and saw two dogs run far away . ! , it's 3.5".split()
 
@@ -151,6 +156,88 @@ def test_subsequence_helpers_match_the_table():
         assert subsequence.lcs_positions(a, b) == _walk(a, b)
 
 
+@pytest.mark.parametrize("block", [1, 3, 5, 64])
+def test_blocks_of_the_table_change_nothing(block):
+    rnd = random.Random(block)
+    for _ in range(150):
+        a = [rnd.choice("abcde") for _ in range(rnd.randint(0, 20))]
+        b = [rnd.choice("abcde") for _ in range(rnd.randint(0, 20))]
+        assert subsequence.lcs_size(a, b, block) == _lcs(a, b)[-1][-1]
+        assert subsequence.lcs_positions(a, b, block=block) == _walk(a, b)
+
+
+def test_long_lists_stay_small():
+    rnd = random.Random(4)
+    a, b = ([rnd.randrange(3_000) for _ in range(n)] for n in (30_000, 20_000))
+    tracemalloc.start()
+    found = subsequence.lcs_positions(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == subsequence.lcs_size(a, b)
+    # one integer of 30,000 bits per token of b would be 75 MB, and as much again for the places of 3,000 tokens
+    assert peak < 30 << 20
+
+
+def test_fold_equals_the_table(spark):
+    rnd = random.Random(8)
+    rows = []
+    for k in range(120):
+        words = [f"t{i}" for i in range(rnd.choice([1, 4, 200]))]
+        a, b = ([rnd.choice(words) for _ in range(rnd.choice([0, 1, 5, 61, 62, 63, 125, 190]))] for _ in "ab")
+        rows.append((k, a, b))
+    df = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
+    got = {r.k: r.n for r in df.select("k", subsequence.folded_size(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {k: _lcs(a, b)[-1][-1] for k, a, b in rows}
+
+
+def test_rouge_l_leaves_the_jvm_only_for_long_pairs(spark):
+    rows = _pairs()
+    df = _frame(spark, rows)
+    plain = subsequence.rouge_l_pairs(df, ["system"], stems=False)
+    mixed = subsequence.rouge_l_pairs(df, ["system"], stems=False, fold_limit=3)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan(plain) and "Python" in plan(mixed)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, mixed.collect()))
+
+
+def test_bootstrap_against_plain_python(spark):
+    rnd = random.Random(5)
+    rows = [(f"p{k}", rnd.choice("gh"), rnd.random() if k % 7 else None) for k in range(60)] + [("q", None, 0.5), ("r", "none", None)]
+    df = spark.createDataFrame(rows, "pair_id string, system string, value double")
+    got = {r.system: r for r in bootstrap.bootstrap(df, ["system"], ["pair_id"], replicates=40, seed=3).collect()}
+    edges = [int(t, 16) for t in bootstrap.thresholds()]
+    for group in {r[1] for r in rows}:
+        mine = [(p, v) for p, g, v in rows if g == group and v is not None]
+        means = []
+        for k in range(40):
+            digest = lambda p: hashlib.md5(f"3:{p}:{k // 8}".encode()).hexdigest()  # noqa: B023, E731
+            weights = [sum(int(digest(p)[4 * (k % 8) : 4 * (k % 8) + 4], 16) >= e for e in edges) for p, _ in mine]
+            if sum(weights):
+                means.append(sum(w * v for w, (_, v) in zip(weights, mine)) / sum(weights))
+        assert got[group].n == len(mine)
+        if not mine:
+            assert (got[group].mean, got[group].low, got[group].mid, got[group].high) == (None,) * 4
+            continue
+        assert got[group].mean == pytest.approx(statistics.fmean(v for _, v in mine))
+        assert [got[group].low, got[group].mid, got[group].high] == pytest.approx(list(np.percentile(means, [2.5, 50, 97.5])))
+    with pytest.raises(ValueError):
+        bootstrap.bootstrap(df, ["system"], ["pair_id"], replicates=12)
+
+
+def test_bootstrap_weights_are_poisson():
+    edges = [int(t, 16) / 65_536 for t in bootstrap.thresholds()]
+    assert edges[:3] == pytest.approx([math.exp(-1), 2 * math.exp(-1), 2.5 * math.exp(-1)], abs=1e-5)
+    assert sum(1 - e for e in edges) == pytest.approx(1.0, abs=1e-3)
+
+
+def test_mid_lies_near_the_mean_and_inside_the_interval(spark):
+    rnd = random.Random(6)
+    df = spark.createDataFrame([(k, rnd.gauss(0.4, 0.1)) for k in range(2_000)], "pair_id int, value double")
+    (r,) = bootstrap.bootstrap(df, [], ["pair_id"], replicates=400).collect()
+    assert r.low < r.mean < r.high and abs(r.mid - r.mean) < 0.0005
+    assert (r.high - r.low) == pytest.approx(2 * 1.96 * 0.1 / 2_000**0.5, rel=0.25)
+
+
 def test_rouge_l(spark):
     rows = _pairs()
     got = {r.pair_id: r for r in subsequence.rouge_l_pairs(_frame(spark, rows), ["system"], stems=False).collect()}
