@@ -61,6 +61,73 @@ def test_block_cells_cover_every_pair(spark, monkeypatch):
     assert _got(ranked) == _brute(queries, items, 4)
 
 
+def _clusters(spark, n=4_000, width=16, centres=20):
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(centres, width)) * 4
+    items = middle[rng.integers(0, centres, n)] + 0.1 * rng.normal(size=(n, width))
+    queries = middle[rng.integers(0, centres, 60)] + 0.1 * rng.normal(size=(60, width))
+    corpus = spark.createDataFrame([(i, v.tolist(), "abc"[i % 3]) for i, v in enumerate(items)], "item_id long, embedding array<double>, task string")
+    asked = spark.createDataFrame([(100 + i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<double>")
+    return asked, corpus, queries, items
+
+
+def test_blocks_below_the_threshold_are_never_multiplied(spark):
+    _, corpus, queries, items = _clusters(spark)
+    local = corpus.toPandas()
+    pilot = retrieval.Pilot.of(local.iloc[::5])
+    least = pilot.least(np.arange(60), queries, 3, False)
+    asked = retrieval.Asked(np.arange(100, 160), queries, {t: least[:, i] for i, t in enumerate(pilot.tasks)})
+    search = retrieval.Search(asked, 3, False)
+    for block in retrieval.blocks_of(local, pilot.centres):
+        search.add(block)
+    got = search.found()
+    ranked = {(q, t, i) for q, t, i in zip(got["query_id"], got["task"], got["item_id"])}
+    assert ranked == {(q, t, i) for q, t, i, _ in _brute(queries, items, 3)}
+    assert search.opened < 0.2 * search.met
+
+
+@pytest.mark.parametrize("way", ["queries", "corpus", "blocks"])
+def test_little_below_the_threshold_leaves_a_task(spark, monkeypatch, way):
+    monkeypatch.setattr(retrieval, "MIN_BLOCK", 150)
+    asked, corpus, queries, items = _clusters(spark)
+    row = 8 * (16 + 2)
+    if way == "corpus":
+        monkeypatch.setattr(retrieval, "_ship_queries", None)
+    limit = {"queries": 1 << 20, "corpus": 4_000 * row, "blocks": 20 * row}[way]
+    if way == "corpus":
+        asked = asked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("query_id", F.col("query_id") + F.col("copy") * 1000).drop("copy")
+    found = retrieval.candidates(asked, corpus.repartition(8), 3, limit=limit).where("query_id < 1000")
+    assert found.count() <= 60 * 3 * 3 * 2  # eight tasks could each give out 540 rows
+    ranked = retrieval.top_rows(found, ["query_id", "task"], [F.col("similarity").desc(), F.col("item_id")], 3)
+    assert _got(ranked) == _brute(queries, items, 3)
+
+
+def test_block_pairs_out_of_reach_are_not_copied(spark):
+    asked, corpus, queries, items = _clusters(spark)
+    local = corpus.toPandas()
+    pilot = retrieval.Pilot.of(local)
+    with_least = retrieval._with_least(asked, pilot, 3, False, 16)
+    q, n_q = retrieval._placed(with_least, "query_id", pilot.centres, 50)
+    c, n_c = retrieval._placed(corpus, "item_id", pilot.centres, 100)
+    assert retrieval.block_pairs(q, c, n_c, True).count() < 0.3 * n_q * n_c
+    assert retrieval.block_pairs(q, c, n_c, False).count() == q.select("_block").distinct().count() * n_c
+
+
+def test_null_tasks_and_tasks_outside_the_pilot(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PILOT", 10)
+    items, queries = _vectors(3, 200), _vectors(4, 5)
+    tasks = [None if i % 7 == 0 else "rare" if i == 150 else "often" for i in range(200)]
+    corpus = spark.createDataFrame([(i, v.tolist(), t) for i, (v, t) in enumerate(zip(items, tasks))], "item_id long, embedding array<float>, task string")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<float>")
+    want = set()
+    for q, v in enumerate(queries.astype(float)):
+        for t in set(tasks):
+            scored = sorted((-round(float(v @ items[i].astype(float)), 9), i) for i in range(200) if tasks[i] == t)
+            want |= {(q, t, i, r + 1) for r, (_, i) in enumerate(scored[:4])}
+    for limit in (1 << 20, 8 * 10):
+        assert _got(retrieval.top_k(asked, corpus, 4, limit=limit)) == want
+
+
 def test_neighbours_never_return_the_row_itself(spark):
     items = _vectors()
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "item_id long, embedding array<float>")
