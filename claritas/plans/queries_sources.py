@@ -10,7 +10,7 @@ from claritas.operators.retrieval import index_gaps
 from claritas.plans import fixtures as fx
 from claritas.plans.registry import query, table
 from claritas.session import scratch_path
-from claritas.sources import corpora, logs, sheets
+from claritas.sources import corpora, logs, sheets, vector_index
 
 SPLIT = f"{fx.sql_list(fx.SPLITS)}[CAST(doc_id % 3 AS INT) + 1]"
 
@@ -246,6 +246,32 @@ def s16(spark, folder):
     return index_gaps(rows, stored, ["pos"])
 
 
+@query(
+    "s16_incremental_index",
+    """SELECT vec_id AS pos, CAST(CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 THEN 2 ELSE 1 END AS INTEGER) AS run,
+              CASE WHEN vec_id % 7 = 0 THEN 'new ' ELSE 'old ' END || label AS content, round(list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 6) AS size
+       FROM embeddings WHERE vec_id % 13 <> 0""",
+)
+def s16_incremental(spark, folder):
+    stored = table(spark, folder, "embeddings").select(F.col("vec_id").alias("pos"), "embedding", "label")
+    path = scratch_path(spark, "s16-index")
+
+    def rows(changed):
+        text = F.concat(F.when(changed, "new ").otherwise("old "), F.col("label").cast("string"))
+        return stored.select("pos", text.alias("content"))
+
+    def encode(df):
+        return df.join(stored.select("pos", "embedding"), "pos")
+
+    vector_index.refresh(rows(F.lit(False)).where("pos % 11 <> 0"), path, ["pos"], encode)
+    # a seventh of the rows changes, a thirteenth goes, an eleventh is new: only these are encoded
+    second = rows(F.col("pos") % 7 == 0).where("pos % 13 <> 0")
+    vector_index.refresh(second, path, ["pos"], encode)
+    size = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + F.abs(x.cast("double")))
+    live = vector_index.vectors(spark, path).select("pos", F.col("segment").cast("int").alias("run"), F.round(size, 6).alias("size"))
+    return live.join(second, "pos").select("pos", "run", "content", "size")
+
+
 @query(
     "s17_sheet_records",
     f"""WITH {fx.ANNOT}, kept AS (SELECT * FROM answers WHERE NOT (sample_id % 5 = 0 AND criterion = 'error'))
