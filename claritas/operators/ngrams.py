@@ -78,14 +78,17 @@ def f_score(hits: Column, n_pred: Column, n_ref: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
+def overlap_sums() -> list[Column]:
+    """Clipped matches and totals of the counted grams."""
+    return [F.sum(F.least("c_pred", "c_ref")).alias("hits"), F.sum("c_pred").alias("n_pred"), F.sum("c_ref").alias("n_ref")]
+
+
 def rouge_pairs(df: DataFrame, by: list[str], orders=(1, 2), stems: bool = True) -> DataFrame:
     """Clipped overlap, totals and F per pair and order."""
     tokens = {"pred": rouge_tokens(F.col("pred"), stems), "ref": rouge_tokens(F.col("ref"), stems)}
     keys = ["pair_id", *by]
     counts = gram_counts(df, keys, tokens, orders)
-    sums = counts.groupBy(*keys, "n").agg(
-        F.sum(F.least("c_pred", "c_ref")).alias("hits"), F.sum("c_pred").alias("n_pred"), F.sum("c_ref").alias("n_ref")
-    )
+    sums = counts.groupBy(*keys, "n").agg(*overlap_sums())
     return sums.withColumn("f", f_score(F.col("hits"), F.col("n_pred"), F.col("n_ref")))
 
 
@@ -108,9 +111,8 @@ def bleu_counts(df: DataFrame, by: list[str]) -> DataFrame:
     return counts.groupBy(*by).agg(*sums, ref_length)
 
 
-def bleu(df: DataFrame, by: list[str]) -> DataFrame:
-    """Corpus BLEU with exponential smoothing."""
-    out = bleu_counts(df, by)
+def bleu_score() -> Column:
+    """Corpus BLEU with exponential smoothing, from the columns of `bleu_counts`."""
     halvings, logs = F.lit(1.0), F.lit(0.0)
     for n in ORDERS:
         correct, total = F.col(f"correct_{n}"), F.col(f"total_{n}").cast("double")
@@ -122,8 +124,11 @@ def bleu(df: DataFrame, by: list[str]) -> DataFrame:
     )
     empty = F.least(*[F.col(f"total_{n}") for n in ORDERS]) == 0
     unmatched = F.greatest(*[F.col(f"correct_{n}") for n in ORDERS]) == 0
-    score = F.when(empty | unmatched, F.lit(0.0)).otherwise(brevity * F.exp(logs / len(ORDERS)))
-    return out.select(*by, score.alias("bleu"))
+    return F.when(empty | unmatched, F.lit(0.0)).otherwise(brevity * F.exp(logs / len(ORDERS)))
+
+
+def bleu(df: DataFrame, by: list[str]) -> DataFrame:
+    return bleu_counts(df, by).select(*by, bleu_score().alias("bleu"))
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -135,11 +140,8 @@ def _f1(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def sari_pairs(df: DataFrame, by: list[str]) -> DataFrame:
-    """Keep, delete and add score per pair, each the mean over n = 1..4."""
-    keys = ["pair_id", *by]
-    tokens = {s: tokens_13a(strip(F.col(s)), lower=True) for s in ("src", "pred", "ref")}
-    counts = gram_counts(df, keys, tokens)
+def sari_sums() -> list[Column]:
+    """Precision and recall of kept, deleted and added grams of one order."""
     s, c, r = F.col("c_src"), F.col("c_pred"), F.col("c_ref")
     zero = F.lit(0)
     kept, kept_all = F.least(s, c), F.least(s, r)
@@ -154,18 +156,26 @@ def sari_pairs(df: DataFrame, by: list[str]) -> DataFrame:
     def how_many(condition: Column) -> Column:
         return F.count(F.when(condition, F.lit(1)))
 
-    sums = counts.groupBy(*keys, "n").agg(
+    return [
         _ratio(share(kept_good, kept), how_many(kept > 0)).alias("keep_p"),
         _ratio(F.sum(kept_good), F.sum(kept_all)).alias("keep_r"),
         _ratio(share(gone_good, gone), how_many(gone > 0)).alias("del_p"),
         _ratio(how_many(new & (r > 0)), how_many(new)).alias("add_p"),
         _ratio(how_many(new & (r > 0)), how_many(new_all)).alias("add_r"),
-    )
-    return sums.groupBy(*keys).agg(
-        F.avg(_f1(F.col("keep_p"), F.col("keep_r"))).alias("keep"),
-        F.avg("del_p").alias("delete"),
-        F.avg(_f1(F.col("add_p"), F.col("add_r"))).alias("add"),
-    )
+    ]
+
+
+def sari_parts() -> tuple[Column, Column, Column]:
+    """Keep, delete and add score of one order."""
+    return _f1(F.col("keep_p"), F.col("keep_r")), F.col("del_p"), _f1(F.col("add_p"), F.col("add_r"))
+
+
+def sari_pairs(df: DataFrame, by: list[str]) -> DataFrame:
+    """Keep, delete and add score per pair, each the mean over n = 1..4."""
+    keys = ["pair_id", *by]
+    tokens = {s: tokens_13a(strip(F.col(s)), lower=True) for s in ("src", "pred", "ref")}
+    sums = gram_counts(df, keys, tokens).groupBy(*keys, "n").agg(*sari_sums())
+    return sums.groupBy(*keys).agg(*[F.avg(part).alias(name) for name, part in zip(("keep", "delete", "add"), sari_parts())])
 
 
 def sari(df: DataFrame, by: list[str]) -> DataFrame:

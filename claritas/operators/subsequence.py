@@ -234,12 +234,30 @@ def _token_text(c: Column) -> Column:
     return F.array_join(ascii_tokens(c), " ")
 
 
-def _hits_by_udf(pairs: DataFrame, keys: list[str], stems: bool, summary: bool) -> DataFrame:
-    def text(side: str) -> Column:
-        c = F.col(side)
-        return F.array_join(F.transform(sentences(c), _token_text), "\n") if summary else _token_text(c)
+def hits_column(longest: int, stems: bool, summary: bool, fold_limit: int = FOLD_LIMIT) -> Column:
+    """Hits of the columns `ref` and `pred`; `longest` is the token count of the longest shorter text."""
+    if not (stems or summary or longest > fold_limit):
+        return folded_size(ascii_tokens(F.col("ref")), ascii_tokens(F.col("pred")))
+    return (_union_udf if summary else _lcs_udf)(stems)(*[_side_text(s, summary) for s in ("ref", "pred")])
+
+
+def sizes_columns(summary: bool) -> list[Column]:
+    """Tokens of the prediction and of the reference, as the hits count them."""
+    return [F.size(find_all(_side_text(s, summary), ASCII_WORD)) for s in ("pred", "ref")]
+
+
+def longest_shorter(df: DataFrame) -> int:
+    shorter = F.least(*[F.regexp_count(F.lower(s), F.lit(ASCII_WORD)) for s in ("ref", "pred")])
+    return df.agg(F.max(shorter)).first()[0] or 0
 
-    work = pairs.select(*keys, *[text(s).alias(f"_{s}") for s in ("ref", "pred")])
+
+def _side_text(side: str, summary: bool) -> Column:
+    c = F.col(side)
+    return F.array_join(F.transform(sentences(c), _token_text), "\n") if summary else _token_text(c)
+
+
+def _hits_by_udf(pairs: DataFrame, keys: list[str], stems: bool, summary: bool) -> DataFrame:
+    work = pairs.select(*keys, *[_side_text(s, summary).alias(f"_{s}") for s in ("ref", "pred")])
     hits = (_union_udf if summary else _lcs_udf)(stems)("_ref", "_pred")
     sizes = [F.size(find_all(F.col(f"_{s}"), ASCII_WORD)) for s in ("pred", "ref")]
     return work.select(*keys, hits.alias("hits"), sizes[0].alias("n_pred"), sizes[1].alias("n_ref"))
@@ -263,8 +281,7 @@ def rouge_l_pairs(df: DataFrame, by: list[str], stems: bool = True, summary: boo
         counted = _hits_by_udf(spread, keys, stems, summary)
     else:
         shorter = F.least(*[F.regexp_count(F.lower(s), F.lit(ASCII_WORD)) for s in ("ref", "pred")])
-        longest = df.agg(F.max(shorter)).first()[0] or 0
-        if longest <= fold_limit:
+        if longest_shorter(df) <= fold_limit:
             counted = _hits_by_fold(spread, keys)
         else:
             short = _hits_by_fold(spread.where(shorter <= fold_limit), keys)

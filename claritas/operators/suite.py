@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from claritas.functions.text import metric_key
 from claritas.operators.bertscore import bertscore
 from claritas.operators.corpus import union_all
-from claritas.operators.ngrams import bleu, rouge, sari
-from claritas.operators.readability import STOP_WORDS, readability
-from claritas.operators.subsequence import rouge_l
+from claritas.operators.pair_scores import summary
+from claritas.operators.readability import STOP_WORDS
 
 MetricJob = Callable[[DataFrame, list[str]], DataFrame]
 
@@ -29,10 +28,6 @@ def long_form(wide: DataFrame, by: list[str]) -> DataFrame:
     return cast.unpivot(by, values, "metric", "value")
 
 
-def sample_counts(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_samples"))
-
-
 def with_srb(metrics: DataFrame, by: list[str]) -> DataFrame:
     """Add the harmonic mean of SARI, ROUGE-L and BERTScore F1 to a long metric table.
 
@@ -59,22 +54,17 @@ def suite(
     baseline: dict[str, float] | None = None,
     stop_words: list[str] = STOP_WORDS,
     extra: dict[str, MetricJob] | None = None,
-    subsequences: bool = True,
+    subsequences: bool | tuple[str, ...] = True,
     digits: int = 4,
 ) -> DataFrame:
     """All metrics of `df` (pair_id, by..., src, ref, pred); `tokens` adds BERTScore and SRB.
 
-    `subsequences=False` leaves out ROUGE-L and ROUGE-Lsum, and with them the Python workers.
+    The text metrics are one job with one shuffle of the texts; each function in `extra` (pairs and keys to
+    one row per group) is a job of its own. `subsequences=False` leaves out ROUGE-L and ROUGE-Lsum; a
+    tuple names those wanted.
     """
-    jobs = [
-        rouge(df, by, stems=stems),
-        *[rouge_l(df, by, stems=stems, summary=s) for s in ((False, True) if subsequences else ())],
-        bleu(df, by),
-        sari(df, by),
-        readability(df, by, stop_words),
-        sample_counts(df, by),
-        *[job(df, by) for job in (extra or {}).values()],
-    ]
+    wanted = ("rougeL", "rougeLsum") if subsequences is True else tuple(subsequences or ())
+    jobs = [summary(df, by, stems, stop_words, wanted), *[job(df, by) for job in (extra or {}).values()]]
     if tokens is not None:
         jobs.append(bertscore(tokens, by, baseline, pairs=df))
     table = union_all([long_form(job, by) for job in jobs])

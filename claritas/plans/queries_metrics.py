@@ -348,6 +348,16 @@ def m12_without(spark, folder):
     return table.withColumn("value", F.round("value", 4))
 
 
+@query(
+    "m12_suite_words",
+    SUITE_SQL + " UNION ALL " + _long_sql(f"{LCS} SELECT split, task, system, avg(coalesce(2.0::DOUBLE * hits / nullif(n_pred + n_ref, 0), 0)) * 100 AS rougeL FROM f GROUP BY ALL", ["rougeL"]),
+)
+def m12_words(spark, folder):
+    rows = written(_systems(spark, folder), "m12")
+    table = suite.suite(rows, BY, stems=False, subsequences=("rougeL",), digits=9)
+    return table.withColumn("value", F.round("value", 4))
+
+
 @query("m12_metric_suite")
 def m12(spark, folder):
     rows = written(_systems(spark, folder), "m12")
@@ -378,11 +388,16 @@ def u4(spark, folder):
 
 @query(
     "h4_own_metric",
-    f"WITH {fx.SYSTEMS} SELECT split, task, system, 'same_text' AS metric, round(avg(CASE WHEN pred = ref THEN 100.0 ELSE 0 END), 4) AS value FROM systems GROUP BY ALL",
+    SUITE_SQL
+    + f"""
+       UNION ALL SELECT split, task, system, 'same_text' AS metric, round(avg(CASE WHEN pred = ref THEN 100.0 ELSE 0 END), 4) AS value
+       FROM (WITH {fx.SYSTEMS} SELECT * FROM systems) GROUP BY ALL""",
 )
 def h4(spark, folder):
     def same_text(df, by):
         return df.groupBy(*by).agg((F.avg((F.col("pred") == F.col("ref")).cast("double")) * 100).alias("same_text"))
 
     # any function from pairs and keys to one row per group joins the suite
-    return suite.long_form(same_text(_systems(spark, folder), BY), BY).withColumn("value", F.round("value", 4))
+    rows = written(_systems(spark, folder), "h4")
+    table = suite.suite(rows, BY, stems=False, subsequences=False, extra={"same_text": same_text}, digits=9)
+    return table.withColumn("value", F.round("value", 4))

@@ -295,6 +295,31 @@ def test_suite_properties(spark):
     assert {m for s, m in got if s == "copy"} == {m for s, m in got if s == "oracle"}
 
 
+@pytest.mark.parametrize("stems", [False, True])
+def test_suite_equals_the_single_metrics(spark, stems):
+    df = _frame(spark, _pairs(60, 9))
+    got = {(r.system, r.metric): r.value for r in suite.suite(df, ["system"], stems=stems, digits=9).collect()}
+    singles = [
+        ngrams.rouge(df, ["system"], stems=stems),
+        subsequence.rouge_l(df, ["system"], stems=stems),
+        subsequence.rouge_l(df, ["system"], stems=stems, summary=True),
+        ngrams.bleu(df, ["system"]),
+        ngrams.sari(df, ["system"]),
+        readability.readability(df, ["system"]),
+        df.groupBy("system").agg(F.count(F.lit(1)).alias("n_samples")),
+    ]
+    want = {(r.system, r.metric): r.value for job in singles for r in suite.long_form(job, ["system"]).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_suite_shuffles_the_texts_once(spark):
+    df = _frame(spark, _pairs(20))
+    plan = suite.suite(df, ["system"], stems=False, subsequences=("rougeL",))._jdf.queryExecution().executedPlan().toString()
+    texts = [line for line in plan.splitlines() if "Exchange" in line and "REPARTITION" in line]
+    assert len(texts) == 1 and plan.count("Exchange") == 2 and "Python" not in plan
+
+
 def test_srb_and_merge(spark):
     rows = [("g", "sari", 40.0), ("g", "rougeL", 30.0), ("g", "bertscore_f1", 60.0), ("h", "sari", 0.0), ("h", "rougeL", 1.0), ("h", "bertscore_f1", 1.0)]
     df = spark.createDataFrame(rows, "system string, metric string, value double")
