@@ -20,8 +20,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +30,10 @@ from claritas.session import written
 
 BITS = 18
 SIZE = 1 << BITS
-CHUNKS = 16
 SAMPLE = 8_000
 LEAST = 4
-BROADCAST_LABELS = 1_000_000
+LABEL_BYTES = 32  # of a (bigint, int) row in a hash table
+SHIPPED_BYTES = 32 << 20
 RUNS = (2, 3, 4, 8)
 RUN_CODES = W.mix(np.arange(1, len(RUNS) + 1, dtype=np.uint64) * W.STEP)
 
@@ -59,7 +59,7 @@ def indicators(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each indicator by class in this task, in chunks of features."""
+    """(feature, zeros, ones): texts of this task that hold an indicator, by class; feature -1 counts all texts."""
     counts = np.zeros((2, SIZE), np.int64)
     rows = np.zeros(2, np.int64)
     for batch in batches:
@@ -70,18 +70,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind = labels[words.first + doc]
             for y in (0, 1):
                 counts[y] += np.bincount(feature[kind == y], minlength=SIZE)
-    step = SIZE // CHUNKS
+    seen = np.flatnonzero(counts.sum(0))
     if rows.sum():
-        parts = [counts[:, k * step : (k + 1) * step].tobytes() for k in range(CHUNKS)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary()), pa.array([int(rows[0])] * CHUNKS, pa.int64()), pa.array([int(rows[1])] * CHUNKS, pa.int64())],
-            ["chunk", "counts", "zeros", "ones"],
-        )
-
-
-def _add(part: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(c, np.int64) for c in part["counts"]], axis=0)
-    return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "counts": [total.tobytes()], "zeros": [part["zeros"].sum()], "ones": [part["ones"].sum()]})
+        columns = [pa.array(np.append(-1, seen), pa.int32()), pa.array(np.append(rows[0], counts[0][seen])), pa.array(np.append(rows[1], counts[1][seen]))]
+        yield pa.RecordBatch.from_arrays(columns, ["feature", "zeros", "ones"])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,34 +152,22 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Dat
     """(doc_id, text, y) of the documents with a label."""
     kept = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
     kept = kept.groupBy("doc_id").agg((F.avg(F.col(target).cast("double")) >= 0.5).cast("int").alias("y"))
-    if kept.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+    kept = written(kept, "quality-labels")
+    if kept.count() * LABEL_BYTES <= SHIPPED_BYTES:  # beyond that both sides are shuffled
         kept = F.broadcast(kept)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(kept, "doc_id")
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, cost: float = 1.0) -> Model:
-    """A model of `rows` (doc_id, text, y). `sample` bounds the rows of each class that the descent sees."""
-    counted = rows.select("y", "text").mapInArrow(_count, "chunk int, counts binary, zeros bigint, ones bigint")
-    parts = counted.groupBy("chunk").applyInPandas(_add, "chunk int, counts binary, zeros bigint, ones bigint").collect()
-    counts = np.zeros((2, SIZE), np.int64)
-    step = SIZE // CHUNKS
-    n = np.zeros(2, np.int64)
-    for r in parts:
-        counts[:, r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["counts"], np.int64).reshape(2, step)
-        n[:] = r["zeros"], r["ones"]
-    if n.min() == 0:
-        return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 1e-3, float(np.log((n[1] + 1) / (n[0] + 1))))
+def ratios(counts: np.ndarray, least: int) -> np.ndarray:
+    """Log-count ratios of the indicators, smoothed by one; 0 for those in fewer than `least` texts."""
     smooth = counts + 1.0
     ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
-    ratio[counts.sum(0) < LEAST] = 0.0
-    share = np.minimum(1.0, sample / n)
-    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < F.when(F.col("y") == 1, F.lit(int(share[1] * (1 << 30)))).otherwise(F.lit(int(share[0] * (1 << 30))))
-    # written, then read part by part: the driver never holds the rows twice
-    picked = written(rows.where(draw).select("y", "text").mapInArrow(_vectors, "y int, features binary"), "quality-sample")
-    picked = sorted((r["y"], bytes(r["features"])) for r in picked.toLocalIterator())  # the same order on every run
-    y = np.array([k for k, _ in picked])
-    vectors = [np.frombuffer(b, np.int32) for _, b in picked]
-    del picked
+    ratio[counts.sum(0) < least] = 0.0
+    return ratio
+
+
+def fit_sample(vectors: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, share: np.ndarray, cost: float) -> tuple[np.ndarray, float, float, float]:
+    """weight, bias, slope, offset from the sampled rows, each the features of a text."""
     per_class = np.bincount(y, minlength=2)
     costs = np.where(y == 1, cost * min(1.0, per_class[0] / per_class[1]), cost * min(1.0, per_class[1] / per_class[0]))
     fold = np.arange(len(y)) % 2
@@ -200,7 +180,48 @@ def fit(rows: DataFrame, sample: int = SAMPLE, cost: float = 1.0) -> Model:
             z[i] = float(v @ weight[vectors[i]]) / max(float(np.sqrt(v @ v)), 1e-9) + bias
     weight, bias = dual_descent(vectors, y, ratio, costs)
     slope, offset = logistic(z, y, 1.0 / share[y])
-    return Model(ratio, weight, bias, slope, offset)
+    return weight, bias, slope, offset
+
+
+MODEL = "ratio binary, weight binary, bias double, slope double, offset double"
+
+
+def _fit(batches: Iterator[pa.RecordBatch], share: np.ndarray, least: int, cost: float) -> Iterator[pa.RecordBatch]:
+    """The model, in one task: rows (feature, zeros, ones) are counts, rows (y, features) the sample."""
+    counts, picked = np.zeros((2, SIZE), np.int64), []
+    for batch in batches:
+        counted = batch.filter(pc.is_valid(batch.column(0)))
+        at = counted.column(0).to_numpy()
+        counts[0, at], counts[1, at] = counted.column(1).to_numpy(), counted.column(2).to_numpy()
+        drawn = batch.filter(pc.is_valid(batch.column(3)))
+        picked += zip(drawn.column(3).to_pylist(), drawn.column(4).to_pylist())
+    picked.sort()  # the same order on every run
+    y = np.array([k for k, _ in picked])
+    ratio = ratios(counts, least)
+    weight, *rest = fit_sample([np.frombuffer(b, np.int32) for _, b in picked], y, ratio, share, cost)
+    columns = [pa.array([ratio.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary()), *[pa.array([float(x)]) for x in rest]]
+    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in MODEL.split(", ")])
+
+
+def fit(rows: DataFrame, sample: int = SAMPLE, cost: float = 1.0, least: int = LEAST) -> Model:
+    """A model of `rows` (doc_id, text, y). `sample` bounds the rows of each class that the descent sees;
+    indicators in fewer than `least` labelled texts weigh nothing.
+
+    Counts are summed by indicator; the descent runs in one task over the written sample, and only the
+    model itself (two numbers per hash bucket) reaches the driver.
+    """
+    counted = rows.select("y", "text").mapInArrow(_count, "feature int, zeros bigint, ones bigint")
+    counts = written(counted.groupBy("feature").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")), "quality-counts")
+    total = counts.where("feature = -1").first()
+    n = np.array([total["zeros"], total["ones"]]) if total else np.zeros(2, np.int64)
+    if n.min() == 0:
+        return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 1e-3, float(np.log((n[1] + 1) / (n[0] + 1))))
+    share = np.minimum(1.0, sample / n)
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < F.when(F.col("y") == 1, F.lit(int(share[1] * (1 << 30)))).otherwise(F.lit(int(share[0] * (1 << 30))))
+    picked = written(rows.where(draw).select("y", "text").mapInArrow(_vectors, "y int, features binary"), "quality-sample")
+    both = counts.where("feature >= 0").unionByName(picked, allowMissingColumns=True).coalesce(1)
+    found = both.mapInArrow(lambda batches: _fit(batches, share, least, cost), MODEL).first()
+    return Model(np.frombuffer(found["ratio"]), np.frombuffer(found["weight"]), found["bias"], found["slope"], found["offset"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], sent, name: str) -> Iterator[pa.RecordBatch]:

@@ -87,3 +87,44 @@ def test_few_labels_and_awkward_texts(spark):
     assert Q.score(docs_of(spark, []), model).collect() == []
     with pytest.raises(ValueError):
         Q.score(docs, model, ["text"], name="text")
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_fit_and_score_against_plain_python(spark, least):
+    rows, labels = corpus()
+    rows += [(1000, "rare words ### here"), (1001, ""), (1002, None)]
+    labels += [(1000, 0), (1001, 0), (1002, 1)]
+    docs, y = docs_of(spark, rows), dict(labels)
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    model = Q.fit(Q.labelled(docs, table), least=least)
+
+    def features(text):
+        return Q.indicators(next(W.word_slices(pa.array([text], pa.string()), W.BLANK)))[1]
+
+    counts = np.zeros((2, Q.SIZE))
+    for i, text in rows:
+        counts[y[i], features(text)] += 1
+    smooth = counts + 1
+    ratio = np.log((smooth[1] / smooth[1].sum()) / (smooth[0] / smooth[0].sum()))
+    ratio[counts.sum(0) < least] = 0
+    assert np.allclose(model.ratio, ratio)
+    # the whole sample is drawn here, so the optimum of the hinge loss is known up to the descent's tolerance
+    order = sorted((y[i], features(t).astype(np.uint32).tobytes()) for i, t in rows)
+    vectors, sign = [np.frombuffer(b, np.int32) for _, b in order], np.array([k for k, _ in order])
+    share = np.minimum(1.0, Q.SAMPLE / np.bincount(sign))
+    weight, bias, slope, offset = Q.fit_sample(vectors, sign, ratio, share, 1.0)
+    assert np.allclose(model.weight, weight) and (model.bias, model.slope, model.offset) == pytest.approx((bias, slope, offset))
+    got = {r["doc_id"]: r["score"] for r in Q.score(docs, model, ["doc_id"]).collect()}
+    for i, text in rows:
+        at = features(text)
+        norm = max(np.linalg.norm(ratio[at]), 1e-9)
+        z = slope * (sum(ratio[k] * weight[k] for k in at) / norm + bias) + offset
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_labels_beyond_the_shipped_size_are_shuffled(spark, monkeypatch):
+    rows, labels = corpus(60)
+    docs, table = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    before = sorted(map(tuple, Q.labelled(docs, table).collect()))
+    monkeypatch.setattr(Q, "SHIPPED_BYTES", 0)
+    assert sorted(map(tuple, Q.labelled(docs, table).collect())) == before
