@@ -1,16 +1,22 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
-Three base kinds are reported wherever they match. Two wider kinds (mixed tokens of 20 or more
-characters, private-key headers) are only candidates: the hash of each candidate is aggregated over
-the whole corpus by distinct repositories (documents) and owners (sources). A value with at most
-`max_owners` owners looks live and is reported; a value that more owners hold is a widely copied
-example and is not. The same counts judge the base spans (`n_live`, `n_copied`).
+Three base kinds are reported wherever they match. Two wider kinds (tokens shaped like keys, private-key
+headers) are only candidates: the hash of each candidate is aggregated over the whole corpus by distinct
+owners (sources) and repositories (documents). A value looks live, and is reported, if at most `max_owners`
+owners hold it and these hold it in at most `max_copies` documents each on average; a value that more hold
+is a widely copied example and is not. The same counts judge the base spans (`n_live`, `n_copied`).
+
+A token is shaped like a key if it starts with the prefix of a known kind of key, or mixes digits, capital
+and small letters and has no part between separators that reads like a word (so slugs and paths stay).
 
 A match and its place come from two passes of one pattern: `regexp_extract_all` gives the matches,
-`split` the texts between them, and sums of their lengths give the code points before each match.
+`split` the texts between them, and running sums of their lengths the code points before each match.
+Running sums go by chunks of about the root of the number of matches, so a text with n matches costs
+about n * sqrt(n) small steps and no more memory than its matches.
 
 Nulls: a null text is empty; a null source is one owner. Repeated rows are repositories of their own.
-Extra columns are kept by `redact` and ignored by `scan`.
+Extra columns are kept by `redact` and ignored by `report`; those whose names begin with `_` may clash
+with nothing, as rows are packed first.
 """
 
 from __future__ import annotations
@@ -27,30 +33,80 @@ HEX = r"[0-9a-f]{32,}"
 # Candidates of the method.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+KNOWN = r"^(sk_live_|rk_live_|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|AIza|npm_|hf_)"
+WORDY = r"(^|[/_=-])[A-Z]?[a-z]{2,}([/_=-]|$)"
 KINDS = ["assign", "access", "hex", "token", "pem"]
 MARK = "[SECRET]"
+MAX_OWNERS = 2
+MAX_COPIES = 20
+SPANS = "array<struct<start: bigint, kind: int, end: bigint, hash: string>>"
+RUNS = "array<struct<start: bigint, end: bigint>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with `value` computed once however often the body reads it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunks(values: Column, body) -> Column:
+    """body(values, chunks): `values` also in slices of about the root of their number."""
+
+    def cut(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"), F.lit(1))
+        numbers = lambda w: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int"))
+        return _let(width, lambda w: _let(F.transform(numbers(w), lambda c: F.slice(v, c * w + 1, w)), lambda chunks: body(v, w, chunks)))
+
+    return _let(values, cut)
+
+
+def _running(values: Column, combine) -> Column:
+    """For each of `values` (bigint, at least one) the combination of those before it; 0 for the first."""
+    zero = F.lit(0).cast("bigint")
+
+    def totals(v: Column, w: Column, chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, zero, combine))
+        before = lambda all_: F.transform(all_, lambda _, c: F.aggregate(F.slice(all_, F.lit(1), c), zero, combine))
+        each = lambda offsets: F.transform(v, lambda _, i: F.aggregate(F.slice(F.get(chunks, F.floor(i / w).cast("int")), F.lit(1), i % w), F.get(offsets, F.floor(i / w).cast("int")), combine))
+        return _let(sums, lambda all_: _let(before(all_), each))
+
+    return _chunks(values, totals)
 
 
 def _found(text: Column, pattern: str, kind: int, value=None, keep=None) -> Column:
     """array<struct<start, kind, end, hash>> of the matches that `keep` accepts, in order."""
-    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = value or (lambda m: m)
     keep = keep or (lambda m: F.lit(True))
-    gaps = F.split(text, pattern, -1)
-    # length of gap and match before each match
-    steps = F.zip_with(every, F.slice(gaps, 1, F.size(every)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g"), F.char_length(m).alias("n")))
-
-    def place(row: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(steps, 1, i), F.lit(0).cast("bigint"), lambda n, s: n + s["g"] + s["n"])
-        return F.struct(
-            (before + row["g"]).alias("start"),
-            F.lit(kind).alias("kind"),
-            (before + row["g"] + row["n"]).alias("end"),
-            F.when(keep(row["m"]), F.sha2(value(row["m"]).cast("binary"), 256)).alias("hash"),
-        )
 
-    found = F.filter(F.transform(steps, place), lambda s: s["hash"].isNotNull())
-    return F.when(F.size(every) > 0, found).otherwise(F.array().cast("array<struct<start: bigint, kind: int, end: bigint, hash: string>>"))
+    def spans(every: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(every))
+        steps = F.zip_with(every, gaps, lambda m, g: F.struct(m.alias("m"), F.char_length(g).cast("bigint").alias("g"), F.char_length(m).cast("bigint").alias("n")))
+
+        def placed(rows: Column) -> Column:
+            before = _running(F.transform(rows, lambda r: r["g"] + r["n"]), lambda a, b: a + b)
+            found = F.zip_with(
+                rows,
+                before,
+                lambda r, at: F.struct(
+                    (at + r["g"]).alias("start"), F.lit(kind).alias("kind"), (at + r["g"] + r["n"]).alias("end"), F.when(keep(r["m"]), F.sha2(value(r["m"]).cast("binary"), 256)).alias("hash")
+                ),
+            )
+            return F.filter(found, lambda s: s["hash"].isNotNull())
+
+        return F.when(F.size(every) > 0, _let(steps, placed)).otherwise(F.array().cast(SPANS))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+
+
+def _apart(wide: Column, base: Column) -> Column:
+    """The spans of `wide` that overlap no span of `base`."""
+
+    def sieve(_, __, chunks: Column) -> Column:
+        framed = F.transform(chunks, lambda c: F.struct(F.array_min(F.transform(c, lambda b: b["start"])).alias("low"), F.array_max(F.transform(c, lambda b: b["end"])).alias("high"), c.alias("part")))
+        meets = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+        inside = lambda s: lambda c: (c["low"] < s["end"]) & (s["start"] < c["high"]) & F.exists(c["part"], lambda b: meets(s, b))
+        return _let(framed, lambda all_: F.filter(wide, lambda s: ~F.exists(all_, inside(s))))
+
+    return F.when((F.size(base) == 0) | (F.size(wide) == 0), wide).otherwise(_chunks(base, sieve))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -64,11 +120,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             _found(body, HEX, 2),
         )
     )
-    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike("^[0-9a-f]{32,}$")
-    wide = F.concat(_found(body, TOKEN, 3, keep=mixed), _found(body, PEM, 4))
-    out = docs.withColumn("_base", base).withColumn("_wide", wide)
-    apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return out.withColumn("_wide", F.array_sort(F.filter("_wide", apart)))
+    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]") & ~m.rlike(WORDY)
+    shaped = lambda m: m.rlike("[0-9]") & ~m.rlike("^[0-9a-f]{32,}$") & (m.rlike(KNOWN) | mixed(m))
+    wide = F.concat(_found(body, TOKEN, 3, keep=shaped), _found(body, PEM, 4))
+    return docs.select("*", _let(base, lambda b: _let(wide, lambda w: F.struct(b.alias("base"), F.array_sort(_apart(w, b)).alias("wide")))).alias("_both")).select(
+        *docs.columns, F.col("_both.base").alias("_base"), F.col("_both.wide").alias("_wide")
+    )
 
 
 def ownership(spans: DataFrame, owner: str = "source", repository: str = "_row") -> DataFrame:
@@ -78,12 +135,16 @@ def ownership(spans: DataFrame, owner: str = "source", repository: str = "_row")
     return each.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def judged(rows: DataFrame, max_owners: int = 2, counts: DataFrame | None = None) -> DataFrame:
+def is_live(max_owners: int, max_copies: int) -> Column:
+    return (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_copies * F.col("n_owners"))
+
+
+def judged(rows: DataFrame, max_owners: int = MAX_OWNERS, max_copies: int = MAX_COPIES, counts: DataFrame | None = None) -> DataFrame:
     """(_row, _added, n_live, n_copied) for the rows of `scan` that hold any span; `_row` tells rows apart."""
     held = rows.where(F.size("_base") + F.size("_wide") > 0)
     counts = ownership(held) if counts is None else counts
     flat = held.select("_row", F.explode(F.concat("_base", "_wide")).alias("s")).select("_row", "s", F.col("s.hash").alias("hash"))
-    live = F.col("n_owners") <= max_owners
+    live = is_live(max_owners, max_copies)
     return (
         flat.join(counts, "hash")
         .groupBy("_row")
@@ -100,13 +161,13 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame, max_owners: int = 2) -> DataFrame:
+def report(docs: DataFrame, max_owners: int = MAX_OWNERS, max_copies: int = MAX_COPIES) -> DataFrame:
     """Digest columns per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied."""
     slim = docs.select("doc_id", "source", "text")
     rows = written(scan(slim).drop("text").withColumn("_row", F.monotonically_increasing_id()), "secret-spans")
-    out = rows.join(judged(rows, max_owners).withColumnRenamed("_row", "_of"), F.col("_row") == F.col("_of"), "left")
+    out = rows.join(judged(rows, max_owners, max_copies).withColumnRenamed("_row", "_of"), F.col("_row") == F.col("_of"), "left")
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("bigint")
-    none = F.array().cast("array<struct<start: bigint, kind: int, end: bigint, hash: string>>")
+    none = F.array().cast(SPANS)
     return out.select(
         "doc_id",
         count(0).alias("n_assign"),
@@ -119,23 +180,40 @@ def report(docs: DataFrame, max_owners: int = 2) -> DataFrame:
     )
 
 
+def _merged(spans: Column) -> Column:
+    """Runs of overlapping or touching spans; `spans` is sorted and not empty."""
+
+    def runs(s: Column) -> Column:
+        reach = _running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))  # how far the spans before one go
+        heads = lambda before: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] > F.get(before, i)))
+        last = F.array_max(F.transform(s, lambda x: x["end"]))
+        close = lambda before, at: F.transform(at, lambda i, k: F.struct(F.get(s, i)["start"].alias("start"), F.coalesce(F.get(before, F.get(at, k + 1)), last).alias("end")))
+        return _let(reach, lambda before: _let(heads(before), lambda at: close(before, at)))
+
+    return _let(spans, runs)
+
+
 def _cut(text: Column, spans: Column) -> Column:
-    """`text` with every run of spans replaced by MARK."""
-    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    """`text` with every run of spans replaced by MARK. Chunks of runs are cut first, then each run in its chunk."""
+
+    def parts(_, __, chunks: Column) -> Column:
+        # a chunk's piece of text goes from the end of the chunk before to its own last run
+        framed = F.transform(chunks, lambda c, k: F.struct(F.when(k == 0, F.lit(0).cast("bigint")).otherwise(F.element_at(F.get(chunks, k - 1), -1)["end"]).alias("at"), c.alias("runs")))
+
+        def piece(c: Column) -> Column:
+            whole = F.substring(text, (c["at"] + 1).cast("int"), (F.element_at(c["runs"], -1)["end"] - c["at"]).cast("int"))
+            begin = lambda k: F.when(k == 0, c["at"]).otherwise(F.get(c["runs"], k - 1)["end"])
+            said = lambda own: F.transform(c["runs"], lambda r, k: F.substring(own, (begin(k) - c["at"] + 1).cast("int"), (r["start"] - begin(k)).cast("int")))
+            return _let(whole, lambda own: F.concat(F.array_join(said(own), MARK), F.lit(MARK)))
 
-    def add(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(out) > 0) & (last["end"] >= s["start"]), joined).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+        end = F.element_at(F.element_at(chunks, -1), -1)["end"]
+        tail = F.substring(text, (end + 1).cast("int"), F.char_length(text))
+        return _let(framed, lambda all_: F.concat(F.array_join(F.transform(all_, piece), ""), tail))
 
-    runs = F.aggregate(spans, none, add)
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(runs, lambda r: r["end"]))
-    ends = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.char_length(text).cast("bigint")))
-    parts = F.zip_with(starts, ends, lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int")))
-    return F.array_join(parts, MARK)
+    return F.when(F.size(spans) == 0, text).otherwise(_chunks(_merged(spans), parts))
 
 
-def redact(docs: DataFrame, max_owners: int = 2) -> DataFrame:
+def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, max_copies: int = MAX_COPIES) -> DataFrame:
     """`docs` with base spans and live-looking candidates replaced by MARK, and n_chars counted anew.
 
     Only rows that hold a candidate meet the ownership counts; the others never leave their partition.
@@ -144,7 +222,7 @@ def redact(docs: DataFrame, max_owners: int = 2) -> DataFrame:
     rows = written(scan(packed).drop("text").withColumn("_row", F.monotonically_increasing_id()), "secret-rows")
     plain = rows.where(F.size("_wide") == 0).select("doc", F.col("_base").alias("_all"))
     some = rows.where(F.size("_wide") > 0)
-    added = judged(rows, max_owners).where(F.size("_added") > 0).select(F.col("_row").alias("_of"), "_added")
+    added = judged(rows, max_owners, max_copies).where(F.size("_added") > 0).select(F.col("_row").alias("_of"), "_added")
     some = some.join(added, F.col("_row") == F.col("_of"), "left")
     none = F.filter("_base", lambda s: F.lit(False))
     some = some.select("doc", F.array_sort(F.concat("_base", F.coalesce("_added", none))).alias("_all"))

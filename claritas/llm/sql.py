@@ -50,15 +50,19 @@ KEY = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A
 KEY_VALUE = r"""regexp_extract(m, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)"""
 NAMES = "['assign', 'access', 'hex', 'token', 'pem'][kind + 1] || ':' || start || ':' || stop"
 
+KNOWN = "^(sk_live_|rk_live_|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|AIza|npm_|hf_)"
+SHAPED = f"""regexp_matches(m, '[0-9]') AND NOT regexp_full_match(m, '[0-9a-f]{{32,}}') AND (regexp_matches(m, '{KNOWN}')
+  OR (regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND NOT regexp_matches(m, '(^|[/_=-])[A-Z]?[a-z]{{2,}}([/_=-]|$)')))"""
+
 OP7_SQL = f"""
 WITH spans AS ({_spans(0, KEY, KEY_VALUE, f"len({KEY_VALUE}) >= 8")}
 UNION ALL {_spans(1, "AKIA[A-Z0-9]{12,}", "m", "true")}
 UNION ALL {_spans(2, "[0-9a-f]{32,}", "m", "true")}
-UNION ALL {_spans(3, "[A-Za-z0-9+/_=-]{20,}", "m", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_full_match(m, '[0-9a-f]{32,}')")}
+UNION ALL {_spans(3, "[A-Za-z0-9+/_=-]{20,}", "m", SHAPED)}
 UNION ALL {_spans(4, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "m", "true")}),
 kept AS (SELECT * FROM spans s WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = s.doc_id AND b.kind < 3 AND b.start < s.stop AND s.start < b.stop)),
-owners AS (SELECT value, count(DISTINCT coalesce(source, '?')) AS n FROM kept GROUP BY value),
-judged AS (SELECT kept.*, n <= 2 AS live FROM kept JOIN owners USING (value)),
+owners AS (SELECT value, count(DISTINCT coalesce(source, '?')) AS n, count(DISTINCT doc_id) AS copies FROM kept GROUP BY value),
+judged AS (SELECT kept.*, n <= 2 AND copies <= 20 * n AS live FROM kept JOIN owners USING (value)),
 each AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          string_agg({NAMES}, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
          string_agg({NAMES}, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans,
