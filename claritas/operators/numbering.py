@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claritas.operators.text_order import text_borders, text_bucket
 from claritas.session import shuffle_width
 
 HEX_DIGITS = 13  # 52 bits: exact in a double
@@ -42,24 +43,10 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(right, match, how).drop(*named.values())
 
 
-def text_lead(c: Column, skip: int = 0) -> Column:
-    """Six bytes of a text after the first `skip`, as a number that sorts alike."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), skip + 1, 6)), 12, "0"), 16, 10).cast("double")
-
-
-def _common_start(df: DataFrame, column: str) -> int:
-    """Bytes that all texts of a column start with: those of the least and the largest one."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    a, b = (low or "").encode(), (high or "").encode()
-    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-
-
 def sort_number(df: DataFrame, column: str) -> Column:
-    """A number that sorts like the column, or cuts it coarsely: texts by six bytes after their common
-    start. Local times are counted without any time zone. Other types than these are an error."""
+    """A number that sorts like the column. Local times are counted without any time zone. Texts have
+    borders of their own (`text_order`); other types than these are an error."""
     kind = df.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        return text_lead(F.col(column), _common_start(df, column))
     if not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise TypeError(f"no order of {kind.simpleString()} column {column}; give `lead`")
     if isinstance(kind, T.TimestampNTZType):
@@ -88,6 +75,17 @@ def _bucketed(df: DataFrame, source: str, target: str, borders: list[float]) ->
     return cut.transform(df)
 
 
+def _is_text(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.StringType)
+
+
+def _by_text(df: DataFrame, column: str, target: str, buckets: int, where: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """Buckets over the texts of a column (null first; all rows outside `where` come before them)."""
+    borders, frequent = text_borders(df if where is None else df.where(where), column, buckets)
+    number = F.coalesce(text_bucket(F.col(column), borders), F.lit(-1))
+    return df.withColumn(target, (number if where is None else F.when(where, number).otherwise(F.lit(-2))).cast("double")), frequent
+
+
 def bucket_count(df: DataFrame) -> int:
     return max(16, 4 * shuffle_width(df.sparkSession))
 
@@ -116,20 +114,29 @@ def running_total(
     """
     weight = F.lit(1) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     buckets = buckets or bucket_count(df)
-    lead = sort_number(df, order[0]) if lead is None else lead
-    work = df.withColumn(_LEAD, F.coalesce(lead, F.lit(-math.inf))).withColumn(_W, weight.cast("long"))
-    if uniform:
-        low, high = uniform
-        borders, frequent = [low + (high - low) * i / buckets for i in range(1, buckets)], set()
+    if lead is None and _is_text(df, order[0]):
+        work, frequent = _by_text(df.withColumn(_W, weight.cast("long")), order[0], _B1, buckets)
+        alone = F.col(order[0]).isin(frequent)
     else:
-        borders, frequent = _borders(work, _LEAD, buckets)
-    work = _bucketed(work, _LEAD, _B1, borders).withColumn(_B2, F.lit(0.0))
+        lead = sort_number(df, order[0]) if lead is None else lead
+        work = df.withColumn(_LEAD, F.coalesce(lead, F.lit(-math.inf))).withColumn(_W, weight.cast("long"))
+        if uniform:
+            low, high = uniform
+            borders, frequent = [low + (high - low) * i / buckets for i in range(1, buckets)], set()
+        else:
+            borders, frequent = _borders(work, _LEAD, buckets)
+        work = _bucketed(work, _LEAD, _B1, borders)
+        alone = F.col(_LEAD).isin(sorted(frequent))
+    work = work.withColumn(_B2, F.lit(0.0))
     if frequent and len(order) > 1:
         # A frequent value owns its bucket, so the second key can split it and keep the order.
-        alone = F.col(_LEAD).isin(sorted(frequent))
-        work = work.drop(_B2).withColumn(_TIE, F.when(alone, sort_number(df, order[1])).otherwise(F.lit(-math.inf)))
-        ties, _ = _borders(work.where(alone), _TIE, buckets)
-        work = _bucketed(work, _TIE, _B2, ties).drop(_TIE)
+        work = work.drop(_B2)
+        if _is_text(df, order[1]):
+            work, _ = _by_text(work, order[1], _B2, buckets, alone)
+        else:
+            work = work.withColumn(_TIE, F.when(alone, sort_number(df, order[1])).otherwise(F.lit(-math.inf)))
+            ties, _ = _borders(work.where(alone), _TIE, buckets)
+            work = _bucketed(work, _TIE, _B2, ties).drop(_TIE)
     keys = [*by, _B1, _B2]
     outer = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     offsets = (

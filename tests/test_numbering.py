@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from claritas.operators import quantiles
-from claritas.operators.numbering import number_by_hash, number_rows, running_total, sort_number, with_next
+from claritas.operators.numbering import number_by_hash, number_rows, running_total, with_next
 from claritas.operators.quantiles import box_summary, describe, outliers, percentiles
+from claritas.operators.text_order import borders_of, text_borders, text_bucket
 
 
 def _frame(n=3000, seed=3):
@@ -120,17 +121,46 @@ def test_null_groups_are_groups(spark):
     assert [r["v"] for r in quantiles.outliers(wide, ["g"], "v").collect()] == [1e6]
 
 
-def test_texts_with_a_common_start_spread_over_buckets(spark):
-    rows = [(f"annotator_{k:09d}",) for k in range(3000)] + [(None,)]
-    df = spark.createDataFrame(rows, "name string")
-    got = sorted((r["name"] or "", r["pos"]) for r in number_rows(df, [], ["name"]).collect())
-    assert [p for _, p in got] == list(range(3001))
-    lead = df.select(sort_number(df, "name").alias("lead"))
-    assert lead.distinct().count() > 1000
+def test_texts_of_two_families_spread_over_buckets(spark):
+    rows = [(f"{family}_{'x' * 300}_{k:09d}",) for family in ("annotator", "expert") for k in range(10_000)] + [(None,)]
+    df = spark.createDataFrame(rows, "name string").repartition(5)
+    borders, frequent = text_borders(df, "name", 64)
+    sizes = [r["count"] for r in df.where("name IS NOT NULL").groupBy(text_bucket(F.col("name"), borders).alias("b")).count().collect()]
+    assert not frequent and len(sizes) == 64 and max(sizes) < 3 * 20_000 / 64
+    got = sorted((r["name"] or "", r["pos"]) for r in number_rows(df, [], ["name"], buckets=64).collect())
+    assert [p for _, p in got] == list(range(20_001))
     with pytest.raises(TypeError):
         number_rows(spark.createDataFrame([([1],)], "a array<int>"), [], ["a"])
 
 
+@pytest.mark.parametrize("buckets", [2, 7, 64])
+def test_texts_order_by_bytes(spark, buckets):
+    rnd = random.Random(buckets)
+    texts = ["".join(rnd.choice("ab\0éÿ漢😀 \uffff") for _ in range(rnd.randint(0, 6))) for _ in range(900)] + ["hot"] * 800
+    rows = [(t, k) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "t string, id int")
+    got = {r["id"]: r["pos"] for r in number_rows(df, [], ["t", "id"], buckets=buckets).collect()}
+    assert got == {k: i for i, (_, k) in enumerate(sorted(rows, key=lambda r: (r[0].encode(), r[1])))}
+
+
+def test_frequent_text_is_split_by_a_second_text(spark):
+    rows = [("same", f"k{k:05d}") for k in range(4_000)] + [("other", "x"), ("tame", None), (None, "y"), (None, None)]
+    df = spark.createDataFrame(rows, "t string, u string")
+    out = running_total(df, [], ["t", "u"], buckets=16)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "_sub" in plan
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or ""))
+    assert {(r["t"], r["u"]): r["running"] for r in out.collect()} == {r: i + 1 for i, r in enumerate(want)}
+
+
+def test_borders_are_short_and_ascending():
+    sample = [f"{'long common start ' * 20}{k}" for k in range(200)]
+    borders, _ = borders_of(sample, 8)
+    assert borders == sorted(borders) and len(borders) == 7
+    assert borders_of([], 8) == ([], []) and borders_of([""] * 50, 8) == (["\0"], [""])
+    assert borders_of(["a", "b"] * 100, 4)[1] in (["a", "b"], ["b"], ["a"])
+
+
 def test_raw_rows_stay_in_place(spark):
     df = spark.range(1000).selectExpr("id % 3 AS g", "double(id) AS v")
     plan = quantiles.outliers(df, ["g"], "v")._jdf.queryExecution().executedPlan().toString()
