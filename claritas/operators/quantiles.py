@@ -3,7 +3,8 @@
 The built-in exact percentile keeps all distinct values of a group in one buffer. Here
 values are counted once, stored, and cut into ordered buckets. Bucket totals tell which
 buckets hold a wanted rank, and only those are sorted, so a group of any size stays spread
-over the cluster and the input is read a single time.
+over the cluster and the input is read a single time. Where all stored counts together are few, they
+need no buckets: each group is ranked by a window, in one job with one shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claritas.operators.numbering import same_keys, value_buckets
-from claritas.session import written
+from claritas.session import written, written_and_counted
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -36,14 +37,31 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= GROUPS_TO_SHIP else kept
 
 
-def _value_counts(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """Bucketed counts of the known values, and the groups (also those without a known value)."""
+FEW_COUNTS = 1 << 19  # rows (group, value, count) that one task can sort
+
+
+def _value_counts(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, int]:
+    """Counts of the values, one row with a null value for unknown ones; and the number of rows."""
     number = F.col(value).cast("double")
     counted = df.groupBy(*by, F.when(~F.isnan(number), number).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counted = written(counted, "value-counts")
+    return written_and_counted(counted, "value-counts")
+
+
+def _cut(counted: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Bucketed counts of the known values, and the groups (also those without a known value)."""
     return value_buckets(counted.where("_v IS NOT NULL"), "_v", "_bucket"), counted.select(*by).distinct()
 
 
+def _ranked(counted: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """Every value with the size, mean and percentiles of its group, by windows over one partitioning."""
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    rows = counted.withColumn("_n", F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0))
+    size = F.sum("_n").over(group)
+    upto = F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"_size": size, "mean": F.sum(F.col("_v") * F.col("_n")).over(group) / F.nullif(size, F.lit(0)), "_first": upto - F.col("_n")})
+    return _between(rows.withColumns({name: c.over(group) for name, c in _picks(shares).items()}), shares)
+
+
 def _bucket_table(counts: DataFrame, by: list[str]) -> DataFrame:
     """Per (group, bucket): rows before and inside; per group: size, sum, range. Small: buckets are few."""
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -72,18 +90,27 @@ def _at_ranks(counts: DataFrame, buckets: DataFrame, by: list[str], shares: dict
     inner = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = same_keys(counts, wanted, [*by, "_bucket"])
     ranked = ranked.withColumn("_first", F.col("_before") + F.sum("_n").over(inner) - F.col("_n"))
-    picks = []
+    found = ranked.groupBy(*by).agg(F.max("_size").alias("_size"), *[c.alias(name) for name, c in _picks(shares).items()])
+    return _between(found, shares).select(*by, *shares)
+
+
+def _picks(shares: dict[str, float]) -> dict[str, Column]:
+    """Aggregates that give the values at the ranks around each wanted place."""
+    out = {}
     for name, share in shares.items():
         low, high, _ = _ranks(share)
         for side, rank in (("lo", low), ("hi", high)):
-            picks.append(F.max(F.when(_covers(F.col("_first"), F.col("_n"), rank), F.col("_v"))).alias(f"_{side}_{name}"))
-    found = ranked.groupBy(*by).agg(F.max("_size").alias("_size"), *picks)
-    out = []
+            out[f"_{side}_{name}"] = F.max(F.when(_covers(F.col("_first"), F.col("_n"), rank), F.col("_v")))
+    return out
+
+
+def _between(found: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Interpolate linearly between the picked values."""
     for name, share in shares.items():
         low, _, place = _ranks(share)
         step = F.col(f"_hi_{name}") - F.col(f"_lo_{name}")
-        out.append((F.col(f"_lo_{name}") + step * (place - low)).alias(name))
-    return found.select(*by, *out)
+        found = found.withColumn(name, F.col(f"_lo_{name}") + step * (place - low))
+    return found
 
 
 def _every_group(groups: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
@@ -95,7 +122,10 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, floa
 
     A null key is a group; a group without a known value has null percentiles.
     """
-    counts, groups = _value_counts(df, by, value)
+    counted, n = _value_counts(df, by, value)
+    if n <= FEW_COUNTS:
+        return _ranked(counted, by, shares).groupBy(*by).agg(*[F.max(name).alias(name) for name in shares])
+    counts, groups = _cut(counted, by)
     return _every_group(groups, _at_ranks(counts, _bucket_table(counts, by), by, shares), by)
 
 
@@ -104,7 +134,10 @@ def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
     A null key is a group; a group without a known value has n = 0 and nulls.
     """
-    counts, groups = _value_counts(df, by, value)
+    counted, n = _value_counts(df, by, value)
+    if n <= FEW_COUNTS:
+        return _described(_ranked(counted, by, QUARTILES), by)
+    counts, groups = _cut(counted, by)
     buckets = _bucket_table(counts, by)
     totals = _small(buckets.select(*by, "_size", "mean", "min", "max").distinct())
     distance = F.col("_v") - F.col("mean")
@@ -126,6 +159,20 @@ def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return joined.select(*by, "n", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
+def _described(ranked: DataFrame, by: list[str]) -> DataFrame:
+    distance = F.col("_v") - F.col("mean")
+    found = ranked.groupBy(*by).agg(
+        F.coalesce(F.max("_size"), F.lit(0)).alias("n"),
+        F.max("mean").alias("mean"),
+        F.sum(distance * distance * F.col("_n")).alias("_squares"),
+        F.min("_v").alias("min"),
+        F.max("_v").alias("max"),
+        *[F.max(name).alias(name) for name in QUARTILES],
+    )
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1)))
+    return found.withColumn("std", std).select(*by, "n", "mean", "std", "min", "q25", "median", "q75", "max")
+
+
 BOX = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
@@ -145,18 +192,24 @@ def box_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     All from the value counts, in one pass over the rows. A null key is a group; a group without a known
     value has nulls and no outliers.
     """
-    counts, groups = _value_counts(df, by, value)
+    counted, n = _value_counts(df, by, value)
+    if n <= FEW_COUNTS:
+        return _boxes(_fenced(_ranked(counted, by, BOX)), by)
+    counts, groups = _cut(counted, by)
     fences = _small(_fenced(_at_ranks(counts, _bucket_table(counts, by), by, BOX)))
+    found = _boxes(same_keys(counts, fences, by), by)
+    return _every_group(groups, found, by).withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
+
+
+def _boxes(fenced: DataFrame, by: list[str]) -> DataFrame:
+    """From values with the quartiles and fences of their group."""
     inside = F.col("_v").between(F.col("fence_low"), F.col("fence_high"))
-    found = same_keys(counts, fences, by).groupBy(*by).agg(
-        F.max("q1").alias("q1"),
-        F.max("median").alias("median"),
-        F.max("q3").alias("q3"),
+    return fenced.groupBy(*by).agg(
+        *[F.max(name).alias(name) for name in BOX],
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_n"))).alias("n_outliers"),
+        F.coalesce(F.sum(F.when(inside | F.col("_v").isNull(), F.lit(0)).otherwise(F.col("_n"))), F.lit(0)).alias("n_outliers"),
     )
-    return _every_group(groups, found, by).withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
 
 
 def outliers(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 SUGGESTED = {
     "spark.sql.adaptive.enabled": "true",
@@ -46,5 +47,11 @@ def written(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_and_counted(df, name: str):
+    """`written`, and the number of rows, which the write itself counts."""
+    seen = Observation()
+    return written(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

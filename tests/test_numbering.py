@@ -24,6 +24,13 @@ def _frame(n=3000, seed=3):
     )
 
 
+@pytest.fixture(params=["few", "many"])
+def counts(request, monkeypatch):
+    """Both ways of the exact statistics: ranked by a window, or cut into buckets."""
+    if request.param == "many":
+        monkeypatch.setattr(quantiles, "FEW_COUNTS", 0)
+
+
 @pytest.mark.parametrize("buckets", [2, 16, 97])
 def test_number_rows_with_hot_group_and_frequent_value(spark, buckets):
     pdf = _frame()
@@ -73,20 +80,20 @@ def test_with_next_skips_gaps(spark):
     assert got == {(1, 0): "b", (1, 7): "c"}
 
 
-def test_percentiles_match_numpy(spark):
+def test_percentiles_match_numpy(spark, counts):
     pdf = _frame(1500)
     got = percentiles(spark.createDataFrame(pdf), ["g"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         np.testing.assert_allclose(got.loc[g, ["p10", "p50", "p99"]].astype(float), np.quantile(part["v"], [0.1, 0.5, 0.99]))
 
 
-def test_percentiles_of_everything(spark):
+def test_percentiles_of_everything(spark, counts):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,)], "v double")
     row = percentiles(df, [], "v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()
     assert (row.a, row.b, row.c) == (1.75, 3.0, 5.5)
 
 
-def test_describe_matches_pandas(spark):
+def test_describe_matches_pandas(spark, counts):
     pdf = _frame(900)
     pdf.loc[pdf.index % 10 == 0, "v"] = float("nan")
     got = describe(spark.createDataFrame(pdf), ["g"], "v").toPandas().set_index("g").sort_index()
@@ -94,12 +101,12 @@ def test_describe_matches_pandas(spark):
     np.testing.assert_allclose(got.to_numpy(dtype=float), want.to_numpy(dtype=float))
 
 
-def test_describe_of_one_row_has_no_deviation(spark):
+def test_describe_of_one_row_has_no_deviation(spark, counts):
     row = describe(spark.createDataFrame([("a", 2.0)], "g string, v double"), ["g"], "v").first()
     assert row.n == 1 and row.std is None and row.median == 2.0
 
 
-def test_box_plot_numbers(spark):
+def test_box_plot_numbers(spark, counts):
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 5, 100]], "g string, v double")
     row = box_summary(df, ["g"], "v").first()
     assert (row.q1, row.median, row.q3) == (2.25, 3.5, 4.75)
@@ -107,7 +114,7 @@ def test_box_plot_numbers(spark):
     assert [r.v for r in outliers(df, ["g"], "v").collect()] == [100.0]
 
 
-def test_null_groups_are_groups(spark):
+def test_null_groups_are_groups(spark, counts):
     rows = [("a", 1, 5.0), (None, 2, 7.0), (None, 1, None), ("b", 1, None), ("a", 2, 9.0), ("c", 1, float("nan"))]
     df = spark.createDataFrame(rows, "g string, k int, v double")
     got = {(r["g"], r["k"]): r["pos"] for r in number_rows(df, ["g"], ["k"]).collect()}
