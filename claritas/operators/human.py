@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claritas.functions import fixed
-from claritas.operators.numbering import hash_order, number_rows, top_rows
+from claritas.operators.numbering import hash_order, number_rows, same_keys, top_rows
 from claritas.operators.reshape import melt
 
 
@@ -125,6 +125,46 @@ def krippendorff(df: DataFrame, by: list[str], item: list[str], answer: str = "a
     return sums.select(*by, (1 - F.try_divide((F.col("n") - 1) * F.col("term"), expected)).alias("alpha"))
 
 
+def krippendorff_spread(df: DataFrame, by: list[str], item: list[str], answer: str = "answer") -> DataFrame:
+    """(by..., alpha, std_error, n_items, n_left_out): nominal alpha and its jackknife over the items.
+
+    Alpha without one item follows from that item's counts and the sums over all items: an answer total n_c
+    falls by the item's x_c, so the squares of the totals fall by 2 * n_c * x_c - x_c * x_c. The answers are
+    counted once; no item is scanned again. Items with fewer than two answers are left out and counted.
+    Items may have any number of raters. `std_error` is null below two items, or where leaving one item
+    out leaves a single kind of answer.
+    """
+    if not by:
+        return krippendorff_spread(df.withColumn("_all", F.lit(0)), ["_all"], item, answer).drop("_all")
+    every = _answer_counts(df, by, item, answer)
+    counts = every.where("m >= 2")
+    unequal = F.col("x") * (F.col("m") - F.col("x")) / (F.col("m") - 1)
+    per_answer = counts.groupBy(*by, answer).agg(F.sum("x").cast("double").alias("_n_c"))
+    sums = _marginals(counts, by, answer, unequal)
+    own = same_keys(counts, per_answer, [*by, answer])
+    own = own.groupBy(*by, *item).agg(
+        F.sum("x").cast("double").alias("_m"),
+        F.sum(unequal).alias("_term"),
+        F.sum(2 * F.col("_n_c") * F.col("x") - F.col("x") * F.col("x")).alias("_squares"),
+    )
+
+    def alpha(n: Column, squares: Column, term: Column) -> Column:
+        return 1 - F.try_divide((n - 1) * term, n * n - squares)
+
+    without = same_keys(own, sums, by).withColumn("_alpha", alpha(F.col("n") - F.col("_m"), F.col("squares") - F.col("_squares"), F.col("term") - F.col("_term")))
+    spread = without.groupBy(*by).agg(
+        F.max(alpha(F.col("n"), F.col("squares"), F.col("term"))).alias("alpha"),
+        F.count(F.lit(1)).alias("n_items"),
+        F.var_pop("_alpha").alias("_var"),
+        F.count("_alpha").alias("_known"),
+    )
+    whole = (F.col("_known") == F.col("n_items")) & (F.col("n_items") > 1)
+    spread = spread.withColumn("std_error", F.when(whole, F.sqrt((F.col("n_items") - 1) * F.col("_var"))))
+    left_out = every.groupBy(*by).agg(F.sum(F.when(F.col("m") < 2, 1).otherwise(0)).alias("n_left_out"))
+    out = same_keys(left_out, spread, by, "left")
+    return out.select(*by, "alpha", "std_error", F.coalesce("n_items", F.lit(0)).alias("n_items"), "n_left_out")
+
+
 def fleiss(df: DataFrame, by: list[str], item: list[str], raters: int, answer: str = "answer") -> DataFrame:
     """Kappa over the items answered by exactly `raters` annotators (it is defined for these only)."""
     counts = _answer_counts(df, by, item, answer).where(F.col("m") == raters)

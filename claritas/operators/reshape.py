@@ -13,7 +13,10 @@ def melt(df: DataFrame, ids: list[str], values: list[str], variable: str, value:
 
 
 def widen(df: DataFrame, ids: list[str], variable: str, value: str, names: list[str]) -> DataFrame:
-    """Rows to columns for a given list of names; the pivot column is unique per id."""
+    """Rows to columns for a given list of names; the pivot column is unique per id. Another name is an error."""
+    failed = F.raise_error(F.concat(F.lit(f"{variable} not listed: "), F.coalesce(F.col(variable).cast("string"), F.lit("null"))))
+    # in a filter: the check holds whichever columns are read
+    df = df.where(F.when(F.col(variable).isin(names), F.lit(1)).otherwise(failed.cast("int")) == 1)
     return df.groupBy(*ids).pivot(variable, names).agg(F.max(value))
 
 

@@ -198,6 +198,37 @@ def s12(spark, folder):
     )
 
 
+def _sheet_files(spark, folder):
+    """Sheets of two annotators, one with a ragged row, one without the sample column, and a path that is not there."""
+    path = scratch_path(spark, "s12-files")
+    rows = fx.answers(spark, folder)
+    for name, rest in (("odd", 1), ("even", 0)):
+        part = rows.where(F.col("annotator_id") % 2 == rest).select("sample_id", "criterion", "answer")
+        part.coalesce(1).write.options(header=True, quoteAll=True).csv(f"{path}/name={name}")
+    lines = rows.select(F.concat_ws(",", "sample_id", "criterion", F.lit('"a"')).alias("line"))
+    ragged = spark.range(1).select(F.explode(F.array(F.lit("sample_id,criterion,answer"), F.lit('1,click,"Oui"'), F.lit('2,click,"Non",extra'))).alias("line"))
+    ragged.coalesce(1).write.text(f"{path}/name=ragged")
+    spark.range(1).select(F.lit("other,columns").alias("line")).unionByName(lines.where("line LIKE '1,%'")).coalesce(1).write.text(f"{path}/name=other")
+    return [f"{path}/name={n}" for n in ("odd", "even", "ragged", "other", "missing")]
+
+
+@query("s12_tolerant_scan", f"WITH {fx.ANNOT} SELECT sample_id, criterion, answer, CASE WHEN annotator_id % 2 = 1 THEN 'odd' ELSE 'even' END AS file_annotator FROM answers")
+def s12_tolerant(spark, folder):
+    found, _ = sheets.scan_sheets(spark, _sheet_files(spark, folder), ["sample_id"], separator="=", folders=True)
+    return found.select(F.col("sample_id").cast("int").alias("sample_id"), "criterion", "answer", "file_annotator")
+
+
+@query(
+    "s12_sheet_ledger",
+    f"""WITH {fx.ANNOT} SELECT CASE WHEN annotator_id % 2 = 1 THEN 'odd' ELSE 'even' END AS name, count(*) AS n_rows, CAST(NULL AS VARCHAR) AS reason FROM answers GROUP BY ALL
+        UNION ALL SELECT 'ragged', 2, '1 rows of another length' UNION ALL SELECT 'missing', 0, 'PATH_NOT_FOUND'
+        UNION ALL SELECT 'other', count(*), 'lacks sample_id' FROM answers WHERE CAST(sample_id AS VARCHAR) = '1'""",
+)
+def s12_ledger(spark, folder):
+    _, ledger = sheets.scan_sheets(spark, _sheet_files(spark, folder), ["sample_id"], separator="=", folders=True)
+    return ledger.select(F.element_at(F.split("path", "="), -1).alias("name"), "n_rows", "reason")
+
+
 @query(
     "s13_prediction_sink",
     f"WITH {fx.SYSTEMS} SELECT pair_id, system, split, task, turn AS step, md5(pred) AS pred_md5 FROM systems",

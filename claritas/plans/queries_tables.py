@@ -308,6 +308,27 @@ def a16(spark, folder):
     return _rounded(human.krippendorff(fx.answers(spark, folder), ["criterion"], ["sample_id"]), "criterion")
 
 
+@query(
+    "a16_krippendorff_spread",
+    f"""WITH {fx.ANNOT}, kept AS (SELECT * FROM answers WHERE (sample_id + annotator_id) % 4 <> 0),
+        x AS (SELECT criterion, sample_id, answer, count(*)::DOUBLE AS x FROM kept GROUP BY ALL),
+        m AS (SELECT criterion, sample_id, sum(x) AS m FROM x GROUP BY ALL),
+        good AS (SELECT x.criterion, x.sample_id, answer, x, m FROM x JOIN m ON m.criterion = x.criterion AND m.sample_id = x.sample_id WHERE m >= 2),
+        items AS (SELECT DISTINCT criterion, sample_id FROM good),
+        -- every item left out in turn, and none (item null): all sums anew
+        runs AS (SELECT i.criterion, i.sample_id AS item, g.answer, sum(g.x) AS n_c, sum(g.x * (g.m - g.x) / (g.m - 1)) AS d
+                 FROM (SELECT * FROM items UNION ALL SELECT DISTINCT criterion, NULL FROM items) i JOIN good g ON g.criterion = i.criterion AND (i.sample_id IS NULL OR g.sample_id <> i.sample_id) GROUP BY ALL),
+        alphas AS (SELECT criterion, item, 1 - (sum(n_c) - 1) * sum(d) / nullif(sum(n_c) * sum(n_c) - sum(n_c * n_c), 0) AS alpha FROM runs GROUP BY ALL)
+        SELECT criterion, round(max(alpha) FILTER (item IS NULL), 6) AS alpha,
+               round(sqrt((count(item) - 1) * var_pop(alpha) FILTER (item IS NOT NULL)), 6) AS std_error, count(item) AS n_items,
+               CAST((SELECT count(*) FROM m WHERE m.m < 2 AND m.criterion = alphas.criterion) AS BIGINT) AS n_left_out
+        FROM alphas GROUP BY criterion""",
+)
+def a16_spread(spark, folder):
+    kept = fx.answers(spark, folder).where("(sample_id + annotator_id) % 4 <> 0")  # unequal numbers of raters
+    return _rounded(human.krippendorff_spread(kept, ["criterion"], ["sample_id"]), "criterion")
+
+
 @query(
     "a16_fleiss",
     f"""WITH {fx.ANNOT}, x AS (SELECT criterion, sample_id, answer, count(*) AS x FROM answers GROUP BY ALL),

@@ -1,4 +1,6 @@
 import itertools
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +101,52 @@ def test_pseudonyms(spark):
     assert [r.annotator_id for r in given] == ["z", "ann", "ann", "annika"]
 
 
+def _alpha(items):
+    """Nominal alpha from lists of answers, pair by pair."""
+    pairs, n_c = [], {}
+    for answers in items:
+        for i, a in enumerate(answers):
+            n_c[a] = n_c.get(a, 0) + 1
+            pairs += [(a != b) / (len(answers) - 1) for j, b in enumerate(answers) if i != j]
+    n = sum(n_c.values())
+    expected = sum(x * y for a, x in n_c.items() for b, y in n_c.items() if a != b)
+    return 1 - (n - 1) * sum(pairs) / expected if expected else None
+
+
+def test_agreement_jackknife_against_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(g, k, rnd.choice("aab" if g == "x" else "abc")) for g in ("x", None) for k in range(25) for _ in range(rnd.randint(1, 6))]
+    rows += [("same", 1, "a"), ("same", 1, "a"), ("same", 2, "b"), ("one", 1, "a"), ("one", 1, "b"), ("lonely", 1, "a"), ("x", 99, None)]
+    df = spark.createDataFrame(rows, "g string, item int, answer string")
+    got = {r.g: r for r in human.krippendorff_spread(df, ["g"], ["item"]).collect()}
+    for g in {r[0] for r in rows}:
+        items = {}
+        for h, k, a in rows:
+            if h == g and a is not None:
+                items.setdefault(k, []).append(a)
+        good = {k: v for k, v in items.items() if len(v) >= 2}
+        alphas = [_alpha([v for j, v in good.items() if j != k]) for k in good]
+        want = _alpha(good.values())
+        assert (got[g].n_items, got[g].n_left_out) == (len(good), len(items) - len(good))
+        assert got[g].alpha == (None if want is None else pytest.approx(want))
+        if len(good) > 1 and None not in alphas:
+            mean = sum(alphas) / len(alphas)
+            assert got[g].std_error == pytest.approx(math.sqrt((len(good) - 1) / len(good) * sum((a - mean) ** 2 for a in alphas)))
+        else:
+            assert got[g].std_error is None
+    everything = human.krippendorff_spread(df.where("g = 'x'"), [], ["item"]).first()
+    assert everything.alpha == pytest.approx(got["x"].alpha) and everything.std_error == pytest.approx(got["x"].std_error)
+
+
+def test_widen_refuses_unlisted_names(spark):
+    df = spark.createDataFrame([(1, "a", 2), (1, "b", 3)], "id int, name string, v int")
+    assert reshape.widen(df, ["id"], "name", "v", ["a", "b"]).first().asDict() == {"id": 1, "a": 2, "b": 3}
+    for bad in ("c", None):
+        more = df.unionByName(spark.createDataFrame([(1, bad, 4)], df.schema))
+        with pytest.raises(Exception, match=f"name not listed: {bad or 'null'}"):
+            reshape.widen(more, ["id"], "name", "v", ["a", "b"]).collect()
+
+
 def test_explode_together_wants_equal_lengths(spark):
     df = spark.createDataFrame([(1, [1, 2], ["a", "b"]), (2, [3], ["c"])], "k int, x array<int>, y array<string>")
     got = reshape.explode_together(df, ["x", "y"]).orderBy("k", "pos").collect()

@@ -173,3 +173,26 @@ def test_the_best_value_keeps_its_first_step(spark):
 def test_board_reads_local_times_as_given(spark):
     row = boards.best_so_far(_log(spark, [(0, "m", dt.datetime(2024, 3, 31, 2, 30), 1, 1.0)]), period="1 day").first()
     assert row.period == dt.datetime(2024, 3, 31)
+
+
+def test_bad_sheets_are_listed_and_the_others_read(spark, tmp_path):
+    files = {
+        "sheet.ann.csv": 'sample_id,a,Unnamed: 1\n1,"x\ny",0\n2,z,0\n',
+        "sheet.bob.csv": "sample_id,a\n3,q\n",
+        "sheet.bad.csv": "sample_id,a\n4,q\n5,q,more\n",
+        "sheet.other.csv": "id,a\n6,q\n",
+        "sheet.empty.csv": "",
+        "sheet.header.csv": "sample_id,a\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    paths = [f"{tmp_path}/{n}" for n in [*files, "sheet.gone.csv"]]
+    rows, ledger = sheets.scan_sheets(spark, paths, ["sample_id"])
+    assert sorted((r.sample_id, r.a, r.file_annotator) for r in rows.collect()) == [("1", "x\ny", "ann"), ("2", "z", "ann"), ("3", "q", "bob")]
+    got = {r.path.rsplit(".", 2)[1]: (r.n_rows, r.reason) for r in ledger.collect()}
+    assert got == {
+        "ann": (2, None), "bob": (1, None), "bad": (2, "1 rows of another length"), "other": (1, "lacks sample_id"),
+        "empty": (0, "no header"), "header": (0, None), "gone": (0, "PATH_NOT_FOUND"),
+    }
+    none, only = sheets.scan_sheets(spark, [paths[-1]], ["sample_id"])
+    assert none.count() == 0 and only.count() == 1
