@@ -30,3 +30,8 @@ def x1(spark, folder):
 def x2(spark, folder):
     board = boards.best_so_far(_stream(spark, folder), period="1 day")
     return boards.run_to_table(board, ["period", "run", "metric"], "x2")
+
+
+@query("x1_live_runs", "SELECT user_id AS run, event_type AS metric, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS step, max_by(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def x1_live(spark, folder):
+    return boards.run_to_table(boards.ended_runs_leave(_stream(spark, folder), ttl="3650 days"), ["run", "metric"], "x1-live")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claritas.operators.trials import sortable
 from claritas.session import scratch_path
@@ -23,7 +27,7 @@ def metric_board(log: DataFrame, delay: str = "1 day", period: str | None = None
     """Newest value per (run, metric), and per period when one is given.
 
     State: with a `period`, periods older than the watermark are dropped. Without one the state is one row
-    per (run, metric) and grows with the number of runs; give a period where runs never end.
+    per (run, metric) and grows with the number of runs; `ended_runs_leave` drops runs that have ended.
     """
     return _latest(log, delay, period, F.max_by("value", F.struct("ts", "step")).alias("value"))
 
@@ -38,6 +42,61 @@ def best_so_far(log: DataFrame, delay: str = "1 day", period: str | None = None,
     return out.withColumns({"value": F.col("_best.value"), "step": F.col("_best.step")}).drop("_best")
 
 
+STATE = "micros long, step long, value double"
+
+
+def ended_runs_leave(log: DataFrame, ttl: str, delay: str = "1 day", mode: str | None = None) -> DataFrame:
+    """(run, metric, ts, step, value) as a keyed state with time to live: the newest value, or with `mode`
+    "max" or "min" the best one so far (the earliest step wins ties).
+
+    An entry leaves the state once the watermark has passed its key's newest event by `ttl`, so the state
+    holds the runs that are alive, however many there were. Events older than the watermark are dropped, so
+    a late one never revives an ended run; a run that comes back starts anew. A table that is no stream
+    gives the same rows by an aggregate. Events without a time take no part.
+    """
+    local, kinds = isinstance(log.schema["ts"].dataType, T.TimestampNTZType), dict(log.dtypes)
+    log = log.where("ts IS NOT NULL").withColumn("ts", as_instant(F.col("ts")) if local else F.col("ts"))
+    log = log.select("run", "metric", "ts", F.unix_micros("ts").alias("micros"), F.coalesce(F.col("step").cast("long"), F.lit(0)).alias("step"), F.col("value").cast("double"))
+    if log.isStreaming:
+        millis = log.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + INTERVAL {ttl})")).first()[0]
+        sign = {None: 0.0, "max": 1.0, "min": -1.0}[mode]
+        grouped = log.withWatermark("ts", delay).groupBy("run", "metric")
+        columns = f"run {kinds['run']}, metric {kinds['metric']}, {STATE}"
+        out = grouped.applyInPandasWithState(_kept_alive(millis, sign), columns, f"{STATE}, newest long", "update", GroupStateTimeout.EventTimeTimeout)
+    else:
+        key = F.struct("micros", "step") if mode is None else F.struct(sortable("value", mode), -F.col("step"))
+        out = log.groupBy("run", "metric").agg(F.max_by(F.struct("micros", "step", "value"), key).alias("_row")).select("run", "metric", "_row.*")
+    instant = F.timestamp_micros("micros")
+    return out.select("run", "metric", (as_local(instant) if local else instant).alias("ts"), "step", "value")
+
+
+def _kept_alive(millis: int, sign: float):
+    def better(a: tuple, b: tuple) -> bool:
+        """Whether (micros, step, value) a replaces b."""
+        if not sign:
+            return a[:2] > b[:2]
+        known = [x[2] is not None and x[2] == x[2] for x in (a, b)]
+        if known[0] != known[1]:
+            return known[0]
+        return (sign * a[2], -a[1]) > (sign * b[2], -b[1]) if known[0] else a[1] < b[1]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, newest = (tuple(state.get[:3]), state.get[3]) if state.exists else (None, None)
+        for part in batches:
+            for row in zip(part["micros"].tolist(), part["step"].tolist(), part["value"].tolist()):
+                newest = row[0] if newest is None else max(newest, row[0])
+                best = row if best is None or better(row, best) else best
+        state.update((*best, newest))
+        # a timeout must lie after the watermark
+        state.setTimeoutTimestamp(max(newest // 1000 + millis, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"run": [key[0]], "metric": [key[1]], "micros": [best[0]], "step": [best[1]], "value": [best[2]]})
+
+    return step
+
+
 def _latest(log: DataFrame, delay: str, period: str | None, *aggregates) -> DataFrame:
     local = isinstance(log.schema["ts"].dataType, T.TimestampNTZType)
     if local:

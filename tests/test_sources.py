@@ -162,6 +162,33 @@ def test_late_events_are_dropped(spark, tmp_path):
     assert got and max(r.value for r in got) < 90.0
 
 
+@pytest.mark.parametrize("mode", [None, "max", "min"])
+def test_board_with_time_to_live_equals_batch(spark, tmp_path, mode):
+    batches = [_rows(1, 0, 20), _rows(1, 20, 20, 3.0), _rows(2, 40, 20)]
+    stream = _stream(spark, str(tmp_path / "log"), batches)
+    batch = _log(spark, [r for b in batches for r in b])
+    got = boards.run_to_table(boards.ended_runs_leave(stream, "30 days", mode=mode), ["run", "metric"])
+    want = boards.ended_runs_leave(batch, "30 days", mode=mode)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_an_ended_run_leaves_the_state(spark, tmp_path):
+    def of(run, day, value):
+        return [(run, "m", dt.datetime(2024, 1, day, 0, i), i, value + i) for i in range(4)]
+
+    # run 7 ends on day 1; others go on for weeks; a late event of run 7 must not revive it
+    batches = [of(7, 1, 1.0) + of(0, 1, 1.0), of(0, 5, 2.0), of(1, 9, 3.0), of(1, 13, 4.0), of(7, 1, 90.0) + of(2, 20, 5.0), of(2, 21, 6.0)]
+    board = boards.ended_runs_leave(_stream(spark, str(tmp_path / "log"), batches), "3 days", delay="1 hour")
+    seen = []
+    writer = board.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state"))
+    query = writer.foreachBatch(lambda df, _: seen.append([tuple(r) for r in df.collect()])).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) >= 2 and held[-1] == 1
+    rows = [r for batch in seen for r in batch]
+    assert {r[0] for r in rows} == {0, 1, 2, 7} and all(r[4] < 90.0 for r in rows)
+
+
 def test_the_best_value_keeps_its_first_step(spark):
     rows = [(0, "m", dt.datetime(2024, 1, 1, 0, i), i, v) for i, v in enumerate([1.0, 5.0, 5.0, float("nan")])]
     row = boards.best_so_far(_log(spark, rows)).first()
