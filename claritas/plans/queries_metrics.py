@@ -10,6 +10,7 @@ from claritas.operators.trials import mean_std
 from claritas.plans import fixtures as fx
 from claritas.plans.queries_columns import half_up
 from claritas.plans.registry import SQL, query, table
+from claritas.plans.stem_sql import stems_sql
 from claritas.session import written
 
 BY = ["split", "task", "system"]
@@ -48,10 +49,19 @@ def _13a(c: str, lower: bool = False) -> str:
     return f"regexp_extract_all({c}, '{text.NOT_WHITE}')"
 
 
-def _counts(tokens: dict[str, str], orders) -> str:
+def _stemmed(source: str, keys: str) -> str:
+    """`sides` (keys, t) from the token lists `t` of `source`, every token replaced by its stem."""
+    return f"""unfolded AS (SELECT {keys}, unnest(t) AS t, generate_subscripts(t, 1) AS place FROM {source}),
+{stems_sql("SELECT t FROM unfolded")},
+folded AS (SELECT {keys}, list(coalesce(w, t) ORDER BY place) AS t FROM unfolded LEFT JOIN stems ON word = t GROUP BY ALL)"""
+
+
+def _counts(tokens: dict[str, str], orders, stems: bool = False) -> str:
     sides = " UNION ALL ".join(f"SELECT pair_id, split, task, system, '{s}' AS side, {t} AS t FROM systems" for s, t in tokens.items())
+    if stems:
+        sides = f"{sides}),\n{_stemmed('plain', 'pair_id, split, task, system, side')}, sides AS (SELECT * FROM folded"
     counts = ", ".join(f"count(*) FILTER (side = '{s}') AS c_{s}" for s in tokens)
-    return f"""{fx.SYSTEMS}, sides AS ({sides}),
+    return f"""{fx.SYSTEMS}, {"plain" if stems else "sides"} AS ({sides}),
 orders AS (SELECT unnest({list(orders)}) AS n),
 grams AS (SELECT pair_id, split, task, system, side, n,
     unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS gram FROM sides, orders),
@@ -63,10 +73,18 @@ ROUGE_COUNTS = _counts({"pred": _ascii("pred"), "ref": _ascii("ref")}, (1, 2))
 BLEU_COUNTS = _counts({"pred": _13a(_strip("pred")), "ref": _13a(_strip("ref"))}, ngrams.ORDERS)
 SARI_COUNTS = _counts({s: _13a(_strip(s), True) for s in ("src", "pred", "ref")}, ngrams.ORDERS)
 
-ROUGE_PAIRS = f"""{ROUGE_COUNTS}, sums AS (SELECT pair_id, split, task, system, n, sum(least(c_pred, c_ref))::DOUBLE AS hits, sum(c_pred) AS n_pred, sum(c_ref) AS n_ref FROM counts GROUP BY ALL),
+
+
+def _rouge_pairs(counts: str) -> str:
+    return f"""{counts}, sums AS (SELECT pair_id, split, task, system, n, sum(least(c_pred, c_ref))::DOUBLE AS hits, sum(c_pred) AS n_pred, sum(c_ref) AS n_ref FROM counts GROUP BY ALL),
 pairs_f AS (SELECT *, coalesce(2 * hits / nullif(n_pred + n_ref, 0), 0) AS f FROM sums)"""
 
 
+ROUGE_PAIRS = _rouge_pairs(ROUGE_COUNTS)
+STEM_PAIRS = _rouge_pairs(_counts({"pred": _ascii("pred"), "ref": _ascii("ref")}, (1, 2), stems=True))
+ROUGE_MEANS = "SELECT split, task, system, round(avg(f) FILTER (n = 1) * 100, 6) AS rouge1, round(avg(f) FILTER (n = 2) * 100, 6) AS rouge2 FROM pairs_f GROUP BY ALL"
+
+
 @query(
     "m1_rouge_n",
     f"""WITH {ROUGE_PAIRS} SELECT split, task, system, round(avg(f) FILTER (n = 1) * 100, 6) AS rouge1, round(avg(f) FILTER (n = 2) * 100, 6) AS rouge2
@@ -112,28 +130,42 @@ def m1_bootstrap(spark, folder):
     return _bootstrapped(pairs.withColumn("metric", F.concat(F.lit("rouge"), F.col("n").cast("string"))))
 
 
-@query("m1_rouge_n_stems")
+@query("m1_rouge_n_stems", f"WITH {STEM_PAIRS} {ROUGE_MEANS}")
 def m1_stems(spark, folder):
     return _rounded(ngrams.rouge(_systems(spark, folder), BY), *BY)
 
 
-@query("m2_rouge_l")
-def m2(spark, folder):
-    return _rounded(subsequence.rouge_l(_systems(spark, folder), BY), *BY)
-
-
 # The LCS table row by row: a row is the running maximum of what lies above and of the matches.
-LCS = f"""WITH RECURSIVE {fx.SYSTEMS},
-t AS (SELECT pair_id, split, task, system, regexp_extract_all(lower(ref), '[a-z0-9]+') AS r, regexp_extract_all(lower(pred), '[a-z0-9]+') AS p FROM systems),
+def _lcs(texts: str, keys: list[str]) -> str:
+    """`lcs` (keys, i, best): row i of the table of the token lists r and p of `t`, which `texts` makes."""
+    same = " AND ".join(f"t.{k} = lcs.{k}" for k in keys)
+    return f"""WITH RECURSIVE {fx.SYSTEMS},
+{texts},
 lcs AS (
-  SELECT pair_id, system, 0 AS i, list_transform(p, lambda x: 0) AS best FROM t
+  SELECT {", ".join(keys)}, 0 AS i, list_transform(p, lambda x: 0) AS best FROM t
   UNION ALL
-  SELECT pair_id, system, i, list_transform(range(1, len(cell) + 1), lambda j: list_max(cell[1:j])) AS best FROM (
-    SELECT t.pair_id, t.system, i + 1 AS i,
+  SELECT {", ".join(keys)}, i, list_transform(range(1, len(cell) + 1), lambda j: list_max(cell[1:j])) AS best FROM (
+    SELECT {", ".join(f"t.{k}" for k in keys)}, i + 1 AS i,
            list_transform(range(1, len(p) + 1), lambda j: greatest(best[j], CASE WHEN p[j] = r[i + 1] THEN coalesce(best[j - 1], 0) + 1 ELSE 0 END)) AS cell
-    FROM lcs JOIN t ON t.pair_id = lcs.pair_id AND t.system = lcs.system WHERE i < len(r))),
-f AS (SELECT split, task, t.system, coalesce(best[len(p)], 0) AS hits, len(p) AS n_pred, len(r) AS n_ref
+    FROM lcs JOIN t ON {same} WHERE i < len(r)))"""
+
+
+WORDS = "t AS (SELECT pair_id, split, task, system, regexp_extract_all(lower(ref), '[a-z0-9]+') AS r, regexp_extract_all(lower(pred), '[a-z0-9]+') AS p FROM systems)"
+STEMS = f"""plain AS (SELECT pair_id, system, 'r' AS side, {_ascii("ref")} AS t FROM systems UNION ALL SELECT pair_id, system, 'p', {_ascii("pred")} FROM systems),
+{_stemmed("plain", "pair_id, system, side")},
+t AS (SELECT systems.pair_id, split, task, systems.system, coalesce(a.t, []) AS r, coalesce(b.t, []) AS p FROM systems
+      LEFT JOIN folded a ON a.pair_id = systems.pair_id AND a.system = systems.system AND a.side = 'r'
+      LEFT JOIN folded b ON b.pair_id = systems.pair_id AND b.system = systems.system AND b.side = 'p')"""
+L_SCORES = """f AS (SELECT split, task, t.system, coalesce(best[len(p)], 0) AS hits, len(p) AS n_pred, len(r) AS n_ref
       FROM t JOIN lcs ON lcs.pair_id = t.pair_id AND lcs.system = t.system AND i = len(r))"""
+LCS = f"{_lcs(WORDS, ['pair_id', 'system'])},\n{L_SCORES}"
+STEM_LCS = f"{_lcs(STEMS, ['pair_id', 'system'])},\n{L_SCORES}"
+F_MEAN = "avg(coalesce(2.0::DOUBLE * hits / nullif(n_pred + n_ref, 0), 0)) * 100"
+
+
+@query("m2_rouge_l", f"{STEM_LCS} SELECT split, task, system, round({F_MEAN}, 6) AS rougeL FROM f GROUP BY ALL")
+def m2(spark, folder):
+    return _rounded(subsequence.rouge_l(_systems(spark, folder), BY), *BY)
 
 
 @query(
@@ -153,7 +185,38 @@ def m2_bootstrap(spark, folder):
     return _bootstrapped(pairs.withColumn("metric", F.lit("rougeL")))
 
 
-@query("m3_rouge_lsum")
+# Sentences of both sides; of every pair of sentences one subsequence is walked back, going up in the
+# reference on a tie. A token counts as often as its places are covered, but not above its number in the prediction.
+KEYS = ["pair_id", "system", "rn", "pn"]
+SENTENCES = f"""split_ AS (SELECT pair_id, system, 'r' AS side, regexp_extract_all(ref, '{text.SENTENCE}') AS ss FROM systems
+  UNION ALL SELECT pair_id, system, 'p', regexp_extract_all(pred, '{text.SENTENCE}') FROM systems),
+each_ AS (SELECT pair_id, system, side, unnest(ss) AS s, generate_subscripts(ss, 1) AS sn FROM split_),
+plain AS (SELECT pair_id, system, side, sn, {_ascii("s")} AS t FROM each_),
+{_stemmed("plain", "pair_id, system, side, sn")},
+t AS (SELECT a.pair_id, a.system, a.sn AS rn, b.sn AS pn, a.t AS r, b.t AS p FROM folded a JOIN folded b ON a.pair_id = b.pair_id AND a.system = b.system AND a.side = 'r' AND b.side = 'p')"""
+MEETS = " AND ".join(f"{{a}}.{k} = {{b}}.{k}" for k in KEYS)
+LSUM = f"""{_lcs(SENTENCES, KEYS)},
+walk AS (
+  SELECT {", ".join(KEYS)}, len(r) AS i, len(p) AS j, false AS hit FROM t
+  UNION ALL
+  SELECT {", ".join(f"walk.{k}" for k in KEYS)},
+         CASE WHEN r[walk.i] = p[j] OR here.best[j] = coalesce(above.best[j], 0) THEN walk.i - 1 ELSE walk.i END,
+         CASE WHEN r[walk.i] = p[j] OR here.best[j] <> coalesce(above.best[j], 0) THEN j - 1 ELSE j END,
+         r[walk.i] = p[j]
+  FROM walk JOIN t ON {MEETS.format(a="walk", b="t")} JOIN lcs here ON {MEETS.format(a="walk", b="here")} AND here.i = walk.i
+    JOIN lcs above ON {MEETS.format(a="walk", b="above")} AND above.i = walk.i - 1
+  WHERE walk.i > 0 AND j > 0),
+covered AS (SELECT DISTINCT pair_id, system, rn, i + 1 AS i FROM walk WHERE hit),
+hit_tokens AS (SELECT c.pair_id, c.system, f.t[c.i] AS token, count(*) AS n FROM covered c JOIN folded f ON f.pair_id = c.pair_id AND f.system = c.system AND f.side = 'r' AND f.sn = c.rn GROUP BY ALL),
+said AS (SELECT pair_id, system, side, unnest(t) AS token FROM folded),
+sizes AS (SELECT pair_id, system, count(*) FILTER (side = 'p') AS n_pred, count(*) FILTER (side = 'r') AS n_ref FROM said GROUP BY ALL),
+pred_tokens AS (SELECT pair_id, system, token, count(*) AS n FROM said WHERE side = 'p' GROUP BY ALL),
+hits AS (SELECT h.pair_id, h.system, sum(least(h.n, q.n)) AS hits FROM hit_tokens h JOIN pred_tokens q ON q.pair_id = h.pair_id AND q.system = h.system AND q.token = h.token GROUP BY ALL),
+f AS (SELECT split, task, systems.system, coalesce(hits, 0) AS hits, coalesce(n_pred, 0) AS n_pred, coalesce(n_ref, 0) AS n_ref FROM systems
+  LEFT JOIN hits ON hits.pair_id = systems.pair_id AND hits.system = systems.system LEFT JOIN sizes ON sizes.pair_id = systems.pair_id AND sizes.system = systems.system)"""
+
+
+@query("m3_rouge_lsum", f"{LSUM} SELECT split, task, system, round({F_MEAN}, 6) AS rougeLsum FROM f GROUP BY ALL")
 def m3(spark, folder):
     return _rounded(subsequence.rouge_l(_systems(spark, folder), BY, summary=True), *BY)
 
@@ -319,9 +382,9 @@ def _vectors_of(spark, folder, rows):
     return picked.join(stored, "_id").select("pair_id", *BY, "side", "tok_pos", "vec")
 
 
-def _long_sql(select: str, metrics: list[str]) -> str:
+def _long_sql(select: str, metrics: list[str], by: str = "split, task, system") -> str:
     parts = ", ".join(f"('{m}', CAST({m} AS DOUBLE))" for m in metrics)
-    return f"""SELECT split, task, system, metric, round(round(value, 9), 4) AS value
+    return f"""SELECT {by}, metric, round(round(value, 9), 4) AS value
         FROM ({select}) AS wide, LATERAL (VALUES {parts}) AS named(metric, value)"""
 
 
@@ -358,16 +421,63 @@ def m12_words(spark, folder):
     return table.withColumn("value", F.round("value", 4))
 
 
-@query("m12_metric_suite")
+def _suite_sql(by: str = "split, task, system") -> str:
+    """Every text metric with stems; a coarser grouping reads the same per-pair scores."""
+    means = f"SELECT {by}, avg(f) FILTER (n = 1) * 100 AS rouge1, avg(f) FILTER (n = 2) * 100 AS rouge2 FROM pairs_f GROUP BY ALL"
+    rows = f"SELECT {by}, avg(kmre) AS kmre, avg(lix) AS lix, avg(compression_ratio) AS compression_ratio, avg(novelty) AS novelty, count(*) AS n_samples FROM scores GROUP BY ALL"
+    parts = [
+        (f"WITH {STEM_PAIRS} {means}", ["rouge1", "rouge2"]),
+        (f"{STEM_LCS} SELECT {by}, {F_MEAN} AS rougeL FROM f GROUP BY ALL", ["rougeL"]),
+        (f"{LSUM} SELECT {by}, {F_MEAN} AS rougeLsum FROM f GROUP BY ALL", ["rougeLsum"]),
+        (SQL["m4_bleu"].replace(", 6) AS bleu", ", 12) AS bleu").replace(f"s AS (SELECT split, task, system, {CORRECT}", f"s AS (SELECT {by}, {CORRECT}").replace("SELECT split, task, system, round(CASE", f"SELECT {by}, round(CASE"), ["bleu"]),
+        (f"WITH {SARI_PAIRS} SELECT {by}, avg((keep + delete + add) / 3) * 100 AS sari FROM sari_pairs GROUP BY ALL", ["sari"]),
+        (f"WITH {fx.SYSTEMS}, {ROWS} {rows}", ["kmre", "lix", "compression_ratio", "novelty", "n_samples"]),
+    ]
+    return " UNION ALL ".join(_long_sql(select, names, by) for select, names in parts)
+
+
+@query("m12_metric_suite", _suite_sql("system"))
 def m12(spark, folder):
     rows = written(_systems(spark, folder), "m12")
-    return suite.suite(rows, ["system"], stems=True)
+    table = suite.suite(rows, ["system"], stems=True, digits=9)
+    return table.withColumn("value", F.round("value", 4))
 
 
-@query("m13_suite_per_task")
+def _rescaled(name: str, value: str) -> str:
+    return f"avg({value}) * 100 AS bertscore_{name}, avg(({value} - {BASELINE[name]}) / (1 - {BASELINE[name]})) * 100 AS bertscore_{name}_rescaled"
+
+
+# Token vectors as `_vectors_of` picks them; a side without tokens scores 0.
+PAIR_TOKENS = f"""sides_ AS (SELECT pair_id, split, task, system, 'pred' AS side, regexp_extract_all(pred, '{text.WORD}') AS w FROM systems
+  UNION ALL SELECT pair_id, split, task, system, 'ref', regexp_extract_all(ref, '{text.WORD}') FROM systems),
+words_ AS (SELECT pair_id, split, task, system, side, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS tok_pos FROM sides_),
+picked AS (SELECT pair_id, split, task, system, side, tok_pos, (CAST(unicode(word) AS BIGINT) * 31 + length(word)) % (SELECT count(*) FROM embeddings) AS id FROM words_),
+used AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id IN (SELECT id FROM picked)),
+pairs_of AS (SELECT DISTINCT p.pair_id, p.split, p.task, p.system, p.id AS p, r.id AS r FROM picked p JOIN picked r
+  ON p.pair_id = r.pair_id AND p.system = r.system AND p.side = 'pred' AND r.side = 'ref'),
+cosines AS (SELECT p, r, list_cosine_similarity(a.v, b.v) AS c FROM (SELECT DISTINCT p, r FROM pairs_of) JOIN used a ON a.id = p JOIN used b ON b.id = r),
+best_p AS (SELECT pair_id, system, p AS id, max(c) AS b FROM pairs_of JOIN cosines USING (p, r) GROUP BY ALL),
+best_r AS (SELECT pair_id, system, r AS id, max(c) AS b FROM pairs_of JOIN cosines USING (p, r) GROUP BY ALL),
+pr AS (SELECT s.pair_id, s.split, s.task, s.system,
+   coalesce((SELECT avg(b) FROM picked q JOIN best_p x ON x.pair_id = q.pair_id AND x.system = q.system AND x.id = q.id WHERE q.side = 'pred' AND q.pair_id = s.pair_id AND q.system = s.system), 0) AS p,
+   coalesce((SELECT avg(b) FROM picked q JOIN best_r x ON x.pair_id = q.pair_id AND x.system = q.system AND x.id = q.id WHERE q.side = 'ref' AND q.pair_id = s.pair_id AND q.system = s.system), 0) AS r FROM systems s),
+bert AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM pr)"""
+BERT_SQL = _long_sql(
+    f"WITH {fx.SYSTEMS}, {PAIR_TOKENS} SELECT split, task, system, {_rescaled('f1', 'f')}, {_rescaled('recall', 'r')}, {_rescaled('precision', 'p')} FROM bert GROUP BY ALL",
+    [f"bertscore_{n}{x}" for n in ("f1", "recall", "precision") for x in ("", "_rescaled")],
+).replace("round(round(value, 9), 4)", "value")
+M13_SQL = f"""WITH m AS ({_suite_sql().replace("round(round(value, 9), 4)", "value")} UNION ALL {BERT_SQL}),
+w AS (SELECT split, task, system, max(value) FILTER (metric = 'sari') AS a, max(value) FILTER (metric = 'rougeL') AS b, max(value) FILTER (metric = 'bertscore_f1') AS c FROM m GROUP BY ALL),
+every AS (SELECT split, task, system, metric, value FROM m UNION ALL
+  SELECT split, task, system, 'srb', CASE WHEN least(a, b, c) <= 0 THEN 0 ELSE 3 / (1 / a + 1 / b + 1 / c) END FROM w)
+SELECT split, task, system, metric, round(round(value, 9), 4) AS value, split || '_' || task || '_' || metric AS key FROM every"""
+
+
+@query("m13_suite_per_task", M13_SQL)
 def m13(spark, folder):
     rows = written(_systems(spark, folder), "m13")
-    return suite.keyed(suite.suite(rows, BY, tokens=_vectors_of(spark, folder, rows), baseline=BASELINE))
+    scores = suite.suite(rows, BY, tokens=_vectors_of(spark, folder, rows), baseline=BASELINE, digits=9)
+    return suite.keyed(scores.withColumn("value", F.round("value", 4)))
 
 
 @query(
