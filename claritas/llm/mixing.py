@@ -6,9 +6,11 @@ without replacement at every prefix. A source takes floor(budget / size) complet
 rest of its budget is a prefix of that order, and the document at the border is cut to the words that
 still fit. So each source takes exactly its budget (its target, rounded).
 
-No source is sorted in one task: v = 1 - exp(-key) lies in (0, 1) and orders as the key does, so equal
-ranges of v are buckets. Bucket totals give the words before a bucket, a window inside it the rest.
-The table of sources (one row each) is the only thing ordered as a whole.
+No source is sorted in one task: equal ranges of the key's logarithm are buckets. The logarithm of an
+exponential variable has a density of at most 1/e whatever its rate, so a source of n documents cut into
+ranges of width 1/r has at most about n / (e * r) of them in one, however its weights are spread. Bucket
+totals give the words before a bucket, a window inside it the rest. The table of sources (one row each)
+and the bucket totals of a source are the only things ordered as a whole.
 
 Nulls: a null source is a source of its own, last in order; a null text has size 0 and takes 0; a
 null id is an id like any other. Repeated rows count each; equal keys go by id, then by text hash.
@@ -16,6 +18,8 @@ null id is an id like any other. Repeated rows count each; equal keys go by id,
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +43,14 @@ def text_quality(text: Column) -> Column:
 def _keyed(docs: DataFrame, weight: Column, keep: list[str]) -> DataFrame:
     tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     draw = F.xxhash64(F.lit(SEED), F.col("doc_id"), tie)
-    u = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(draw, 12).cast("double") + 0.5) / float(1 << 52)  # exact, never 0 or 1
     return docs.select(
         F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("_kept"),
         F.col("source").alias("_source"),
         F.col("doc_id").alias("_id"),
         tie.alias("_tie"),
         n_words(F.col("text")).alias("size"),
-        (1.0 - F.pow(u, 1.0 / weight)).alias("_v"),
+        (-F.ln(u) / weight).alias("_v"),
     )
 
 
@@ -96,13 +100,13 @@ def mix(
     budget = F.round("target").cast("bigint")
     sources = sources.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint"))
     sources = sources.withColumn("_rest", budget - F.col("_epochs") * F.col("source_size"))
-    # about four buckets per shuffle partition in all, shared by the number of documents
+    # the fullest bucket holds about a fourth of a shuffle partition's share of the documents
     per_bucket = max(1.0, rows_all / (4.0 * shuffle_width(spark)))
-    sources = sources.withColumn("_buckets", F.ceil(F.col("n") / per_bucket)).withColumnRenamed("_source", "_of")
+    sources = sources.withColumn("_cuts", F.ceil(F.col("n") / (math.e * per_bucket))).withColumnRenamed("_source", "_of")
 
     def placed(rows: DataFrame) -> DataFrame:
         out = rows.join(sources, rows["_source"].eqNullSafe(sources["_of"])).drop("_of")
-        return out.withColumn("_bucket", F.least(F.floor(F.col("_v") * F.col("_buckets")), F.col("_buckets") - 1))
+        return out.withColumn("_bucket", F.floor(F.ln("_v") * F.col("_cuts")))
 
     totals = placed(narrow).groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
     order = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import pytest
@@ -69,6 +70,39 @@ def test_weight_orders_the_choice(spark):
     assert len(got) == 1200 and 3 < even / (len(got) - even) < 5
 
 
+def test_choice_is_a_prefix_of_the_sorted_keys(spark):
+    docs = docs_of(spark, ROWS)
+    keyed = mixing._keyed(docs, mixing.text_quality(F.col("text")), ["doc_id"]).collect()
+    got = Counter()
+    for r in taken(spark, ROWS):
+        got[r["source"], r["doc_id"], r["size"]] += r["taken"]
+    sizes = Counter()
+    for r in keyed:
+        sizes[r["_source"]] += r["size"]
+    want = Counter()
+    for s, target in targets(sizes).items():
+        mine = sorted((r for r in keyed if r["_source"] == s), key=lambda r: (r["_v"], r["_id"] is None, r["_id"] or 0, r["_tie"]))
+        budget = int(target + 0.5)
+        epochs, rest = divmod(budget, sizes[s]) if sizes[s] else (0, 0)
+        for r in mine:
+            part = min(r["size"], rest)
+            rest -= part
+            want[s, r["_id"], r["size"]] += epochs * r["size"] + part
+    assert got == want
+
+
+@pytest.mark.parametrize("weight", [0.05, 0.001, 1.0, 1000.0])
+def test_keys_do_not_collapse_and_buckets_stay_small(spark, weight):
+    docs = docs_of(spark, [(k, "a b", "hot") for k in range(20_000)])
+    keys = [r["_v"] for r in mixing._keyed(docs, F.lit(weight), ["doc_id"]).select("_v").collect()]
+    assert len(set(keys)) == len(keys) and all(0 < v < math.inf for v in keys)
+    mean = sum(keys) / len(keys)
+    assert mean == pytest.approx(1 / weight, rel=0.05)  # exponential with that rate
+    cuts = math.ceil(20_000 / (math.e * 625))  # as for eight shuffle partitions
+    fullest = max(Counter(math.floor(math.log(v) * cuts) for v in keys).values())
+    assert fullest < 1.3 * 625
+
+
 def test_empty_and_clashing_names(spark):
     assert mixing.mix(docs_of(spark, []), ["doc_id"]).collect() == []
     docs = docs_of(spark, ROWS[:9], extra="size taken _kept _source")
