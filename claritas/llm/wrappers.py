@@ -8,13 +8,18 @@ becomes optional, texts that differ become slots. Aligning is done per task on t
 then between the wrappers of tasks, first in a fixed number of salted parts; so a host with a third of
 all pages is never gathered. A page whose expressions the wrapper accepts already costs no alignment.
 
-Extraction applies the wrapper of the host to each page: text of slots inside the main region is kept,
-template wording is not. The main region is the outermost article (else main, else body) outside of page
-furniture: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments,
-known by element, role, class or id. A wording is template only where `LEAST_PAGES` different pages hold
-that very text in that place: each text item carries the marks of so many pages. So what stands on a few
-pages of a large host is kept, and on hosts with fewer pages every text outside furniture is. In a body without article or main,
-blocks that are mostly links are menus.
+Extraction applies the wrapper of the host to each page. A box (div, section, list, table, details) of the
+main region whose texts are all template wording is a menu, notice or advert, whatever its class, and goes;
+a box with a slot stays whole, and so do headings and paragraphs that stand in the flow of the text, however
+many pages share them. The main region is the outermost article (else main, else body) outside of page
+furniture that is known by element, role, class or id: menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles, reader comments. A wording is template only where `LEAST_PAGES` different pages hold
+that very text in that place: each text item carries the marks of so many pages. So on hosts with fewer
+pages every text outside known furniture is kept. In a body without article or main, blocks that are mostly
+links are menus.
+
+Items are aligned by a longest common subsequence in bit-parallel blocks: memory grows with a page, not with
+its square, and 20,000 alternating items take seconds.
 
 A block is the text between two block-level tags; references are decoded, white space becomes one space.
 
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -35,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claritas.llm.html_tokens import INLINE, stream
+from claritas.operators.subsequence import lcs_positions
 from claritas.session import written
 
 LEAST_PAGES = 8
@@ -54,6 +61,7 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "a
          "sidebar", "sidebars", "aside", "related", "recommended", "widget", "widgets", "share", "sharing", "social", "newsletter", "subscribe", "signup", "login",
          "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "disclaimer",
          "comment", "comments", "commentlist", "respond", "replies", "reply", "disqus", "footer", "copyright", "masthead", "skip", "hidden"}
+BOXES = {"div", "section", "ul", "ol", "dl", "table", "details"}
 NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -74,18 +82,26 @@ def is_furniture(tag: str, attributes: dict[str, str], inside_main: bool, by_nam
     return any(w.lower() in WORDS for w in NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names)))
 
 
+def named(attributes: dict[str, str]) -> str:
+    """What a class (else an id) adds to the name of an element; long numbers in it differ from page to page."""
+    name = attributes.get("class") or attributes.get("id") or ""
+    return "".join(f".{w}" for w in re.sub(r"\d{2,}", "", name).split())
+
+
 class Page:
     """Blocks of a page outside furniture, and what stands in each element path."""
 
     def __init__(self, source: str):
         self._read(source, True)
-        if not any(r for r, _, _, _ in self.blocks) and MAIN.search(source):
+        if not any(b[0] for b in self.blocks) and MAIN.search(source):
             self._read(source, False)  # a class or id around the whole article looked like furniture
 
     def _read(self, source: str, by_name: bool) -> None:
-        self.blocks: list[tuple[str, str, str, int]] = []  # region (article, main or ""), path, text, characters in links
+        # region (article, main or ""), path, text, characters in links, numbers of the boxes around it
+        self.blocks: list[tuple[str, str, str, int, tuple[int, ...]]] = []
         self.inside: dict[str, list[tuple[str, str]]] = {"": []}  # path -> (item, text) in order
-        path, regions, hidden, links = [""], [], 0, 0
+        path, regions, boxes, hidden, links = [""], [], [], 0, 0
+        n_boxes = 0
         opened: list[tuple[str, bool]] = []
         words: list[str] = []
         linked = 0
@@ -95,7 +111,7 @@ class Page:
             text = SPACE.sub(" ", html.unescape("".join(words))).strip()
             if text:
                 region = "article" if "article" in regions else "main" if "main" in regions else ""
-                self.blocks.append((region, path[-1], text, linked))
+                self.blocks.append((region, path[-1], text, linked, tuple(b for b in boxes if b)))
                 self.inside[path[-1]].append(("#text", text))
             words.clear()
             linked = 0
@@ -120,8 +136,10 @@ class Page:
                     links += what == "a"
                 else:
                     self.inside[path[-1]].append((what, ""))
-                    path.append(f"{path[-1]}/{what}")
+                    path.append(f"{path[-1]}/{what}{named(attributes)}")
                     self.inside.setdefault(path[-1], [])
+                    n_boxes += what in BOXES
+                    boxes.append(n_boxes if what in BOXES else 0)
                     role = "article" if what == "article" or attributes.get("itemprop", "").lower() == "articlebody" else "main" if what == "main" or attributes.get("role", "").lower() == "main" else None
                     regions.append(role)
                 opened.append((what, furniture))
@@ -135,8 +153,23 @@ class Page:
                     end_block()
                     path.pop()
                     regions.pop()
+                    boxes.pop()
         end_block()
 
+    def wordings(self) -> dict[str, list[str]]:
+        """Per path, for each of its texts in order: the wording of the repeated item that it belongs to."""
+        out: dict[str, list[str]] = {}
+        for path, items in self.inside.items():
+            texts = out.setdefault(path, [])
+            for item, run in itertools.groupby(items, key=lambda x: x[0]):
+                if item == "#text":
+                    marks = [_mark(text) for _, text in run]
+                    whole = marks[0]
+                    for mark in marks[1:]:
+                        whole = _mark(whole + mark)
+                    texts += [whole] * len(marks)
+        return out
+
     def shape(self) -> str:
         return hashlib.md5(json.dumps({p: [i for i, _ in items] for p, items in self.inside.items()}).encode()).hexdigest()
 
@@ -151,15 +184,14 @@ def _held(a: list[str], b: list[str]) -> list[str]:
 
 
 def folded(items: list[tuple[str, str]], page: str = "") -> list[list]:
-    """[item, least, most, wording, marks of pages with this wording]: equal neighbours become one repeated item;
-    its wording is None if they differ."""
+    """[item, least, most, wording, marks of pages with this wording]: equal neighbours become one repeated item
+    and their texts, in order, its wording."""
     out: list[list] = []
     for item, text in items:
         mark = _mark(text) if item == "#text" else ""
         if out and out[-1][0] == item:
             out[-1][2] = 2
-            if out[-1][3] != mark:
-                out[-1][3:] = [None, []]
+            out[-1][3] = _mark(out[-1][3] + mark) if mark else ""
         else:
             out.append([item, 1, 1, mark, [page] if mark else []])
     return out
@@ -167,12 +199,13 @@ def folded(items: list[tuple[str, str]], page: str = "") -> list[list]:
 
 def align(a: list[list], b: list[list]) -> list[list]:
     """The union-free expression of both: a longest common run of items, the rest optional."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    names = [x[0] for x in b]
+    pairs, at = [], 0
+    for i in sorted(lcs_positions([x[0] for x in a], names)):
+        at = names.index(a[i][0], at)  # any place will do: no common item can lie between two pairs
+        pairs.append((i, at))
+        at += 1
+    out: list[list] = []
 
     def both(x: list, y: list) -> list:
         """Wording and its pages."""
@@ -184,16 +217,13 @@ def align(a: list[list], b: list[list]) -> list[list]:
         else:
             out.append(new)
 
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            add([a[i][0], min(a[i][1], b[j][1]), max(a[i][2], b[j][2]), *both(a[i], b[j])])
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            add([a[i][0], 0, *a[i][2:]])
-            i += 1
-        else:
-            add([b[j][0], 0, *b[j][2:]])
-            j += 1
+    i = j = 0
+    for x, y in [*pairs, (len(a), len(b))]:
+        for one in [*a[i:x], *b[j:y]]:
+            add([one[0], 0, *one[2:]])
+        if x < len(a):
+            add([a[x][0], min(a[x][1], b[y][1]), max(a[x][2], b[y][2]), *both(a[x], b[y])])
+        i, j = x + 1, y + 1
     return out
 
 
@@ -202,7 +232,7 @@ class Wrapper:
         self.rules: dict[str, list[list]] = rules or {}
 
     def take(self, page: Page) -> None:
-        mark = _mark("\n".join(t for _, _, t, _ in page.blocks))
+        mark = _mark("\n".join(b[2] for b in page.blocks))
         for path, items in page.inside.items():
             new = folded(items, mark)
             old = self.rules.get(path)
@@ -239,11 +269,15 @@ class Wrapper:
 
 
 def main_text(page: Page, template: set[tuple[str, str]]) -> str:
-    regions = {r for r, _, _, _ in page.blocks}
+    regions = {b[0] for b in page.blocks}
     region = "article" if "article" in regions else "main" if "main" in regions else ""
+    wordings = {path: iter(marks) for path, marks in page.wordings().items()}
+    every = [(*b, (b[1], next(wordings[b[1]])) in template) for b in page.blocks]
+    blocks = [b[1:] for b in every if b[0] == region]
+    varied = {box for *_, boxes, constant in blocks if not constant for box in boxes}
     kept = []
-    for r, path, text, linked in page.blocks:
-        if r != region or (path, _mark(text)) in template:
+    for _, text, linked, boxes, _ in blocks:
+        if any(box not in varied for box in boxes):
             continue
         if not region and 2 * linked > len(text):
             continue
