@@ -1,7 +1,8 @@
 """Benchmark decontamination: a hash set of normalised test n-grams against all training windows.
 
 The windows of the benchmark go to every task as a sorted array of 64-bit codes, in blocks of at most
-`BLOCK_WINDOWS`; a benchmark with more windows takes one scan of the documents per block. A bit filter
+`BLOCK_WINDOWS`; a benchmark with more windows takes one scan of the documents per block, each a stage of
+its own that writes its rows for the next, so a task never holds more than one block. A bit filter
 over the codes drops nearly all training windows, a search in the array finds the rest, and every hit
 is compared word by word with the benchmark, so a collision of codes never counts.
 
@@ -11,10 +12,11 @@ Repeated ids of the benchmark count once. Repeated documents each get their own
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +133,19 @@ def _blocks(benchmark: DataFrame, n: int) -> Iterator[list[tuple[int, bytes, lis
         yield [(r["size"], bytes(r["gram"]), r["items"]) for r in part.toLocalIterator()]
 
 
+def _scans(out: DataFrame, blocks: Iterator[list], step: Callable[[DataFrame, Broadcast, bool], DataFrame]) -> DataFrame:
+    """`step` (rows, block, whether it is the last) for every block; the rows between two blocks are written."""
+    block = next(blocks)
+    while True:
+        following = next(blocks, None)
+        sent = out.sparkSession.sparkContext.broadcast(block)
+        out = step(out, sent, following is None)
+        if following is None:
+            return out
+        out, block = written(out, "decontamination-block"), following
+        sent.destroy()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
     """Columns `keys`, n_words, spans (word runs inside occurring windows, from 0), items, one row per document.
 
@@ -144,11 +159,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, keys: list[str], n: int = 10)
     empty = spark.createDataFrame([], ddl)
     schema = pa.schema([*[pa.field(k, _arrow(empty.schema[k].dataType)) for k in keys], pa.field("n_words", pa.int64()),
                         pa.field("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.field("items", pa.list_(pa.string()))])
-    sent = [spark.sparkContext.broadcast(block) for block in _blocks(benchmark, n)]
-    for b, block in enumerate(sent):
-        last = b == len(sent) - 1
-        out = out.mapInArrow(lambda batches, sent=block, last=last: _scan(batches, sent, schema, last), ddl if last else between)
-    return out
+
+    def step(rows: DataFrame, sent: Broadcast, last: bool) -> DataFrame:
+        return rows.mapInArrow(lambda batches: _scan(batches, sent, schema, last), ddl if last else between)
+
+    return _scans(out, _blocks(benchmark, n), step)
 
 
 def _arrow(kind):
@@ -224,12 +239,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     All words are judged on the input, however many blocks the benchmark has."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
-    out, context = docs, docs.sparkSession.sparkContext
     if remove == "documents":
-        for block in _blocks(benchmark, n):
-            out = out.mapInArrow(lambda batches, sent=context.broadcast(block): _drop(batches, sent), docs.schema)
-        return out
-    out = docs.withColumn(W.free("_hits", docs.columns), F.array().cast("array<bigint>"))
-    for block in _blocks(benchmark, n):
-        out = out.mapInArrow(lambda batches, sent=context.broadcast(block): _mark(batches, sent), out.schema)
-    return out.mapInArrow(_cut, docs.schema)
+        return _scans(docs, _blocks(benchmark, n), lambda rows, sent, _: rows.mapInArrow(lambda batches: _drop(batches, sent), docs.schema))
+    marked = docs.withColumn(W.free("_hits", docs.columns), F.array().cast("array<bigint>"))
+    schema = marked.schema
+    marked = _scans(marked, _blocks(benchmark, n), lambda rows, sent, _: rows.mapInArrow(lambda batches: _mark(batches, sent), schema))
+    return marked.mapInArrow(_cut, docs.schema)
