@@ -48,8 +48,8 @@ FREQUENT = 64
 TABLE_BITS = 22
 MEET = 8
 FREQUENT_LIMIT = 2_000_000
-FLUSH = 600_000
-BUCKET_ENTRIES = 500_000
+FLUSH = 300_000
+BUCKET_ENTRIES = 250_000
 BLOCK_SHINGLES = 1_000_000
 SMALL_GROUP = 16
 SHIP_ROWS = 500_000
