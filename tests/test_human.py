@@ -101,7 +101,7 @@ def test_pseudonyms(spark):
     assert [r.annotator_id for r in given] == ["z", "ann", "ann", "annika"]
 
 
-def _alpha(items):
+def _paired_alpha(items):
     """Nominal alpha from lists of answers, pair by pair."""
     pairs, n_c = [], {}
     for answers in items:
@@ -125,8 +125,8 @@ def test_agreement_jackknife_against_brute_force(spark):
             if h == g and a is not None:
                 items.setdefault(k, []).append(a)
         good = {k: v for k, v in items.items() if len(v) >= 2}
-        alphas = [_alpha([v for j, v in good.items() if j != k]) for k in good]
-        want = _alpha(good.values())
+        alphas = [_paired_alpha([v for j, v in good.items() if j != k]) for k in good]
+        want = _paired_alpha(good.values())
         assert (got[g].n_items, got[g].n_left_out) == (len(good), len(items) - len(good))
         assert got[g].alpha == (None if want is None else pytest.approx(want))
         if len(good) > 1 and None not in alphas:
