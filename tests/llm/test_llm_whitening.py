@@ -116,3 +116,18 @@ def test_counts_of_matrices_without_a_diagonal():
     wide = np.random.default_rng(1).standard_normal((60, 60))
     wide = wide + wide.T
     assert [whitening.above(wide, s) for s in (-5.0, 0.0, 5.0)] == [int((np.linalg.eigvalsh(wide) > s).sum()) for s in (-5.0, 0.0, 5.0)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_eigenpairs_of_deficient_and_repeated_data(seed):
+    rng = np.random.default_rng(seed)
+    d, m = int(rng.integers(3, 40)), int(rng.integers(2, 90))
+    x = rng.standard_normal((m, d)) * 1000
+    x[:, : d // 2] = x[:, d // 2 : d // 2 * 2]  # eigenvalues of zero next to the leading ones
+    x = np.repeat(x[: max(2, m // 10)], 10, 0) if seed % 3 == 0 else x
+    c = x - x.mean(0)
+    a = c.T @ c / len(c)
+    k, size = min(8, d), np.abs(a).sum(1).max()
+    got, found = whitening.leading(a, k)
+    assert np.abs(got - np.sort(np.linalg.eigvalsh(a))[::-1][:k]).max() < 1e-11 * size
+    assert np.abs(found.T @ found - np.eye(k)).max() < 1e-10 and np.abs(a @ found - found * got).max() < 1e-11 * size
