@@ -20,6 +20,14 @@ from claritas.functions.text import ASCII_WORD, ascii_tokens, find_all, strip, t
 from claritas.session import shuffle_width
 
 ORDERS = (1, 2, 3, 4)
+SIDE_BITS = {"src": 1, "pred": 2, "ref": 4}
+TEXT_BYTES = 2 << 20  # of text in a partition: its repeated grams, or its token vectors, fit the memory of a task
+
+
+def text_width(df: DataFrame, columns: tuple[str, ...]) -> int:
+    """Partitions that hold at most about TEXT_BYTES of `columns`; grams outgrow the text, so the texts decide."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0).cast("bigint"))
+    return max(shuffle_width(df.sparkSession), -(-(df.agg(F.sum(size)).first()[0] or 0) // TEXT_BYTES))
 
 
 def token_stemmer() -> Callable[[list[str]], list[str]]:
@@ -50,6 +58,62 @@ def grams(tokens: Column, n: int) -> Column:
     return F.when(count > 0, joined).otherwise(F.array().cast("array<string>"))
 
 
+def repeats(c: Column) -> Column:
+    """Every occurrence but the first of the values of an array."""
+
+    def after_equal(ordered: Column) -> Column:
+        return F.filter(ordered, lambda x, i: F.get(ordered, i - 1) == x)
+
+    def of(values: Column) -> Column:
+        found = F.get(F.transform(F.array(F.sort_array(values)), after_equal), F.lit(0))
+        return F.when(F.size(F.array_distinct(values)) < F.size(values), found).otherwise(F.array().cast("array<string>"))
+
+    return of(c)
+
+
+def gram_classes(lists: dict[str, Column], again: Column) -> Column:
+    """ARRAY<STRUCT<sides, times, list>> that says how often each gram stands on each side, in few rows.
+
+    Grams that no side holds twice are only counted: `times` of them stand once on each of `sides` (bits of
+    SIDE_BITS) and nowhere else. The occurrences of all others are listed per side. Where `again` is true, all are.
+    """
+    none = F.array().cast("array<string>")
+    whole = F.struct(*[F.coalesce(c, none).alias(s) for s, c in lists.items()])
+
+    def with_lists(x: Column) -> Column:
+        return F.struct(*[x[s].alias(s) for s in lists], *[F.when(again, none).otherwise(repeats(x[s])).alias(f"_{s}") for s in lists])
+
+    def with_common(x: Column) -> Column:
+        common = F.array_distinct(F.concat(*[x[f"_{s}"] for s in lists]))
+        return F.struct(
+            *[F.when(again, none).otherwise(F.array_except(x[s], common)).alias(s) for s in lists],
+            *[F.when(again, x[s]).otherwise(F.concat(x[f"_{s}"], F.array_intersect(x[s], common))).alias(f"_{s}") for s in lists],
+        )
+
+    choices = [bits for bits in range(1, 8) if sum(SIDE_BITS[s] for s in lists if SIDE_BITS[s] & bits) == bits]
+
+    def with_sizes(x: Column) -> Column:
+        # how many grams stand on all sides of a choice, whatever the others hold
+        met = {bits: reduce(F.array_intersect, [x[s] for s in lists if SIDE_BITS[s] & bits]) for bits in choices}
+        return F.struct(*[F.size(m).alias(f"n{bits}") for bits, m in met.items()], *[x[f"_{s}"].alias(f"_{s}") for s in lists])
+
+    def rows(x: Column) -> Column:
+        def only(bits: int) -> Column:
+            wider = [(b, -1 if (b ^ bits).bit_count() % 2 else 1) for b in choices if b & bits == bits and b != bits]
+            return sum((x[f"n{b}"] * sign for b, sign in wider), x[f"n{bits}"])
+
+        counted = F.filter(F.array(*[_class(bits, only(bits), F.lit(None).cast("array<string>")) for bits in choices]), lambda c: c["times"] > 0)
+        return F.concat(counted, F.array(*[_class(SIDE_BITS[s], F.lit(0), x[f"_{s}"]) for s in lists]))
+
+    for step in (with_lists, with_common, with_sizes, rows):
+        whole = F.get(F.transform(F.array(whole), step), F.lit(0))
+    return whole
+
+
+def _class(bits: int, times: Column, listed: Column) -> Column:
+    return F.struct(F.lit(bits).alias("sides"), times.cast("bigint").alias("times"), listed.alias("list"))
+
+
 def gram_counts(df: DataFrame, keys: list[str], tokens: dict[str, Column], orders=ORDERS) -> DataFrame:
     """(keys, n, gram, c_<side>...) with the count of every gram on every side.
 
@@ -78,9 +142,10 @@ def f_score(hits: Column, n_pred: Column, n_ref: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def overlap_sums() -> list[Column]:
-    """Clipped matches and totals of the counted grams."""
-    return [F.sum(F.least("c_pred", "c_ref")).alias("hits"), F.sum("c_pred").alias("n_pred"), F.sum("c_ref").alias("n_ref")]
+def overlap_sums(times: Column | int = 1) -> list[Column]:
+    """Clipped matches and totals of the counted grams; a row stands for `times` grams."""
+    sums = {"hits": F.least("c_pred", "c_ref"), "n_pred": F.col("c_pred"), "n_ref": F.col("c_ref")}
+    return [F.sum(c * times).alias(name) for name, c in sums.items()]
 
 
 def rouge_pairs(df: DataFrame, by: list[str], orders=(1, 2), stems: bool = True) -> DataFrame:
@@ -140,8 +205,8 @@ def _f1(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
-def sari_sums() -> list[Column]:
-    """Precision and recall of kept, deleted and added grams of one order."""
+def sari_sums(times: Column | int = 1) -> list[Column]:
+    """Precision and recall of kept, deleted and added grams of one order; a row stands for `times` grams."""
     s, c, r = F.col("c_src"), F.col("c_pred"), F.col("c_ref")
     zero = F.lit(0)
     kept, kept_all = F.least(s, c), F.least(s, r)
@@ -151,14 +216,14 @@ def sari_sums() -> list[Column]:
     new, new_all = (c > 0) & (s == 0), (r > 0) & (s == 0)
 
     def share(top: Column, bottom: Column) -> Column:
-        return F.sum(F.when(bottom > 0, top / bottom).otherwise(0.0))
+        return F.sum(F.when(bottom > 0, top / bottom * times).otherwise(0.0))
 
     def how_many(condition: Column) -> Column:
-        return F.count(F.when(condition, F.lit(1)))
+        return F.sum(F.when(condition, times).otherwise(0))
 
     return [
         _ratio(share(kept_good, kept), how_many(kept > 0)).alias("keep_p"),
-        _ratio(F.sum(kept_good), F.sum(kept_all)).alias("keep_r"),
+        _ratio(F.sum(kept_good * times), F.sum(kept_all * times)).alias("keep_r"),
         _ratio(share(gone_good, gone), how_many(gone > 0)).alias("del_p"),
         _ratio(how_many(new & (r > 0)), how_many(new)).alias("add_p"),
         _ratio(how_many(new & (r > 0)), how_many(new_all)).alias("add_r"),

@@ -3,17 +3,18 @@
 The texts are hash-partitioned by pair and group once. Token lists of ROUGE, BLEU and SARI become tagged
 gram rows of one stage, and measures of whole texts (readability, subsequences) travel as tagged rows of
 the same stage, so every metric comes out of one chain of groupings that never leaves that partitioning;
-only one row per group and task crosses the network again. `pair_id` is unique within `by`.
+only one row per group and task crosses the network again. Grams that no text of a pair holds twice are
+counted inside the row by set functions; the others, and all grams of rows that share `pair_id` and `by`,
+are unfolded. The size of the texts decides the number of partitions, so groupings fit memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claritas.functions.text import strip, tokens_13a
 from claritas.operators import ngrams, readability, subsequence
-from claritas.session import shuffle_width
 
 MEASURES = ("kmre", "lix", "compression_ratio", "novelty")
 LISTS = {"rouge": (1, 2), "bleu": ngrams.ORDERS, "sari": ngrams.ORDERS}
@@ -26,8 +27,8 @@ def _token_columns(stems: bool) -> dict[tuple[str, str], Column]:
     return out | {("sari", s): tokens_13a(strip(F.col(s)), lower=True) for s in ("src", "pred", "ref")}
 
 
-def _tagged(tag: str, side: str, n: int, grams: Column, value: Column) -> Column:
-    return F.struct(F.lit(tag).alias("tag"), F.lit(side).alias("side"), F.lit(n).alias("n"), grams.alias("list"), value.cast("double").alias("value"))
+def _tagged(tag: str, n: int, c: Column, value: Column) -> Column:
+    return F.struct(F.lit(tag).alias("tag"), F.lit(n).alias("n"), *[c[name].alias(name) for name in ("sides", "times", "list")], value.alias("value"))
 
 
 def pair_sums(df: DataFrame, by: list[str], stems: bool, stop_words: list[str], subsequences: tuple[str, ...]) -> DataFrame:
@@ -38,22 +39,33 @@ def pair_sums(df: DataFrame, by: list[str], stems: bool, stop_words: list[str],
     for name in subsequences:
         summary = name == "rougeLsum"
         measures[name] = ngrams.f_score(subsequence.hits_column(longest, stems, summary), *subsequence.sizes_columns(summary))
-    split = df.select(*keys, "src", "ref", "pred").repartition(shuffle_width(df.sparkSession), *keys)
+    split = df.select(*keys, "src", "ref", "pred").repartition(ngrams.text_width(df, ("src", "ref", "pred")), *keys)
+    split = split.withColumn("_again", F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
     scored = readability.row_scores(split, stop_words)
     work = scored.select(
         *keys,
+        "_again",
         *[c.alias(f"_{tag}_{side}") for (tag, side), c in tokens.items()],
         *[F.col(m).alias(f"_{m}") for m in MEASURES],
         *[c.alias(f"_{m}") for m, c in measures.items()],
     )
-    none = F.lit(None).cast("double")
-    lists = [_tagged(tag, side, n, ngrams.grams(F.col(f"_{tag}_{side}"), n), none) for tag, side in tokens for n in LISTS[tag]]
-    whole = [_tagged(m, "", 0, F.lit(None).cast("array<string>"), F.col(f"_{m}")) for m in [*MEASURES, *measures]]
+    none, lists = F.lit(None).cast("double"), []
+    for tag, orders in LISTS.items():
+        for n in orders:
+            grams = {side: ngrams.grams(F.col(f"_{tag}_{side}"), n) for t, side in tokens if t == tag}
+            lists.append(F.transform(ngrams.gram_classes(grams, F.col("_again")), lambda c: _tagged(tag, n, c, none)))
+    nothing = F.struct(F.lit(0).alias("sides"), F.lit(0).cast("bigint").alias("times"), F.lit(None).cast("array<string>").alias("list"))
+    whole = F.array(*[_tagged(m, 0, nothing, F.col(f"_{m}").cast("double")) for m in [*MEASURES, *measures]])
     # outer unfolding keeps an empty list as one null gram, which no side may count
-    rows = work.select(*keys, F.inline_outer(F.array(*lists, *whole))).select(*keys, "tag", "side", "n", "value", F.explode_outer("list").alias("gram"))
-    counts = [F.count(F.when(F.col("side") == s, F.col("gram"))).alias(f"c_{s}") for s in ("src", "pred", "ref")]
-    counted = rows.groupBy(*keys, "tag", "n", "gram").agg(*counts, F.max("value").alias("value"))
-    return counted.groupBy(*keys, "tag", "n").agg(*ngrams.overlap_sums(), *ngrams.sari_sums(), F.max("value").alias("value"))
+    rows = work.select(*keys, F.inline(F.concat(*lists, whole)))
+    rows = rows.select(*keys, "tag", "n", "sides", "times", "value", F.when(F.col("times") > 0, F.col("sides")).otherwise(0).alias("class"), F.explode_outer("list").alias("gram"))
+    counts = [F.count(F.when(F.col("sides") == bit, F.col("gram"))).alias(f"c_{s}") for s, bit in ngrams.SIDE_BITS.items()]
+    counted = rows.groupBy(*keys, "tag", "n", "class", "gram").agg(*counts, F.max("times").alias("times"), F.max("value").alias("value"))
+    classed = F.col("class") > 0
+    sides = {f"c_{s}": F.when(classed, (F.col("class").bitwiseAND(bit) > 0).cast("bigint")).otherwise(F.col(f"c_{s}")) for s, bit in ngrams.SIDE_BITS.items()}
+    counted = counted.withColumns({**sides, "times": F.when(classed, F.col("times")).otherwise(1)})
+    times = F.col("times")
+    return counted.groupBy(*keys, "tag", "n").agg(*ngrams.overlap_sums(times), *ngrams.sari_sums(times), F.max("value").alias("value"))
 
 
 def summary(

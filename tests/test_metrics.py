@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claritas.functions.stem import stem
-from claritas.operators import bootstrap, ngrams, readability, subsequence, suite
+from claritas.operators import bootstrap, ngrams, pair_scores, readability, subsequence, suite
 
 WORDS = "the cat sat on a mat and saw two dogs run far away . ! , it's 3.5".split()
 
@@ -340,3 +340,34 @@ def test_srb_and_merge(spark):
 )
 def test_stem(word, want):
     assert stem(word) == want
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_gram_classes_count_every_gram(spark, again):
+    rnd = random.Random(5)
+    rows = [tuple([i] + [[rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 12))] for _ in range(3)]) for i in range(60)]
+    rows += [(100, None, ["a"], ["a", "a"]), (101, list("abc"), list("bcd"), list("cde"))]
+    df = spark.createDataFrame(rows, "i int, src array<string>, pred array<string>, ref array<string>")
+    lists = {s: F.col(s) for s in ("src", "pred", "ref")}
+    got = {r.i: r.c for r in df.select("i", ngrams.gram_classes(lists, F.lit(again)).alias("c")).collect()}
+    for i, *texts in rows:
+        counts = [Counter(t or []) for t in texts]
+        once = [g for g in set().union(*counts) if max(c[g] for c in counts) == 1 and not again]
+        classes = Counter(sum(bit for bit, c in zip((1, 2, 4), counts) if c[g]) for g in once)
+        assert {r.sides: r.times for r in got[i] if r.times} == classes
+        for bit, c in zip((1, 2, 4), counts):
+            listed = Counter(g for r in got[i] if r.sides == bit and not r.times for g in r.list)
+            assert listed == Counter({g: n for g, n in c.items() if g not in once})
+
+
+def test_suite_adds_up_rows_of_one_pair(spark):
+    parts = [("p", "g", "the cat", "a dog sat", "the dog"), ("p", "g", "the dog sat", "a cat", "a dog a"), ("q", "g", "x", "y", "x")]
+    got = {(r.pair_id, r.tag, r.n): (r.hits, r.n_pred, r.n_ref) for r in pair_scores.pair_sums(_frame(spark, parts), ["system"], False, [], ()).collect()}
+    assert got["p", "rouge", 1] == (3, 5, 5) and got["p", "bleu", 2] == (1, 3, 3) and got["q", "bleu", 1] == (0, 1, 1)
+
+
+def test_text_decides_the_number_of_partitions(spark, monkeypatch):
+    df = _frame(spark, _pairs())
+    assert ngrams.text_width(df, ("src", "ref", "pred")) == 8
+    monkeypatch.setattr(ngrams, "TEXT_BYTES", 100)
+    assert ngrams.text_width(df, ("src", "ref", "pred")) > 20
