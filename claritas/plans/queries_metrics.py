@@ -373,13 +373,22 @@ def m11(spark, folder):
 
 
 def _vectors_of(spark, folder, rows):
-    """Token vectors of every pair: its words in order, each with one of the stored vectors, picked by its letters."""
+    """Token vectors of every pair: its words in order, each with one of the stored vectors, picked by its letters.
+
+    Texts are spread by pair first; only the vectors in use are met, so they can be sent to the words and no
+    word's vector crosses the network.
+    """
     stored = table(spark, folder, "embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vec"))
     n_stored = stored.count()
     sides = F.array(*[F.struct(F.lit(s).alias("side"), text.word_tokens(F.col(s)).alias("words")) for s in ("pred", "ref")])
-    words = rows.select("pair_id", *BY, F.inline(sides)).select("pair_id", *BY, "side", F.posexplode("words").alias("tok_pos", "word"))
-    picked = words.withColumn("_id", (F.ascii("word").cast("long") * 31 + F.length("word")) % n_stored)
-    return picked.join(stored, "_id").select("pair_id", *BY, "side", "tok_pos", "vec")
+
+    def picked(rows):
+        words = rows.select("pair_id", *BY, F.inline(sides)).select("pair_id", *BY, "side", F.posexplode("words").alias("tok_pos", "word"))
+        return words.withColumn("_id", (F.ascii("word").cast("long") * 31 + F.length("word")) % n_stored)
+
+    used = written(stored.join(picked(rows).select("_id").distinct(), "_id", "left_semi"), "used-vectors")
+    spread = rows.select("pair_id", *BY, "pred", "ref").repartition(ngrams.text_width(rows, ("pred", "ref")), "pair_id", *BY)
+    return picked(spread).join(used, "_id").select("pair_id", *BY, "side", "tok_pos", "vec")
 
 
 def _long_sql(select: str, metrics: list[str], by: str = "split, task, system") -> str:

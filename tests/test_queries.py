@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as contract
 from claritas.operators.corpus import select_tasks
+from claritas.plans import queries_metrics
+from claritas.session import written
 from claritas.sources.corpora import snapshot
 
 FOLDER = "/root/testdata/sf0.001"
@@ -89,6 +91,16 @@ def test_grams_stay_in_the_partitioning_of_their_pair(spark):
     assert "gram" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
 
 
+def test_token_vectors_do_not_cross_the_network(spark):
+    rows = written(queries_metrics._systems(spark, FOLDER), "rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")  # below the stored vectors, above those in use
+    try:
+        plan = queries_metrics._vectors_of(spark, FOLDER, rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(_id" not in plan
+
+
 def test_top_k_is_cut_before_the_shuffle(spark):
     plan = QUERIES["w14_keep_best_checkpoints"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
