@@ -43,6 +43,7 @@ def best_so_far(log: DataFrame, delay: str = "1 day", period: str | None = None,
 
 
 STATE = "micros long, step long, value double"
+RUN_STATE = "metric array<string>, micros array<long>, step array<long>, value array<double>, newest array<long>, until array<long>"
 
 
 def ended_runs_leave(log: DataFrame, ttl: str, delay: str = "1 day", mode: str | None = None) -> DataFrame:
@@ -53,6 +54,8 @@ def ended_runs_leave(log: DataFrame, ttl: str, delay: str = "1 day", mode: str |
     holds the runs that are alive, however many there were. Events older than the watermark are dropped, so
     a late one never revives an ended run; a run that comes back starts anew. A table that is no stream
     gives the same rows by an aggregate. Events without a time take no part.
+
+    The state of a run holds its metrics side by side: a group costs far more than an entry.
     """
     local, kinds = isinstance(log.schema["ts"].dataType, T.TimestampNTZType), dict(log.dtypes)
     log = log.where("ts IS NOT NULL").withColumn("ts", as_instant(F.col("ts")) if local else F.col("ts"))
@@ -60,9 +63,10 @@ def ended_runs_leave(log: DataFrame, ttl: str, delay: str = "1 day", mode: str |
     if log.isStreaming:
         millis = log.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + INTERVAL {ttl})")).first()[0]
         sign = {None: 0.0, "max": 1.0, "min": -1.0}[mode]
-        grouped = log.withWatermark("ts", delay).groupBy("run", "metric")
-        columns = f"run {kinds['run']}, metric {kinds['metric']}, {STATE}"
-        out = grouped.applyInPandasWithState(_kept_alive(millis, sign), columns, f"{STATE}, newest long", "update", GroupStateTimeout.EventTimeTimeout)
+        grouped = log.withColumn("metric", F.col("metric").cast("string")).withWatermark("ts", delay).groupBy("run")
+        columns = f"run {kinds['run']}, metric string, {STATE}"
+        out = grouped.applyInPandasWithState(_kept_alive(millis, sign), columns, RUN_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+        out = out.withColumn("metric", F.col("metric").cast(kinds["metric"]))
     else:
         key = F.struct("micros", "step") if mode is None else F.struct(sortable("value", mode), -F.col("step"))
         out = log.groupBy("run", "metric").agg(F.max_by(F.struct("micros", "step", "value"), key).alias("_row")).select("run", "metric", "_row.*")
@@ -80,19 +84,32 @@ def _kept_alive(millis: int, sign: float):
             return known[0]
         return (sign * a[2], -a[1]) > (sign * b[2], -b[1]) if known[0] else a[1] < b[1]
 
+    def keep(held: dict, state: GroupState) -> None:
+        """`held`: metric to (micros, step, value, newest, until)."""
+        if not held:
+            state.remove()
+            return
+        state.update((list(held), *[list(column) for column in zip(*held.values())]))
+        # a timeout must lie after the watermark
+        state.setTimeoutTimestamp(max(min(entry[4] for entry in held.values()), state.getCurrentWatermarkMs() + 1))
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        old = {metric: entry for metric, *entry in zip(*state.get)} if state.exists else {}
         if state.hasTimedOut:
-            state.remove()
+            keep({metric: entry for metric, entry in old.items() if entry[4] >= watermark}, state)
             return
-        best, newest = (tuple(state.get[:3]), state.get[3]) if state.exists else (None, None)
+        seen: dict = {}
         for part in batches:
-            for row in zip(part["micros"].tolist(), part["step"].tolist(), part["value"].tolist()):
-                newest = row[0] if newest is None else max(newest, row[0])
-                best = row if best is None or better(row, best) else best
-        state.update((*best, newest))
-        # a timeout must lie after the watermark
-        state.setTimeoutTimestamp(max(newest // 1000 + millis, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"run": [key[0]], "metric": [key[1]], "micros": [best[0]], "step": [best[1]], "value": [best[2]]})
+            for metric, *row in zip(part["metric"].tolist(), part["micros"].tolist(), part["step"].tolist(), part["value"].tolist()):
+                if metric not in seen:
+                    seen[metric] = (tuple(old[metric][:3]), old[metric][3]) if metric in old else (tuple(row), row[0])
+                best, newest = seen[metric]
+                seen[metric] = (tuple(row) if better(tuple(row), best) else best, max(newest, row[0]))
+        now = {metric: (*best, newest, max(newest // 1000 + millis, watermark + 1)) for metric, (best, newest) in seen.items()}
+        keep({**{metric: entry for metric, entry in old.items() if entry[4] >= watermark}, **now}, state)
+        micros, steps, values = zip(*[entry[:3] for entry in now.values()])
+        yield pd.DataFrame({"run": [key[0]] * len(now), "metric": list(now), "micros": micros, "step": steps, "value": values})
 
     return step
 

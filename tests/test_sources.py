@@ -189,6 +189,22 @@ def test_an_ended_run_leaves_the_state(spark, tmp_path):
     assert {r[0] for r in rows} == {0, 1, 2, 7} and all(r[4] < 90.0 for r in rows)
 
 
+def test_metrics_of_a_run_share_a_state_row_and_end_alone(spark, tmp_path):
+    def of(run, metric, day, value):
+        return [(run, metric, dt.datetime(2024, 1, day, 0, i), i, value + i) for i in range(4)]
+
+    # metric a of run 7 ends on day 1, b goes on; a comes back on day 25 and starts anew
+    batches = [of(7, "a", 1, 50.0) + of(7, "b", 1, 1.0), of(7, "b", 3, 2.0), of(7, None, 6, 3.0), of(7, "b", 20, 4.0), of(7, "a", 25, 5.0)]
+    board = boards.ended_runs_leave(_stream(spark, str(tmp_path / "log"), batches), "3 days", delay="1 hour", mode="max")
+    seen = []
+    writer = board.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state"))
+    query = writer.foreachBatch(lambda df, _: seen.append(sorted((r.metric or "", r.value) for r in df.collect()))).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) == 1
+    assert [rows for rows in seen if rows] == [[("a", 53.0), ("b", 4.0)], [("b", 5.0)], [("", 6.0)], [("b", 7.0)], [("a", 8.0)]]
+
+
 def test_the_best_value_keeps_its_first_step(spark):
     rows = [(0, "m", dt.datetime(2024, 1, 1, 0, i), i, v) for i, v in enumerate([1.0, 5.0, 5.0, float("nan")])]
     row = boards.best_so_far(_log(spark, rows)).first()
