@@ -8,16 +8,20 @@ the threshold leaves a task. The pilot only decides how much is skipped, never w
 
 Three ways, chosen by measured size:
 
-* queries fit the limit: ship them to every task, stream the corpus past them;
-* corpus fits the limit: ship it, each query is then finished where it is read;
+* queries fit the limit: ship them, in shares, and stream the corpus past each share;
+* corpus fits the limit: ship it, in shares, and stream the queries past each share;
 * neither fits: cut both sides into blocks; block pairs whose bound reaches a threshold meet in an
   equi-join, the others are never copied.
+
+A task holds one share (at most SHARE bytes) and the rows of one batch, or one block pair; products are made in
+tiles of TILE numbers and results leave in parts. So the memory of a Python worker does not follow the tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,24 +33,55 @@ from claritas.operators.numbering import top_rows
 from claritas.session import scratch_path, written
 
 SHIP_LIMIT = 64 << 20
+SHARE = 16 << 20  # of what is shipped, how much one task holds
 BLOCK_ROWS = 2048
 MIN_BLOCK = 256
+TILE = 1 << 19  # numbers of a matrix product that stand at once
+PART = 16_384  # queries whose results leave a task together
 PILOT = 4096  # rows of the corpus that set the thresholds
 CENTRES = 64
 DIGITS = 9  # equal vectors must tie whatever order a matrix product adds in
 SLACK = 3e-9  # of a bound against a threshold: more than rounding to DIGITS can move either
 OUT = "query_id long, item_id long, task string, similarity double"
+OUT_TYPES = {"query_id": "int64", "item_id": "int64", "task": "object", "similarity": "float64"}
 
 
 # --- inside a task
 
 
 def _matrix(vectors) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    """Single precision stays as it is until it is multiplied: half the memory, the same numbers."""
+    rows = list(vectors)
+    narrow = all(isinstance(v, np.ndarray) and v.dtype == np.float32 for v in rows)
+    return np.stack(rows) if narrow else np.stack([np.asarray(v, dtype=np.float64) for v in rows])
+
+
+def _slices(n: int, width: int) -> Iterator[slice]:
+    """0..n-1 in runs of rows that hold at most TILE numbers of `width` a row."""
+    step = max(1, TILE // max(1, width))
+    for start in range(0, n, step):
+        yield slice(start, start + step)
+
+
+def _rowwise(vectors: np.ndarray, of) -> np.ndarray:
+    """`of` (rows in double precision) over all rows, some at a time."""
+    parts = [of(vectors[some].astype(np.float64, copy=False)) for some in _slices(*vectors.shape)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def _norms(vectors: np.ndarray) -> np.ndarray:
-    return np.sqrt((vectors * vectors).sum(1))
+    return _rowwise(vectors, lambda v: np.sqrt((v * v).sum(1)))
+
+
+def _scores(asked: np.ndarray, items: np.ndarray) -> np.ndarray:
+    scores = asked.astype(np.float64, copy=False) @ items.T
+    return np.round(scores, DIGITS, out=scores)
+
+
+def _kth_best(scores: np.ndarray, k: int) -> np.ndarray:
+    turned = np.negative(scores)
+    turned.partition(k - 1, axis=1)
+    return -turned[:, k - 1]
 
 
 @dataclass
@@ -70,12 +105,12 @@ class Block:
     vectors: np.ndarray
 
     def __post_init__(self):
-        self.centre = self.vectors.mean(0)
+        self.centre = self.vectors.mean(0, dtype=np.float64)
         self.radius = float(_norms(self.vectors - self.centre).max())
         self.far = float(_norms(self.vectors).max())
 
     def bound(self, asked: Asked) -> np.ndarray:
-        around = asked.vectors @ self.centre + asked.norms * self.radius
+        around = _rowwise(asked.vectors, lambda v: v @ self.centre) + asked.norms * self.radius
         most = np.minimum(around, asked.norms * self.far)
         return most + SLACK * (1.0 + asked.norms * self.far)
 
@@ -83,7 +118,8 @@ class Block:
 def nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     if not len(centres):
         return np.zeros(len(vectors), np.int64)
-    return ((centres * centres).sum(1)[None, :] - 2 * (vectors @ centres.T)).argmin(1)
+    sizes = (centres * centres).sum(1)[None, :]
+    return np.concatenate([(sizes - 2 * (vectors[some] @ centres.T)).argmin(1) for some in _slices(len(vectors), len(centres))])
 
 
 def blocks_of(items: pd.DataFrame, centres: np.ndarray) -> Iterator[Block]:
@@ -122,17 +158,20 @@ class Search:
         open_ = np.flatnonzero(block.bound(self.asked) >= self.floor(block.task))
         self.met += len(self.asked.ids)
         self.opened += len(open_)
-        for start in range(0, len(open_), BLOCK_ROWS):
-            self._multiply(block, open_[start : start + BLOCK_ROWS])
-
-    def _multiply(self, block: Block, rows: np.ndarray) -> None:
-        scores = np.round(self.asked.vectors[rows] @ block.vectors.T, DIGITS) + 0.0
+        if len(open_):
+            items = block.vectors.astype(np.float64, copy=False)
+            for some in _slices(len(open_), max(items.shape)):
+                self._multiply(block, items, open_[some])
+
+    def _multiply(self, block: Block, items: np.ndarray, rows: np.ndarray) -> None:
+        scores = _scores(self.asked.vectors[rows], items)
+        scores += 0.0
         if self.skip_self:
             scores[self.asked.ids[rows][:, None] == block.ids[None, :]] = -np.inf
         edge = self.floor(block.task)[rows][:, None]
         if self.k < scores.shape[1]:
             # everything at least as good as the k-th value, so that ties are settled by id
-            edge = np.maximum(edge, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1 : self.k])
+            edge = np.maximum(edge, _kth_best(scores, self.k)[:, None])
         i, j = np.nonzero((scores >= edge) & np.isfinite(scores))
         if not len(i):
             return
@@ -147,14 +186,23 @@ class Search:
         kept = place < self.k
         best[rows[slot[kept]], place[kept]], ids[rows[slot[kept]], place[kept]] = value[kept], item[kept]
 
+    def _found(self, task, some: slice) -> pd.DataFrame:
+        best, ids = (x[some] for x in self.kept[task])
+        row, place = np.nonzero(np.isfinite(best))
+        named = pd.Series([task] * len(row), dtype=object)
+        return pd.DataFrame({"query_id": self.asked.ids[some][row], "item_id": ids[row, place], "task": named, "similarity": best[row, place]})
+
+    def parts(self) -> Iterator[pd.DataFrame]:
+        """What was found, at most PART queries of a task at a time."""
+        step = max(1, PART // self.k)
+        for task in self.kept:
+            for start in range(0, len(self.asked.ids), step):
+                yield self._found(task, slice(start, start + step))
+
     def found(self) -> pd.DataFrame:
-        out = []
-        for task, (best, ids) in self.kept.items():
-            row, place = np.nonzero(np.isfinite(best))
-            part = pd.DataFrame({"query_id": self.asked.ids[row], "item_id": ids[row, place], "similarity": best[row, place]})
-            out.append(part.assign(task=pd.Series([task] * len(part), dtype=object)))
-        every = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "item_id": [], "task": [], "similarity": []})
-        return every[["query_id", "item_id", "task", "similarity"]]
+        out = list(self.parts())
+        # the types of no rows must be right too: a scan may meet no item, a block pair give nothing
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: pd.Series([], dtype=t) for c, t in OUT_TYPES.items()})
 
 
 # --- pilot and thresholds
@@ -175,7 +223,7 @@ class Pilot:
             return cls([], [], [], np.zeros((0, 0)))
         rows = rows.sort_values(["item_id"], kind="stable")
         parts = [(None if pd.isna(t) else t, p) for t, p in rows.groupby("task", sort=True, dropna=False)]
-        every = _matrix(rows["embedding"])
+        every = _matrix(rows["embedding"]).astype(np.float64, copy=False)
         centres = every[np.random.default_rng(0).permutation(len(every))[:CENTRES]]
         for _ in range(4):
             near = nearest_centre(every, centres)
@@ -188,12 +236,12 @@ class Pilot:
         for t, (own, items) in enumerate(zip(self.ids, self.vectors)):
             if len(own) < k:
                 continue
-            for start in range(0, len(ids), BLOCK_ROWS):
-                some = slice(start, start + BLOCK_ROWS)
-                scores = np.round(vectors[some] @ items.T, DIGITS)
+            items = items.astype(np.float64, copy=False)
+            for some in _slices(len(ids), max(items.shape)):
+                scores = _scores(vectors[some], items)
                 if skip_self:
                     scores[ids[some][:, None] == own[None, :]] = -np.inf
-                out[some, t] = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                out[some, t] = _kth_best(scores, k)
         return out
 
 
@@ -256,40 +304,62 @@ def candidates(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
         return queries.sparkSession.createDataFrame([], T._parse_datatype_string(OUT))
     width = max(lengths)
     row = 8 * (width + 2)
-    if n_queries * (row + 8 * len(pilot.tasks)) <= limit:
-        return _ship_queries(queries, corpus, k, exclude_self, pilot)
+    kept = len(pilot.tasks) * (8 + 16 * k)  # a query's thresholds, and its best items and their similarities
+    if n_queries * (row + kept) <= limit:
+        return _ship_queries(queries, corpus, k, exclude_self, pilot, max(1, SHARE // (row + kept)))
     if n_items * row <= limit:
-        return _ship_corpus(queries, corpus, k, exclude_self, pilot)
+        return _ship_corpus(queries, corpus, k, exclude_self, pilot, max(1, SHARE // row))
     return _meet_blocks(queries, corpus, k, exclude_self, width, limit, pilot)
 
 
-def _ship_queries(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, pilot: Pilot) -> DataFrame:
-    shared = queries.sparkSession.sparkContext.broadcast((_asked(queries.toPandas(), pilot.tasks), pilot.centres))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked, centres = shared.value
-        search = Search(asked, k, skip_self)
-        for part in batches:
-            for block in blocks_of(part, centres):
-                search.add(block)
-        yield search.found()
+def _shares(blocks: Iterable[Block], rows: int) -> Iterator[list[Block]]:
+    """Neighbouring blocks, about `rows` rows together; a task's blocks are neighbours, so most meet in one share."""
+    share, held = [], 0
+    for block in blocks:
+        if share and held + len(block.ids) > rows:
+            yield share
+            share, held = [], 0
+        share.append(block)
+        held += len(block.ids)
+    if share:
+        yield share
 
-    return corpus.mapInPandas(scan, OUT)
 
+def _ship_queries(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, pilot: Pilot, rows: int) -> DataFrame:
+    every = queries.toPandas()
 
-def _ship_corpus(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, pilot: Pilot) -> DataFrame:
-    shared = queries.sparkSession.sparkContext.broadcast((list(blocks_of(corpus.toPandas(), pilot.centres)), pilot.tasks))
+    def past(some: pd.DataFrame) -> DataFrame:
+        shared = queries.sparkSession.sparkContext.broadcast((_asked(some, pilot.tasks), pilot.centres))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks, tasks = shared.value
-        for part in batches:
-            if len(part):
-                search = Search(_asked(part, tasks), k, skip_self)
-                for block in blocks:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked, centres = shared.value
+            search = Search(asked, k, skip_self)
+            for part in batches:
+                for block in blocks_of(part, centres):
                     search.add(block)
-                yield search.found()
+            yield from search.parts()
+
+        return corpus.mapInPandas(scan, OUT)
+
+    return reduce(DataFrame.union, [past(every.iloc[start : start + rows]) for start in range(0, len(every), rows)])
+
+
+def _ship_corpus(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, pilot: Pilot, rows: int) -> DataFrame:
+    def past(share: list[Block]) -> DataFrame:
+        shared = queries.sparkSession.sparkContext.broadcast((share, pilot.tasks))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            blocks, tasks = shared.value
+            for part in batches:
+                if len(part):
+                    search = Search(_asked(part, tasks), k, skip_self)
+                    for block in blocks:
+                        search.add(block)
+                    yield from search.parts()
+
+        return queries.mapInPandas(scan, OUT)
 
-    return queries.mapInPandas(scan, OUT)
+    return reduce(DataFrame.union, [past(share) for share in _shares(blocks_of(corpus.toPandas(), pilot.centres), rows)])
 
 
 def _placed(df: DataFrame, key: str, centres: np.ndarray, rows: int) -> tuple[DataFrame, int]:
@@ -313,9 +383,9 @@ def _summary(df: DataFrame, name: str) -> DataFrame:
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         vectors = _matrix(rows["embedding"])
-        centre = vectors.mean(0)
+        centre = vectors.mean(0, dtype=np.float64)
         least = min((float(np.min(x)) if len(x) else -np.inf for x in rows["least"]), default=-np.inf) if "least" in rows else -np.inf
-        radius = float(_norms(vectors - centre).max())
+        radius = float(_rowwise(vectors, lambda v: _norms(v - centre)).max())
         return pd.DataFrame({name: [int(rows["_block"].iloc[0])], "centre": [centre], "norm": [float(np.sqrt(centre @ centre))], "radius": [radius], "least": [least]})
 
     return df.groupBy("_block").applyInPandas(one, f"{name} int, centre array<double>, norm double, radius double, least double")

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +115,52 @@ def test_block_pairs_out_of_reach_are_not_copied(spark):
     assert retrieval.block_pairs(q, c, n_c, False).count() == q.select("_block").distinct().count() * n_c
 
 
+@pytest.mark.parametrize("way", ["queries", "corpus"])
+def test_a_task_holds_one_share_of_what_is_shipped(spark, monkeypatch, way):
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 8)
+    asked, corpus, queries, items = _frames(spark)
+    row = 8 * (8 + 2)
+    monkeypatch.setattr(retrieval, "SHARE", {"queries": 2 * (row + 3 * (8 + 16 * 4)), "corpus": 20 * row}[way])
+    if way == "corpus":
+        monkeypatch.setattr(retrieval, "_ship_queries", None)
+        asked = asked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("query_id", F.col("query_id") + F.col("copy") * 1000).drop("copy")
+    found = retrieval.candidates(asked, corpus, 4, limit={"queries": 1 << 20, "corpus": 65 * row}[way])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") >= 3  # seven queries by two, sixty items by twenty
+    ranked = retrieval.top_rows(found, ["query_id", "task"], [F.col("similarity").desc(), F.col("item_id")], 4)
+    want = _brute(queries, items, 4)
+    assert _got(ranked) == (want if way == "queries" else {(q + 1000 * c, *rest) for q, *rest in want for c in range(10)})
+
+
+def test_a_product_stands_in_tiles_and_results_leave_in_parts():
+    rng = np.random.default_rng(3)
+    items, queries = rng.normal(size=(2_048, 32)).astype(np.float32), rng.normal(size=(20_000, 32)).astype(np.float32)
+    asked, block = retrieval.Asked(np.arange(20_000), queries), retrieval.Block("a", np.arange(2_048), items)
+    search = retrieval.Search(asked, 3, False)
+    tracemalloc.start()
+    try:
+        search.add(block)
+        rows = [len(part) for part in search.parts()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(rows) == 60_000 and max(rows) <= retrieval.PART
+    assert peak < 48 << 20  # one product of 2,048 x 2,048 alone takes 32 MB
+    got = search.found().head(300)
+    want = np.lexsort((np.arange(2_048), -np.round(queries[7].astype(float) @ items.astype(float).T, 9)))[:3]
+    assert got[got["query_id"] == 7]["item_id"].tolist() == want.tolist()
+
+
+def test_a_task_without_items(spark):
+    asked, corpus, queries, items = _frames(spark)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")  # most pieces of the stored file hold no row group
+    try:
+        assert _got(retrieval.top_k(asked, corpus.coalesce(1), 3)) == _brute(queries, items, 3)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_null_tasks_and_tasks_outside_the_pilot(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "PILOT", 10)
     items, queries = _vectors(3, 200), _vectors(4, 5)
