@@ -36,7 +36,7 @@ SHIP_LIMIT = 64 << 20
 SHARE = 16 << 20  # of what is shipped, how much one task holds
 BLOCK_ROWS = 2048
 MIN_BLOCK = 256
-TILE = 1 << 19  # numbers of a matrix product that stand at once
+TILE = 1 << 17  # numbers of a matrix product that stand at once
 PART = 16_384  # queries whose results leave a task together
 PILOT = 4096  # rows of the corpus that set the thresholds
 CENTRES = 64
