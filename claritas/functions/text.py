@@ -87,11 +87,16 @@ SPLITS_13A = [
 NOT_WHITE = r"[^\x09-\x0d\x1c-\x20\x{85}\p{Z}]+"
 
 
-def tokens_13a(c: Column, lower: bool = False) -> Column:
-    """Tokens as corpus BLEU counts them."""
+def replaced_13a(c: Column, lower: bool = False) -> Column:
+    """Text with the replacements that corpus BLEU makes before it splits."""
     c = F.replace(F.replace(F.replace(c, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
     c = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, c)
-    c = F.concat(F.lit(" "), F.lower(c) if lower else c, F.lit(" "))
+    return F.lower(c) if lower else c
+
+
+def tokens_13a(c: Column, lower: bool = False) -> Column:
+    """Tokens as corpus BLEU counts them."""
+    c = F.concat(F.lit(" "), replaced_13a(c, lower), F.lit(" "))
     for pattern, parts in SPLITS_13A:
         c = F.regexp_replace(c, pattern, "".join(f"${p}" if isinstance(p, int) else p for p in parts))
     return find_all(c, NOT_WHITE)

@@ -7,8 +7,10 @@ and no key is a gram alone, so frequent words cannot form a hot key.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
+from types import ModuleType
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,8 +33,14 @@ def text_width(df: DataFrame, columns: tuple[str, ...]) -> int:
 
 
 def token_stemmer() -> Callable[[list[str]], list[str]]:
-    """Stems of tokens longer than three characters; other tokens as they are. Words repeat, so stems are kept."""
-    known = lru_cache(maxsize=1 << 16)(stem)
+    """Stems of tokens longer than three characters; other tokens as they are.
+
+    Words repeat, so stems are kept, and by process: every task unpickles this module anew.
+    """
+    kept = sys.modules.setdefault("claritas_kept", ModuleType("claritas_kept"))
+    if not hasattr(kept, "stem"):
+        kept.stem = lru_cache(maxsize=1 << 16)(stem)
+    known = kept.stem
     return lambda tokens: [known(t) if len(t) > 3 else t for t in tokens]
 
 

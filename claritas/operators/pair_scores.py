@@ -6,18 +6,24 @@ the same stage, so every metric comes out of one chain of groupings that never l
 only one row per group and task crosses the network again. Grams that no text of a pair holds twice are
 counted inside the row by set functions; the others, and all grams of rows that share `pair_id` and `by`,
 are unfolded. The size of the texts decides the number of partitions, so groupings fit memory.
+
+With stems, which need Python anyway, the partitions of texts go through Arrow instead (`text_batches`) and come
+back as one row per pair.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from claritas.functions.text import strip, tokens_13a
-from claritas.operators import ngrams, readability, subsequence
+from claritas.functions.text import replaced_13a, strip, tokens_13a
+from claritas.operators import ngrams, readability, subsequence, text_batches
+from claritas.operators.arrow_groups import with_first
 
 MEASURES = ("kmre", "lix", "compression_ratio", "novelty")
 LISTS = {"rouge": (1, 2), "bleu": ngrams.ORDERS, "sari": ngrams.ORDERS}
+BLEU_SUMS = [*[f"correct_{n}" for n in ngrams.ORDERS], *[f"total_{n}" for n in ngrams.ORDERS], "ref_length"]
 
 
 def _token_columns(stems: bool) -> dict[tuple[str, str], Column]:
@@ -39,8 +45,7 @@ def pair_sums(df: DataFrame, by: list[str], stems: bool, stop_words: list[str],
     for name in subsequences:
         summary = name == "rougeLsum"
         measures[name] = ngrams.f_score(subsequence.hits_column(longest, stems, summary), *subsequence.sizes_columns(summary))
-    split = df.select(*keys, "src", "ref", "pred").repartition(ngrams.text_width(df, ("src", "ref", "pred")), *keys)
-    split = split.withColumn("_again", F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
+    split = _spread(df, keys).withColumn("_again", F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
     scored = readability.row_scores(split, stop_words)
     work = scored.select(
         *keys,
@@ -68,10 +73,12 @@ def pair_sums(df: DataFrame, by: list[str], stems: bool, stop_words: list[str],
     return counted.groupBy(*keys, "tag", "n").agg(*ngrams.overlap_sums(times), *ngrams.sari_sums(times), F.max("value").alias("value"))
 
 
-def summary(
-    df: DataFrame, by: list[str], stems: bool = True, stop_words: list[str] = readability.STOP_WORDS, subsequences: tuple[str, ...] = ("rougeL", "rougeLsum")
-) -> DataFrame:
-    """One row per group: every metric of `df` (pair_id, by..., src, ref, pred), and n_samples."""
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys, "src", "ref", "pred").repartition(ngrams.text_width(df, ("src", "ref", "pred")), *keys)
+
+
+def _rows_of_sums(df: DataFrame, by: list[str], stop_words: list[str], subsequences: tuple[str, ...], stems: bool = False) -> DataFrame:
+    """One row per pair from `pair_sums`."""
     sums = pair_sums(df, by, stems, stop_words, subsequences)
 
     def of(tag: str, n: int | None, value: Column) -> Column:
@@ -83,16 +90,36 @@ def summary(
     for n in ngrams.ORDERS:
         bleu[f"correct_{n}"], bleu[f"total_{n}"] = of("bleu", n, F.col("hits")), of("bleu", n, F.col("n_pred"))
     bleu["ref_length"] = of("bleu", 1, F.col("n_ref"))
-    pairs = sums.groupBy("pair_id", *by).agg(
+    return sums.groupBy("pair_id", *by).agg(
         *[F.max(of("rouge", n, f)).alias(f"rouge{n}") for n in LISTS["rouge"]],
         *[F.max(c).alias(name) for name, c in bleu.items()],
         F.avg(of("sari", None, sum(ngrams.sari_parts()[1:], ngrams.sari_parts()[0]) / 3)).alias("sari"),
         *[F.max(of(m, None, F.col("value"))).alias(m) for m in [*MEASURES, *subsequences]],
     )
+
+
+def _rows_of_batches(df: DataFrame, by: list[str], stop_words: list[str], subsequences: tuple[str, ...]) -> DataFrame:
+    """One row per pair from Arrow batches of whole pairs, with stems."""
+    keys = ["pair_id", *by]
+    scored = readability.row_scores(with_first(_spread(df, keys), keys), stop_words)
+    texts = {f"rouge_{s}": F.lower(s) for s in ("pred", "ref")}
+    texts |= {f"bleu_{s}": replaced_13a(strip(F.col(s))) for s in ("pred", "ref")}
+    texts |= {f"sari_{s}": replaced_13a(strip(F.col(s)), lower=True) for s in ("src", "pred", "ref")}
+    ready = scored.select(*keys, "_first", *[F.col(m).cast("double").alias(m) for m in MEASURES], *[c.alias(name) for name, c in texts.items()])
+    means = [*[f"rouge{n}" for n in LISTS["rouge"]], "sari", *subsequences]
+    fields = [df.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in (*MEASURES, *means)] + [T.StructField(c, T.LongType()) for c in BLEU_SUMS]
+    return ready.mapInArrow(text_batches.scorer(keys, MEASURES, [*means, *BLEU_SUMS]), T.StructType(fields))
+
+
+def summary(
+    df: DataFrame, by: list[str], stems: bool = True, stop_words: list[str] = readability.STOP_WORDS, subsequences: tuple[str, ...] = ("rougeL", "rougeLsum")
+) -> DataFrame:
+    """One row per group: every metric of `df` (pair_id, by..., src, ref, pred), and n_samples."""
+    pairs = (_rows_of_batches if stems else _rows_of_sums)(df, by, stop_words, subsequences)
     shares = [*[f"rouge{n}" for n in LISTS["rouge"]], *subsequences, "sari"]
     groups = pairs.groupBy(*by).agg(
         *[(F.avg(c) * 100).alias(c) for c in shares],
-        *[F.sum(c).alias(c) for c in bleu],
+        *[F.sum(c).alias(c) for c in BLEU_SUMS],
         *[F.avg(m).alias(m) for m in MEASURES],
         F.count(F.lit(1)).alias("n_samples"),
     )

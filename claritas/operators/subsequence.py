@@ -61,8 +61,18 @@ def _steps(where: dict, size: int, b, carries) -> Iterator[tuple[int, int]]:
 
 
 def lcs_size(a, b, block: int = BLOCK) -> int:
-    """Keeps one block of rows and a byte per token of b."""
+    """Keeps one block of rows and a byte per token of the shorter list."""
+    if a == b:
+        return len(a)
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
     places, carries, found = Places(a, block), bytes(len(b)), 0
+    if len(places.where) == 1:
+        mask = state = (1 << len(a)) - 1
+        for hit in map(places.where[0].get, b):
+            if hit:
+                hit &= state
+                state = ((state + hit) & mask) | (state - hit)
+        return len(a) - state.bit_count()
     for r, where in enumerate(places.where):
         size = places.size(r)
         handed, last = bytearray(len(b)), (1 << size) - 1
@@ -92,12 +102,14 @@ def lcs_positions(a, b, places: Places | None = None, block: int = BLOCK) -> set
         carries = np.unpackbits(rows[r], count=len(b))[:j].tolist()
         columns = [state for state, _ in _steps(places.where[r], places.size(r), b[:j], carries)]
         while i > start and j:
-            if a[i - 1] == b[j - 1]:
-                found.add(i - 1)
-                i, j = i - 1, j - 1
-            elif columns[j - 1] >> (i - 1 - start) & 1:
-                i -= 1
-            else:
+            # the next row up that holds this token or where its column grows
+            hit = places.where[r].get(b[j - 1], 0)
+            up = ((hit | ~columns[j - 1]) & ((1 << (i - start)) - 1)).bit_length()
+            i = start + up
+            if up:
+                if hit >> (up - 1) & 1:
+                    i -= 1
+                    found.add(i)
                 j -= 1
     return found
 
@@ -206,6 +218,105 @@ def union_hits(ref: list, pred: list) -> int:
     return hits
 
 
+def _found_bits(a: np.ndarray, size: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`lcs_positions` of many short lists at a time, as bits of integers.
+
+    Columns of `a` hold `size` tokens from the top in a height of 16, 32 or 64, columns of `b` theirs down to
+    the last row; the rest is filled with numbers that meet nothing.
+    """
+    width = len(a)
+    match = np.zeros(b.shape, f"u{width // 8}")
+    for i, token in enumerate(a):
+        match |= (token == b) * match.dtype.type(1 << i)
+    full = np.array(-1).astype(match.dtype)
+    states, state = np.empty_like(match), np.full(b.shape[1], full)
+    for j, here in enumerate(match):
+        hit = state & here
+        state = states[j] = (state + hit) | (state - hit)
+    low, found = full >> (width - size).astype(match.dtype), np.zeros_like(state)
+    for here, column in zip(match[::-1], states[::-1]):
+        up = (here | ~column) & low
+        step = 1
+        while step < width:
+            up |= up >> step
+            step *= 2
+        hit = here & (up ^ (up >> 1))
+        found |= hit
+        low = np.where(hit != 0, up >> 1, up)
+    return found
+
+
+class Sentences:
+    """Runs of tokens with one row and sentence number; `tokens` numbers equal tokens alike."""
+
+    def __init__(self, tokens: np.ndarray, row: np.ndarray, sentence: np.ndarray):
+        self.tokens, self.row_of_token = tokens.astype(np.int32), row
+        first = np.append(True, (np.diff(row) != 0) | (np.diff(sentence) != 0))[: len(row)]
+        self.start = np.flatnonzero(first)
+        self.end = np.append(self.start[1:], len(row))[: len(self.start)]
+        self.size, self.row = self.end - self.start, row[self.start]
+
+    def padded(self, which: np.ndarray, width: int, right: bool) -> np.ndarray:
+        places = np.arange(width)[:, None]
+        at = (self.end[which] - width if right else self.start[which]) + places
+        size = self.size[which]
+        inside = places >= width - size if right else places < size
+        return np.where(inside, self.tokens[np.clip(at, 0, len(self.tokens) - 1)], -2 if right else -1)
+
+    def list(self, i: int) -> list[int]:
+        return self.tokens[self.start[i] : self.end[i]].tolist()
+
+
+MEETINGS = 1 << 16  # sentence pairs at a time
+CELLS = 1 << 21  # token pairs at a time
+
+
+def _cover(ref: Sentences, pred: Sentences, i: np.ndarray, j: np.ndarray, covered: np.ndarray) -> None:
+    """Mark the tokens of the reference sentences `i` that the prediction sentences `j` cover."""
+    wide = ref.size[i] > 64
+    last = None
+    for x, y in zip(i[wide], j[wide]):  # in the order of x
+        if x != last:
+            a, last = ref.list(x), x
+            places = Places(a)
+        covered[ref.start[x] + np.array([*lcs_positions(a, pred.list(y), places)], np.int64)] = True
+    i, j = i[~wide], j[~wide]
+    width, steps = (np.maximum(16, 1 << np.ceil(np.log2(size)).astype(np.int64)) for size in (ref.size[i], pred.size[j]))
+    kind = width * (1 << 32) + steps
+    for k in np.unique(kind):
+        w, s = int(k >> 32), int(k & 0xFFFFFFFF)
+        these = np.flatnonzero(kind == k)
+        tile = max(1, CELLS // (w * s))
+        for t in (these[x : x + tile] for x in range(0, len(these), tile)):
+            found = _found_bits(ref.padded(i[t], w, False), ref.size[i[t]], pred.padded(j[t], min(s, int(pred.size[j[t]].max())), True))
+            p, place = np.nonzero(np.unpackbits(found.astype(found.dtype.newbyteorder("<")).view(np.uint8).reshape(len(t), -1), axis=1, bitorder="little"))
+            covered[ref.start[i[t]][p] + place] = True
+
+
+def union_hits_of_rows(ref: tuple[np.ndarray, np.ndarray, np.ndarray], pred: tuple[np.ndarray, np.ndarray, np.ndarray], n_rows: int) -> np.ndarray:
+    """`union_hits` of every row; both sides are (token, row, sentence), a number each per token in order."""
+    ref, pred = Sentences(*ref), Sentences(*pred)
+    covered = np.zeros(len(ref.tokens), bool)
+    begin, end = (np.searchsorted(pred.row, ref.row, side) for side in ("left", "right"))
+    count = end - begin
+    total = np.concatenate([[0], np.cumsum(count)])
+    at = 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + MEETINGS, "right")) - 1)
+        i = np.repeat(np.arange(at, to), count[at:to])
+        j = np.arange(len(i)) - np.repeat(total[at:to] - total[at], count[at:to]) + begin[i]
+        _cover(ref, pred, i, j, covered)
+        at = to
+    width = int(max(ref.tokens.max(initial=0), pred.tokens.max(initial=0))) + 1
+    rows = np.concatenate([ref.row_of_token, pred.row_of_token])
+    code = pd.factorize(rows * width + np.concatenate([ref.tokens, pred.tokens]))[0]
+    size = int(code.max(initial=-1)) + 1
+    row_of_code = np.zeros(size, np.int64)
+    row_of_code[code] = rows
+    clipped = np.minimum(np.bincount(code[: len(covered)][covered], minlength=size), np.bincount(code[len(covered) :], minlength=size))
+    return np.bincount(row_of_code, weights=clipped, minlength=n_rows).astype(np.int64)
+
+
 def _lcs_udf(stems: bool):
     @F.pandas_udf(T.LongType())
     def lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -380,15 +380,17 @@ def _vectors_of(spark, folder, rows):
     """
     stored = table(spark, folder, "embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("vec"))
     n_stored = stored.count()
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), text.word_tokens(F.col(s)).alias("words")) for s in ("pred", "ref")])
 
-    def picked(rows):
-        words = rows.select("pair_id", *BY, F.inline(sides)).select("pair_id", *BY, "side", F.posexplode("words").alias("tok_pos", "word"))
-        return words.withColumn("_id", (F.ascii("word").cast("long") * 31 + F.length("word")) % n_stored)
+    def ids(side):
+        return F.transform(text.word_tokens(F.col(side)), lambda w: (F.ascii(w).cast("long") * 31 + F.length(w)) % n_stored)
 
-    used = written(stored.join(picked(rows).select("_id").distinct(), "_id", "left_semi"), "used-vectors")
+    none = F.array().cast("array<bigint>")
+    in_use = rows.select(F.explode(F.array_distinct(F.concat(*[F.coalesce(ids(s), none) for s in ("pred", "ref")]))).alias("_id"))
+    used = written(stored.join(in_use.distinct(), "_id", "left_semi"), "used-vectors")
     spread = rows.select("pair_id", *BY, "pred", "ref").repartition(ngrams.text_width(rows, ("pred", "ref")), "pair_id", *BY)
-    return picked(spread).join(used, "_id").select("pair_id", *BY, "side", "tok_pos", "vec")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), ids(s).alias("ids")) for s in ("pred", "ref")])
+    picked = spread.select("pair_id", *BY, F.inline(sides)).select("pair_id", *BY, "side", F.posexplode("ids").alias("tok_pos", "_id"))
+    return picked.join(used, "_id").select("pair_id", *BY, "side", "tok_pos", "vec")
 
 
 def _long_sql(select: str, metrics: list[str], by: str = "split, task, system") -> str:
