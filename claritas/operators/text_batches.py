@@ -17,7 +17,7 @@ from claritas.operators import subsequence
 from claritas.operators.arrow_groups import firsts, whole_groups
 from claritas.operators.ngrams import ORDERS, token_stemmer
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 TEXTS = ("rouge_pred", "rouge_ref", "bleu_pred", "bleu_ref", "sari_src", "sari_pred", "sari_ref")
 SRC, PRED, REF = range(3)
 

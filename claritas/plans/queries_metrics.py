@@ -372,6 +372,9 @@ def m11(spark, folder):
     return suite.with_srb(metrics, ["run"]).withColumn("value", F.round("value", 6))
 
 
+SENT_BYTES = 64 << 20  # of vectors in use, up to which every task gets them all
+
+
 def _vectors_of(spark, folder, rows):
     """Token vectors of every pair: its words in order, each with one of the stored vectors, picked by its letters.
 
@@ -387,6 +390,9 @@ def _vectors_of(spark, folder, rows):
     none = F.array().cast("array<bigint>")
     in_use = rows.select(F.explode(F.array_distinct(F.concat(*[F.coalesce(ids(s), none) for s in ("pred", "ref")]))).alias("_id"))
     used = written(stored.join(in_use.distinct(), "_id", "left_semi"), "used-vectors")
+    # by their size and not by that of their files: else one letter more in use would shuffle every word's vector
+    if (used.agg(F.sum(F.size("vec") * 4 + 32)).first()[0] or 0) <= SENT_BYTES:
+        used = F.broadcast(used)
     spread = rows.select("pair_id", *BY, "pred", "ref").repartition(ngrams.text_width(rows, ("pred", "ref")), "pair_id", *BY)
     sides = F.array(*[F.struct(F.lit(s).alias("side"), ids(s).alias("ids")) for s in ("pred", "ref")])
     picked = spread.select("pair_id", *BY, F.inline(sides)).select("pair_id", *BY, "side", F.posexplode("ids").alias("tok_pos", "_id"))

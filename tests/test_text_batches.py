@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from claritas.functions.text import WHITE_CHARACTERS, ascii_tokens, replaced_13a, strip, tokens_13a
 from claritas.operators import arrow_groups, bertscore, ngrams, pair_scores, subsequence, suite, text_batches
 from claritas.operators.readability import STOP_WORDS
+from claritas.plans import queries_metrics
+from claritas.session import written
 
 WORDS = "running runs run cats cat the a flies dogs, happily. 3.5 5- ..5 1,, É!x &amp; <skipped> it's -\n".split(" ")
 SCHEMA = "pair_id string, task string, system string, src string, ref string, pred string"
@@ -192,6 +194,17 @@ def test_uneven_token_vectors_are_an_error(spark):
         bertscore.token_best(df, ["pair_id"]).collect()
 
 
+def test_vectors_in_use_are_sent_whatever_the_join_threshold(spark):
+    rows = written(queries_metrics._systems(spark, "/root/testdata/sf0.001"), "rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1KB")
+    try:
+        tokens = queries_metrics._vectors_of(spark, "/root/testdata/sf0.001", rows)
+        plan = tokens._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_stems_are_kept_by_process():
     stems = ngrams.token_stemmer()
     assert stems(["running", "cat", "cats"]) == ["run", "cat", "cat"] and ngrams.token_stemmer()(["running"]) == ["run"]
